@@ -56,16 +56,10 @@ def append_candidates(registry: DataFrame, new: DataFrame) -> DataFrame:
     return registry.unionByName(new, allowMissingColumns=True)
 
 
-def replace_rows(table: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+def replace_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Remove the rows of the given ids and append the new ones."""
     kept = table.join(rows.select(key).distinct(), key, "left_anti")
-    if seq is None:
-        return kept.unionByName(rows, allowMissingColumns=True)
-    last = table.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("_last"))
-    placed = rows.join(F.broadcast(last)).withColumn(
-        seq, F.col("_last") + 1 + F.coalesce(F.col(seq), F.lit(0))
-    )
-    return kept.unionByName(placed.drop("_last"), allowMissingColumns=True)
+    return kept.unionByName(rows, allowMissingColumns=True)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

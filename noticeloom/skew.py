@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,8 +46,10 @@ def salted_join(
     hot = F.broadcast(hot_keys(left, keys, top, min_rows).select(*keys, F.lit(True).alias("_hot")))
     part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
+    # A NULL key matches nothing, but all its rows would still hash to one task.
+    unmatched = reduce(or_, [F.col(key).isNull() for key in keys])
     salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), part).otherwise(0)
+        "_salt", F.when(F.col("_hot") | unmatched, part).otherwise(0)
     )
     copies = right.join(hot, list(keys), "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
