@@ -209,26 +209,34 @@ def read_industry_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.monotonically_increasing_id().alias("seq"))
 
 
+def snapshot_parts(path: Column | str) -> Column:
+    """Id, copy number, extension and UTC day out of ``<root>/<YYYYMMDD>/<id>[-n].<ext>``."""
+    location = F.col(path) if isinstance(path, str) else path
+    name = F.regexp_extract(location, r"/(\d{8})/([^/]+)$", 2)
+    day = F.try_to_date(F.regexp_extract(location, r"/(\d{8})/[^/]+$", 1), "yyyyMMdd")
+    stem = r"^(.+?)(?:-(\d+))?\.([^.]+)$"
+    return F.struct(
+        day.alias("collected_on"),
+        F.regexp_extract(name, stem, 1).alias("snapshot_id"),
+        F.coalesce(F.regexp_extract(name, stem, 2).try_cast("int"), F.lit(0)).alias("copy"),
+        F.regexp_extract(name, stem, 3).alias("extension"),
+    )
+
+
 def read_snapshots(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Stored raw pages: policy id, copy number, extension and UTC day from the path."""
+    """Stored raw pages with the parts of their path."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    name = F.regexp_extract("path", r"/(\d{8})/([^/]+)$", 2)
-    day = F.try_to_date(F.regexp_extract("path", r"/(\d{8})/[^/]+$", 1), "yyyyMMdd")
-    stem = r"^(.+?)(?:-(\d+))?\.([^.]+)$"
     return files.select(
         "path",
-        day.alias("collected_on"),
-        F.regexp_extract(name, stem, 1).alias("snapshot_id"),
-        F.coalesce(F.regexp_extract(name, stem, 2).try_cast("int"), F.lit(0)).alias("copy"),
-        F.regexp_extract(name, stem, 3).alias("extension"),
+        snapshot_parts("path").alias("parts"),
         F.col("length").alias("size"),
         F.decode("content", F.lit("UTF-8")).alias("body"),
-    )
+    ).select("path", "parts.*", "size", "body")
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType, pattern: str) -> DataFrame:

@@ -1,0 +1,6 @@
+"""All registered queries; importing this package fills the registry."""
+
+from noticeloom.workload import dedupe, extraction, text  # noqa: F401
+from noticeloom.workload.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
