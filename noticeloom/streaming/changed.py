@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 
 from noticeloom.operators.incremental import changed_only
 from noticeloom.sources.state import append_state, read_state
@@ -37,43 +34,3 @@ def stream_changed(
         append_state(written, state_path, number)
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-
-
-class _HashPerKey(StatefulProcessor):
-    """Keeps the last content hash of a dedupe key and passes documents that change it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("content_hash", T.StringType())])
-        self.last = handle.getValueState("last", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        known = self.last.get()[0] if self.last.exists() else None
-        for frame in rows:
-            hashes = frame["content_hash"]
-            before = hashes.shift(1)
-            before.iloc[0] = known
-            yield frame[(hashes != before).to_numpy()]
-            known = hashes.iloc[-1]
-        self.last.update((known,))
-
-    def close(self) -> None:
-        pass
-
-
-def changed_by_key(docs: DataFrame) -> DataFrame:
-    """Keyed variant: state lives in the state store, one hash per dedupe key.
-
-    Equal to the batch operator when each policy_id keeps one dedupe key. Needs the RocksDB
-    state store provider. Rows of a key stream through in Arrow batches.
-    """
-    narrow = docs.select("dedupe_key", "policy_id", "content_hash")
-    return narrow.groupBy("dedupe_key").transformWithStateInPandas(
-        statefulProcessor=_HashPerKey(),
-        outputStructType=T.StructType(
-            [T.StructField(name, T.StringType()) for name in ("dedupe_key", "policy_id", "content_hash")]
-        ),
-        outputMode="Update",
-        timeMode="None",
-    )
-
-

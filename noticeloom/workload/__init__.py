@@ -1,6 +1,14 @@
 """All registered queries; importing this package fills the registry."""
 
-from noticeloom.workload import dedupe, discovery, extraction, quality, registry, text  # noqa: F401
+from noticeloom.workload import (  # noqa: F401
+    dedupe,
+    discovery,
+    extraction,
+    quality,
+    registry,
+    reports,
+    text,
+)
 from noticeloom.workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
