@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, functions as F
 
 from noticeloom import rules
-from noticeloom.functions.text import WHITESPACE, WHITESPACE_CLASS, col, normalize_text
+from noticeloom.functions.text import WHITESPACE, col, normalize_text
 
 
 def loose_date(text: Column | str) -> Column:
@@ -72,15 +72,3 @@ def timing_reason(publish: Column, effective: Column, start: Column, end: Column
         (end < start) | (end < publish), rules.REASON_TIMING_CONFLICT
     )
 
-
-__all__ = [
-    "WHITESPACE_CLASS",
-    "date_window",
-    "document_number",
-    "iso_date_prefix",
-    "labelled_date",
-    "loose_date",
-    "publisher",
-    "resolve_window",
-    "timing_reason",
-]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from noticeloom import rules
-from noticeloom.functions.text import WHITESPACE, col
+from noticeloom.functions.text import WHITESPACE, col, contains_any, strip
 
 # scheme, authority, path, query - the split of the generic URI grammar.
 _SCHEME = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
@@ -108,10 +108,7 @@ def url_hosts(urls: Column | str) -> Column:
 
 def valid_links(cell: Column | str) -> Column:
     """Keep the http and https links of a cell, one per line; unchanged when none is valid."""
-    pieces = F.transform(
-        F.split(col(cell), "[、\n;；]+"),
-        lambda piece: F.regexp_replace(piece, f"^{WHITESPACE}+|{WHITESPACE}+$", ""),
-    )
+    pieces = F.transform(F.split(col(cell), "[、\n;；]+"), strip)
     links = F.filter(pieces, lambda piece: piece.rlike("^[hH][tT][tT][pP][sS]?://[^/?#]"))
     return F.when(F.size(links) > 0, F.array_join(links, "\n")).otherwise(col(cell))
 
@@ -140,8 +137,6 @@ def restricted_reason(
     password_word: str = rules.PASSWORD_WORD,
 ) -> Column:
     """First reason a portal page is restricted: status, domain, login wall, captcha."""
-    from noticeloom.functions.text import contains_any
-
     low = F.lower(col(html))
     code = col(status)
     reason = F.when(code >= 400, F.concat(F.lit("http_"), code.cast("string")))
@@ -166,7 +161,5 @@ def fetch_restricted(
     markers=rules.FETCH_RESTRICTED_MARKERS,
 ) -> Column:
     """True when a document fetch met an access restriction."""
-    from noticeloom.functions.text import contains_any
-
     low = F.lower(F.coalesce(col(body), F.lit("")))
     return col(status).isin(list(statuses)) | contains_any(low, [item.lower() for item in markers])

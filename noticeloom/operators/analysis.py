@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom import rules, schemas, skew
-from noticeloom.functions.text import col, evidence_location, normalize_text
+from noticeloom.functions.text import bind, col, evidence_location, normalize_text
 
 Analyzer = Callable[[Mapping[str, str], str], str]
 RETRYABLE = (TimeoutError, json.JSONDecodeError, KeyError, TypeError, ValueError)
@@ -263,13 +263,17 @@ def codes_well_formed(opportunity: Column) -> Column:
 
 def ground_evidence(text: Column, evidence: Column) -> Column:
     """Overwrite each claimed location; a quote that is not in the text has location NULL."""
-    return F.transform(
-        evidence,
-        lambda item: F.struct(
-            item["quote"].alias("quote"),
-            evidence_location(text, normalize_text(item["quote"])).alias("location"),
-        ),
-    )
+
+    def located(body: Column) -> Column:
+        return F.transform(
+            evidence,
+            lambda item: F.struct(
+                item["quote"].alias("quote"),
+                evidence_location(body, normalize_text(item["quote"])).alias("location"),
+            ),
+        )
+
+    return bind(text, located)
 
 
 def valid_opportunities(
@@ -307,11 +311,13 @@ def valid_opportunities(
             checks += [F.size(item["business_tags"]) > 0, all_members(item["business_tags"], tags)]
         return F.coalesce(reduce(and_, checks), F.lit(False))
 
-    grounded = F.transform(
-        col(opportunities),
-        lambda item: item.withField("evidence", ground_evidence(normalized_text, item["evidence"])),
-    )
-    return F.filter(grounded, keep)
+    def grounded(text: Column) -> Column:
+        return F.transform(
+            col(opportunities),
+            lambda item: item.withField("evidence", ground_evidence(text, item["evidence"])),
+        )
+
+    return F.filter(bind(normalized_text, grounded), keep)
 
 
 def join_catalog(

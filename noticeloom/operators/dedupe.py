@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.functions.identity import cross_source_key, source_priority
 from noticeloom.functions.text import col
+from noticeloom.operators.listing import top_per_group
 
-MAX_INLINE_LINKS = 1000
+MAX_INLINE_LINKS = 999
 
 
 def with_dedupe_key(docs: DataFrame, number: str | None = "document_number") -> DataFrame:
@@ -66,31 +67,47 @@ def supplementary_links(
         key,
         "policy_id",
         F.col(seq).alias("member_seq"),
+        col(priority).alias("rank"),
         "detail_url",
         F.coalesce("supplementary_urls", F.array().cast("array<string>")).alias("own_links"),
     )
-    chosen = primary_per_group(docs, key, priority, seq).select(F.col(seq).alias("member_seq"))
-    primaries = members.join(chosen, "member_seq")
-
-    def exploded(rows: DataFrame, links: Column, stage: int) -> DataFrame:
-        return rows.select(
-            key,
-            "policy_id",
-            F.lit(stage).alias("stage"),
-            "member_seq",
-            F.posexplode(links).alias("place", "link"),
+    order = F.struct("rank", "member_seq", "policy_id")
+    primaries = members.groupBy(key).agg(F.min(order).alias("best")).select(
+        key, F.col("best.policy_id").alias("policy_id"), F.col("best.member_seq").alias("first")
+    )
+    # Place 0 is a member's URL, its links follow. Copies of one document combine map-side.
+    places = F.posexplode(F.concat(F.array("detail_url"), F.col("own_links"))).alias("place", "link")
+    exploded = members.select(key, "policy_id", "rank", "member_seq", places)
+    own = F.when(F.col("place") > 0, F.struct("rank", "member_seq", "place"))
+    links = exploded.groupBy(key, "policy_id", "link").agg(
+        F.min(F.struct("member_seq", "place")).alias("any_place"), F.min(own).alias("own_place")
+    )
+    # The primary has the smallest rank and number, so its own link is the smallest own place.
+    joined = links.join(primaries, [key, "policy_id"], "left")
+    is_primary = F.col("first").isNotNull()
+    placed = joined.filter(
+        ~is_primary | F.coalesce(F.col("own_place.member_seq") == F.col("first"), F.lit(False))
+    ).select(
+        key,
+        "link",
+        F.when(
+            is_primary,
+            F.struct(
+                F.lit(0).alias("stage"),
+                F.col("own_place.member_seq").alias("member_seq"),
+                F.col("own_place.place").alias("place"),
+            ),
         )
-
-    def earliest(rows: DataFrame, *by: str) -> DataFrame:
-        order = F.struct("stage", "member_seq", "place")
-        return rows.groupBy(key, *by, "link").agg(F.min(order).alias("link_order"))
-
-    own = earliest(exploded(primaries, F.col("own_links"), 0))
-    others = earliest(
-        exploded(members, F.concat(F.array("detail_url"), F.col("own_links")), 1), "policy_id"
-    ).join(primaries.select(key, "policy_id"), [key, "policy_id"], "left_anti")
-    both = own.unionByName(others.drop("policy_id"))
-    return both.groupBy(key, "link").agg(F.min("link_order").alias("link_order"))
+        .otherwise(
+            F.struct(
+                F.lit(1).alias("stage"),
+                F.col("any_place.member_seq").alias("member_seq"),
+                F.col("any_place.place").alias("place"),
+            )
+        )
+        .alias("link_order"),
+    )
+    return placed.groupBy(key, "link").agg(F.min("link_order").alias("link_order"))
 
 
 def with_supplementary_urls(
@@ -104,20 +121,18 @@ def with_supplementary_urls(
     A group with more than ``max_inline`` links keeps the first of them inline and says so in
     ``links_overflow``; the link table holds them all.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy("link_order"))
-    inline = (
-        links.withColumn("place", place)
-        .filter(F.col("place") <= max_inline)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("place", "link"))).alias("ordered"))
+    first = top_per_group(links, [key], ["link_order"], max_inline + 1)
+    inline = first.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("place", "link"))).alias("ordered")
     )
-    total = links.groupBy(key).agg(F.count(F.lit(1)).alias("link_count"))
-    # Keys are unique on all three sides here, so these joins cannot be skewed.
+    listed = F.slice(F.col("ordered.link"), 1, max_inline)
+    # Keys are unique on both sides here, so this join cannot be skewed.
     return (
         primaries.drop("supplementary_urls")
         .join(inline, key, "left")
-        .join(total, key, "left")
-        .withColumn("supplementary_urls", F.coalesce(F.col("ordered.link"), F.array()))
-        .withColumn("links_overflow", F.coalesce(F.col("link_count") > max_inline, F.lit(False)))
-        .drop("ordered", "link_count")
+        .withColumn("supplementary_urls", F.coalesce(listed, F.array().cast("array<string>")))
+        .withColumn(
+            "links_overflow", F.coalesce(F.size("ordered") > max_inline, F.lit(False))
+        )
+        .drop("ordered")
     )

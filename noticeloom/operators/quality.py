@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from noticeloom import rules
 from noticeloom.functions.dates import timing_reason
 from noticeloom.functions.text import (
+    bind,
     col,
     evidence_location,
     is_blank,
@@ -121,13 +122,17 @@ def opportunity_reason(opportunity: Column) -> Column:
 
 def evidence_verifiable(normalized_text: Column, evidence: Column) -> Column:
     """Every quote is in the text, exactly at its stated location."""
-    return (normalized_text != "") & F.forall(
-        evidence,
-        lambda item: F.coalesce(
-            evidence_location(normalized_text, normalize_text(item["quote"])) == item["location"],
-            F.lit(False),
-        ),
-    )
+
+    def located(text: Column) -> Column:
+        return (text != "") & F.forall(
+            evidence,
+            lambda item: F.coalesce(
+                evidence_location(text, normalize_text(item["quote"])) == item["location"],
+                F.lit(False),
+            ),
+        )
+
+    return bind(normalized_text, located)
 
 
 def evaluate(document: dict[str, Column], opportunity: Column, reference: date | Column) -> Column:
@@ -156,7 +161,10 @@ def evaluate(document: dict[str, Column], opportunity: Column, reference: date |
         leasing=leasing_strength(opportunity["scenarios"]),
         actionable=~is_blank(opportunity["recommended_action"]),
     )
-    return F.when(gate.isNotNull(), _observation(gate)).otherwise(scored)
+    # The gates read the whole text: evaluate them once.
+    return bind(
+        gate, lambda reason: F.when(reason.isNotNull(), _observation(reason)).otherwise(scored)
+    )
 
 
 def document_columns(prefix: str | None = None) -> dict[str, Column]:

@@ -58,6 +58,15 @@ def salted_join(
     return joined.drop("_salt")
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of fewer splits than cores before costly per-row work; else leave it.
+
+    A table of many splits passes untouched, so this never shuffles a large one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger table is left to a shuffled join."""
     within = df.limit(max_rows + 1).count() <= max_rows

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from noticeloom import skew
 from noticeloom.functions.identity import policy_id
-from noticeloom.functions.text import WHITESPACE, content_hash, normalize_text
+from noticeloom.functions.text import content_hash, normalize_text
 from noticeloom.functions.urls import host
 from noticeloom.session import ensure_checkpoint_dir
 
@@ -29,8 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; the text tables are spread when their file has few splits."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return skew.spread_scan(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,13 +44,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write narrow columns once and read them back, so that later passes do not hash text again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"
 
 
+# Unicode white space spelt out, for engines whose own class is ASCII only.
+_SQL_SPACE = (
+    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
 def sql_norm(expression: str) -> str:
-    return f"trim(regexp_replace({expression}, '{WHITESPACE}+', ' ', 'g'))"
+    return f"trim(regexp_replace({expression}, '{_SQL_SPACE}+', ' ', 'g'))"
 
 
 def sql_any(expression: str, terms) -> str:

@@ -16,6 +16,7 @@ from noticeloom.workload.base import (
     query,
     scratch,
     sql_norm,
+    staged,
     table,
 )
 
@@ -30,8 +31,8 @@ _SQL_BODY = (
     "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"
 )
 _SQL_DECODED = (
-    "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
-    " '&#x27;', ''''), '&amp;', '&')"
+    "regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
+    " '&#x27;', ''''), '&amp;?', '&', 'g')"
 )
 
 
@@ -79,13 +80,30 @@ def pages_to_notices(spark, folder):
     )
 
 
+def _narrow(spark, folder):
+    """Keyed notices without their text, hashed once."""
+    return staged(
+        keyed_notices(spark, folder).select(
+            "doc_id",
+            "seq",
+            "source_id",
+            "policy_id",
+            "detail_url",
+            "content_hash",
+            "dedupe_key",
+            "priority",
+        ),
+        "notices",
+    )
+
+
 @query(
     "cross_source_dedupe",
     f"""WITH {_SQL_PRIMARY}
     SELECT doc_id, policy_id, dedupe_key, group_size FROM primaries""",
 )
 def cross_source_dedupe(spark, folder):
-    primaries = dedupe.dedupe(keyed_notices(spark, folder))
+    primaries = dedupe.dedupe(_narrow(spark, folder))
     return primaries.select("doc_id", "policy_id", "dedupe_key", "group_size")
 
 
@@ -96,7 +114,7 @@ def cross_source_dedupe(spark, folder):
     FROM primaries GROUP BY source_id""",
 )
 def duplicate_count(spark, folder):
-    primaries = dedupe.dedupe(keyed_notices(spark, folder))
+    primaries = dedupe.dedupe(_narrow(spark, folder))
     return primaries.groupBy("source_id").agg(
         F.sum(F.col("group_size") - 1).alias("duplicates")
     )
@@ -121,7 +139,7 @@ def duplicate_count(spark, folder):
 )
 def supplementary_links(spark, folder):
     mirror = F.concat(F.lit("https://mirror.example.org/"), (F.col("doc_id") % 3).cast("string"))
-    docs = keyed_notices(spark, folder).withColumn("supplementary_urls", F.array(mirror))
+    docs = _narrow(spark, folder).withColumn("supplementary_urls", F.array(mirror))
     links = dedupe.supplementary_links(docs)
     inline = dedupe.with_supplementary_urls(dedupe.dedupe(docs), links)
     return inline.select(
@@ -152,7 +170,7 @@ def _state(docs):
     WHERE n.content_hash IS DISTINCT FROM coalesce(s.content_hash, k.h)""",
 )
 def changed_only(spark, folder):
-    docs = keyed_notices(spark, folder).select("doc_id", "policy_id", "content_hash", "dedupe_key")
+    docs = _narrow(spark, folder)
     return incremental.changed_only(docs, _state(docs)).select("doc_id", "policy_id")
 
 
@@ -161,7 +179,7 @@ def changed_only(spark, folder):
     f"""WITH {SQL_DOCS} SELECT count(*) AS documents FROM notices""",
 )
 def changed_only_forced(spark, folder):
-    docs = keyed_notices(spark, folder).select("doc_id", "policy_id", "content_hash", "dedupe_key")
+    docs = _narrow(spark, folder)
     kept = incremental.changed_only(docs, _state(docs), force=True)
     return kept.agg(F.count(F.lit(1)).alias("documents"))
 
@@ -175,7 +193,7 @@ def changed_only_forced(spark, folder):
     FROM state s FULL JOIN (SELECT * FROM notices WHERE doc_id % 3 = 0) n USING (policy_id)""",
 )
 def state_upsert(spark, folder):
-    docs = keyed_notices(spark, folder).select("doc_id", "policy_id", "content_hash", "dedupe_key")
+    docs = _narrow(spark, folder)
     return incremental.upsert_state(_state(docs), docs.filter("doc_id % 3 = 0"))
 
 
@@ -187,7 +205,7 @@ def state_upsert(spark, folder):
     FROM state s FULL JOIN (SELECT * FROM notices WHERE doc_id % 3 = 0) n USING (policy_id)""",
 )
 def state_log(spark, folder):
-    docs = keyed_notices(spark, folder).select("doc_id", "policy_id", "content_hash", "dedupe_key")
+    docs = _narrow(spark, folder)
     path = scratch(spark, "state")
     state_table.append_state(_state(docs), path, 0)
     state_table.append_state(docs.filter("doc_id % 3 = 0"), path, 1)

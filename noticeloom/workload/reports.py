@@ -14,7 +14,7 @@ from noticeloom.streaming import batches as batch_stream
 from noticeloom.streaming import changed as change_stream
 from noticeloom.streaming.counts import stream_run_counts
 from noticeloom.workload.base import SQL_DOCS, iso, keyed_notices, long, notices, query, scratch, table
-from noticeloom.workload.dedupe import _SQL_STATE, _state
+from noticeloom.workload.dedupe import _SQL_STATE, _narrow, _state
 
 _STAGES = {
     "click": "changed",
@@ -310,7 +310,7 @@ def _stream(spark, folder, name):
 def stream_changed(spark, folder):
     """Documents streamed past a seeded state: what was emitted, and the state afterwards."""
     root = scratch(spark, "stream")
-    docs = keyed_notices(spark, folder).select("doc_id", "policy_id", "content_hash", "dedupe_key")
+    docs = _narrow(spark, folder)
     append_state(_state(docs), f"{root}/state", -1)
     from noticeloom.functions.identity import cross_source_key, policy_id
     from noticeloom.functions.text import content_hash, normalize_text
