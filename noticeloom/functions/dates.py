@@ -13,8 +13,8 @@ from noticeloom.functions.text import WHITESPACE, col, normalize_text
 
 def loose_date(text: Column | str) -> Column:
     """First year-month-day in the text, with any of the accepted separators."""
-    parts = [F.regexp_extract(col(text), rules.DATE_PATTERN, index) for index in (1, 2, 3)]
-    return F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d")
+    found = F.nullif(F.regexp_extract(col(text), rules.DATE_PATTERN, 0), F.lit(""))
+    return F.try_to_date(F.translate(found, "/.年月", "----"), "yyyy-M-d")
 
 
 def iso_date_prefix(text: Column | str) -> Column:

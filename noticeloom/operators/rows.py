@@ -32,14 +32,17 @@ def header_type(header: str) -> str:
     return NUMERIC_HEADERS.get(header, "string")
 
 
-def _export(rows: DataFrame, sheet: Column, values: dict[str, Column], keep: list[str]) -> DataFrame:
-    """The 36 columns in order; text that is missing is empty, typed columns are NULL."""
-    columns = []
-    for header in rules.EXPORT_HEADERS:
-        kind = header_type(header)
-        value = values.get(header, F.lit(None)).cast(kind)
-        columns.append((F.coalesce(value, F.lit("")) if kind == "string" else value).alias(header))
-    return rows.select(*keep, sheet.alias("sheet_name"), *columns)
+OPPORTUNITY, BENEFIT, FAILURE = "opportunity", "benefit", "failure"
+
+
+def _row_kind() -> Column:
+    """What rows a document gives; NULL for none."""
+    found = F.size("analysis.opportunities")
+    return (
+        F.when(F.col("error_type").isNotNull(), FAILURE)
+        .when(found > 0, OPPORTUNITY)
+        .when(F.col("analysis.is_benefit_policy") & (found == 0), BENEFIT)
+    )
 
 
 def _document_values() -> dict[str, Column]:
@@ -65,7 +68,6 @@ def _document_values() -> dict[str, Column]:
 
 def _analysis_values() -> dict[str, Column]:
     return {
-        **_document_values(),
         "政策摘要": F.col("analysis.summary"),
         "支持方向": F.col("analysis.support_direction"),
         "适用企业条件": F.col("analysis.eligible_conditions"),
@@ -73,34 +75,9 @@ def _analysis_values() -> dict[str, Column]:
     }
 
 
-def _pending_values(reason: Column) -> dict[str, Column]:
-    pending = F.lit(rules.PENDING_REVIEW)
-    return {
-        "商机等级": F.lit(rules.OBSERVATION_GRADE),
-        "商机评分": F.lit(0),
-        "国标行业门类名称": pending,
-        "国标行业门类代码": pending,
-        "国标行业大类名称": pending,
-        "国标行业大类代码": pending,
-        "复核原因": reason,
-    }
-
-
-def opportunity_rows(
-    analyzed: DataFrame, reference: date, keep: tuple[str, ...] = ("policy_id", "seq")
-) -> DataFrame:
-    """One scored row per document and opportunity."""
-    names = [name for name in analyzed.columns if name not in keep]
-    exploded = analyzed.select(
-        *keep, *names, F.posexplode("analysis.opportunities").alias("place", "opportunity")
-    )
-    opportunity = F.col("opportunity")
-    scored = exploded.withColumn(
-        "quality", evaluate(document_columns(), opportunity, reference)
-    )
+def _opportunity_values(opportunity: Column) -> dict[str, Column]:
     script = opportunity["opening_script"]
-    values = {
-        **_analysis_values(),
+    return {
         "商机等级": F.col("quality.grade"),
         "商机评分": F.col("quality.score"),
         "国标行业门类名称": opportunity["section_name"],
@@ -121,18 +98,86 @@ def opportunity_rows(
         ).otherwise(rules.DISCLAIMER),
         "复核原因": F.col("quality.review_reason"),
     }
-    return _export(scored, F.col("quality.sheet_name"), values, [*keep, "place"])
 
 
-def benefit_observation_rows(
-    analyzed: DataFrame, keep: tuple[str, ...] = ("policy_id", "seq")
+def _pending_values(reason: Column) -> dict[str, Column]:
+    pending = F.lit(rules.PENDING_REVIEW)
+    return {
+        "商机等级": F.lit(rules.OBSERVATION_GRADE),
+        "商机评分": F.lit(0),
+        "国标行业门类名称": pending,
+        "国标行业门类代码": pending,
+        "国标行业大类名称": pending,
+        "国标行业大类代码": pending,
+        "复核原因": reason,
+    }
+
+
+def result_rows(
+    analyzed: DataFrame,
+    reference: date,
+    kinds: tuple[str, ...] = (OPPORTUNITY, BENEFIT, FAILURE),
+    keep: tuple[str, ...] = ("policy_id", "seq"),
 ) -> DataFrame:
+    """Result rows of analysed documents, 36 columns each, in one pass over the documents.
+
+    A document gives a scored row per opportunity, one observation when it is a benefit without
+    a verifiable opportunity, and one observation when its analysis failed. Text that is missing
+    is empty; typed columns are NULL.
+    """
+    staged = analyzed.withColumn("kind", _row_kind()).filter(F.col("kind").isin(list(kinds)))
+    exploded = staged.select(
+        "*", F.posexplode_outer("analysis.opportunities").alias("place", "opportunity")
+    )
+    kind, opportunity = F.col("kind"), F.col("opportunity")
+    scored = exploded.withColumn(
+        "quality",
+        F.when(kind == OPPORTUNITY, evaluate(document_columns(), opportunity, reference)),
+    )
+    document = _document_values()
+    failure = {
+        **_pending_values(failure_reason("error_type", "error")),
+        "政策摘要": failure_summary("normalized_text", "raw_text"),
+    }
+    by_kind = {
+        OPPORTUNITY: {**_analysis_values(), **_opportunity_values(opportunity)},
+        BENEFIT: {**_analysis_values(), **_pending_values(F.lit(rules.REASON_NO_OPPORTUNITY))},
+        FAILURE: failure,
+    }
+
+    def cell(header: str) -> Column:
+        wanted = header_type(header)
+        value = document.get(header)
+        if value is None:
+            value = F.lit(None).cast(wanted)
+            for name in kinds:
+                if header in by_kind[name]:
+                    value = F.when(kind == name, by_kind[name][header].cast(wanted)).otherwise(value)
+        value = value.cast(wanted)
+        return (F.coalesce(value, F.lit("")) if wanted == "string" else value).alias(header)
+
+    sheet = F.coalesce("quality.sheet_name", F.lit(rules.OBSERVATION_SHEET))
+    return scored.select(
+        *keep,
+        F.coalesce("place", F.lit(0)).alias("place"),
+        sheet.alias("sheet_name"),
+        *[cell(header) for header in rules.EXPORT_HEADERS],
+    )
+
+
+def opportunity_rows(analyzed: DataFrame, reference: date) -> DataFrame:
+    """One scored row per document and opportunity."""
+    return result_rows(analyzed, reference, (OPPORTUNITY,))
+
+
+def benefit_observation_rows(analyzed: DataFrame, reference: date) -> DataFrame:
     """One observation row per benefit document without a verifiable opportunity."""
-    rows = analyzed.filter(
-        F.col("analysis.is_benefit_policy") & (F.size("analysis.opportunities") == 0)
-    ).withColumn("place", F.lit(0))
-    values = {**_analysis_values(), **_pending_values(F.lit(rules.REASON_NO_OPPORTUNITY))}
-    return _export(rows, F.lit(rules.OBSERVATION_SHEET), values, [*keep, "place"])
+    return result_rows(analyzed, reference, (BENEFIT,))
+
+
+def failure_rows(analyzed: DataFrame, reference: date) -> DataFrame:
+    """One observation row per document whose analysis failed."""
+    return result_rows(analyzed, reference, (FAILURE,))
 
 
 def failure_reason(error_type: Column | str, error: Column | str) -> Column:
@@ -149,17 +194,6 @@ def failure_summary(normalized_text: Column | str, raw_text: Column | str) -> Co
     return F.substring(text, 1, rules.FAILURE_SUMMARY_CHARS)
 
 
-def failure_rows(analyzed: DataFrame, keep: tuple[str, ...] = ("policy_id", "seq")) -> DataFrame:
-    """One observation row per document whose analysis failed."""
-    rows = analyzed.filter(F.col("error_type").isNotNull()).withColumn("place", F.lit(0))
-    values = {
-        **_document_values(),
-        **_pending_values(failure_reason("error_type", "error")),
-        "政策摘要": failure_summary("normalized_text", "raw_text"),
-    }
-    return _export(rows, F.lit(rules.OBSERVATION_SHEET), values, [*keep, "place"])
-
-
 def union_rows(*parts: DataFrame) -> DataFrame:
     """All result rows in one table."""
     whole = parts[0]

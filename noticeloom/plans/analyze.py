@@ -43,15 +43,6 @@ def analyzed_documents(
     ).withColumn("analyzed_at", F.current_timestamp())
 
 
-def result_rows(analyzed: DataFrame, reference: date) -> DataFrame:
-    """Opportunity, observation and failure rows together."""
-    return rows.union_rows(
-        rows.opportunity_rows(analyzed, reference),
-        rows.benefit_observation_rows(analyzed),
-        rows.failure_rows(analyzed),
-    )
-
-
 def run(
     spark: SparkSession,
     documents: DataFrame,
@@ -78,7 +69,7 @@ def run(
     answers = spark.read.parquet(f"{staging}/answers")
 
     analyzed = analyzed_documents(changed, answers, catalog, tags)
-    result_rows(analyzed, end).write.parquet(f"{staging}/rows")
+    rows.result_rows(analyzed, end).write.parquet(f"{staging}/rows")
     result = spark.read.parquet(f"{staging}/rows")
     export = writers.write_export(result, output, end)
     failed = analyzed.filter("error_type IS NOT NULL").select("policy_id")

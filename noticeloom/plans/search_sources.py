@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from noticeloom.functions.urls import host, path, restricted_reason, robots_allows
 from noticeloom.operators import discovery, extract, reports
 from noticeloom.operators.latest import append_candidates
+from noticeloom.session import staged
 
 
 def scanned_pages(portals: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def search_sources(
     """Candidates, the extended registry, per-portal status and report totals."""
     chosen = portals.filter(discovery.selected("portal_id", portal_ids))
     pack = discovery.keyword_pack(keywords, tags)
-    pages = scanned_pages(chosen, fetches)
+    # Four outputs read the pages: parse them once.
+    pages = staged(scanned_pages(chosen, fetches).drop("html"), "portal-pages")
     usable = pages.filter(F.col("error").isNull() & ~F.col("restricted"))
     matches = discovery.match_keywords(usable, pack)
     narrow = usable.select(

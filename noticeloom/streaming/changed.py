@@ -26,11 +26,16 @@ def stream_changed(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = read_state(spark, state_path, before=number)
-        changed = changed_only(batch, state, row_id=row_id)
-        target = f"{output_path.rstrip('/')}/batch={number}"
-        changed.write.mode("overwrite").parquet(target)
-        # Read back what was written: the state records exactly the output.
-        written = spark.read.schema(changed.schema).parquet(target)
-        append_state(written, state_path, number)
+        # The batch is read twice, by the search for hot keys and by the joins.
+        batch.persist()
+        try:
+            changed = changed_only(batch, state, row_id=row_id)
+            target = f"{output_path.rstrip('/')}/batch={number}"
+            changed.write.mode("overwrite").parquet(target)
+            # Read back what was written: the state records exactly the output.
+            written = spark.read.schema(changed.schema).parquet(target)
+            append_state(written, state_path, number)
+        finally:
+            batch.unpersist()
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +10,6 @@ from noticeloom import skew
 from noticeloom.functions.identity import policy_id
 from noticeloom.functions.text import content_hash, normalize_text
 from noticeloom.functions.urls import host
-from noticeloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,18 +37,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return skew.spread_scan(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors can reach."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write narrow columns once and read them back, so that later passes do not hash text again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"

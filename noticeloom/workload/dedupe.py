@@ -8,15 +8,14 @@ from noticeloom.functions.identity import cross_source_key
 from noticeloom.functions.text import content_hash
 from noticeloom.operators import dedupe, extract, incremental, latest
 from noticeloom.sources import state as state_table
+from noticeloom.session import scratch, staged
 from noticeloom.workload.base import (
     SQL_DOCS,
     SQL_HOST,
     hosted_pages,
     keyed_notices,
     query,
-    scratch,
     sql_norm,
-    staged,
     table,
 )
 
@@ -72,7 +71,8 @@ def pages_to_notices(spark, folder):
         cross_source_key("title", None, "content_hash").alias("dedupe_key"),
         F.lit(2).alias("priority"),
     )
-    primaries = dedupe.dedupe(keyed)
+    # Grouping and joining both read the keys: parse every page only once.
+    primaries = dedupe.dedupe(staged(keyed, "notices"))
     return primaries.groupBy(F.col("source_id").alias("host")).agg(
         F.count(F.lit(1)).alias("notices"),
         F.sum(F.col("group_size") - 1).alias("folded"),

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from noticeloom import rules, schemas
 from noticeloom.functions.text import is_compliant_script, normalize_text
 from noticeloom.operators import analysis, quality, rows
-from noticeloom.plans.analyze import analyzed_documents, result_rows
+from noticeloom.plans.analyze import analyzed_documents
 from noticeloom.sources import writers
+from noticeloom.session import scratch, staged
 from noticeloom.workload.base import (
     SQL_DOCS,
     iso,
     long,
     notices,
     query,
-    scratch,
     sql_norm,
     table,
 )
@@ -466,7 +466,8 @@ def _analyzed(spark, folder):
         }
     )
     columns = ("policy_id", "doc_id", "normalized_text")
-    raw = analysis.analyze(docs, _analyzer, columns)
+    # The analyzer is the costly call: its answers are written before they are read.
+    raw = staged(analysis.analyze(docs, _analyzer, columns), "answers")
     return analyzed_documents(docs, raw, {"A": "农业", "A01": "种植"}, ("食品加工",))
 
 
@@ -506,7 +507,7 @@ results AS (
            script, division, links FROM results""",
 )
 def analyze_rows(spark, folder):
-    result = result_rows(_analyzed(spark, folder), date(2024, 7, 1))
+    result = rows.result_rows(_analyzed(spark, folder), date(2024, 7, 1))
     return result.select(
         F.col("seq").alias("doc_id"),
         long("商机评分").alias("score"),
@@ -532,7 +533,7 @@ def export_files(spark, folder):
     """Write the export once and read one searched sheet back."""
     from noticeloom.sources.readers import read_export
 
-    result = result_rows(_analyzed(spark, folder), date(2024, 7, 1))
+    result = rows.result_rows(_analyzed(spark, folder), date(2024, 7, 1))
     path = writers.write_export(result, scratch(spark, "export"), date(2024, 7, 1))
     sheet = read_export(spark, path, rules.OBSERVATION_SHEET, " 行业判断 ")
     return sheet.filter(F.col("复核原因") == rules.REASON_INDUSTRY).select(
@@ -652,3 +653,22 @@ def compliant_share(spark, folder):
             F.count_if(is_compliant_script("text")).alias("compliant"),
         )
     )
+
+
+@query(
+    "rows_by_kind",
+    f"""WITH {_SQL_RESULTS}
+    SELECT sheet_name, grade, count(*) AS n_rows, CAST(sum(score) AS BIGINT) AS points
+    FROM results GROUP BY 1, 2""",
+)
+def rows_by_kind(spark, folder):
+    """The three kinds of rows made one by one and put together."""
+    analyzed, day = _analyzed(spark, folder), date(2024, 7, 1)
+    whole = rows.union_rows(
+        rows.opportunity_rows(analyzed, day),
+        rows.benefit_observation_rows(analyzed, day),
+        rows.failure_rows(analyzed, day),
+    )
+    return whole.groupBy("sheet_name", F.col("商机等级").alias("grade")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("商机评分").alias("points")
+    )

@@ -13,7 +13,8 @@ from noticeloom.sources.state import append_state, read_state
 from noticeloom.streaming import batches as batch_stream
 from noticeloom.streaming import changed as change_stream
 from noticeloom.streaming.counts import stream_run_counts
-from noticeloom.workload.base import SQL_DOCS, iso, keyed_notices, long, notices, query, scratch, table
+from noticeloom.session import scratch
+from noticeloom.workload.base import SQL_DOCS, iso, keyed_notices, long, notices, query, table
 from noticeloom.workload.dedupe import _SQL_STATE, _narrow, _state
 
 _STAGES = {

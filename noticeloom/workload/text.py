@@ -179,13 +179,17 @@ def labelled_dates(spark, folder):
         .when(kind == 3, F.concat(F.lit("申请截止日期 : "), day, office))
         .otherwise(F.concat(F.lit("日期 "), day))
     )
-    return table(spark, folder, "orders").select(
-        "o_orderkey",
-        iso(dates.labelled_date(body, ("发布时间", "发布日期", "印发日期"))).alias("publish_date"),
-        iso(dates.labelled_date(body, ("申报截止日期", "申请截止日期"))).alias(
-            "application_end_date"
-        ),
-        dates.publisher(body).alias("publisher"),
+    return (
+        table(spark, folder, "orders")
+        .select("o_orderkey", body.alias("body"))
+        .select(
+            "o_orderkey",
+            iso(dates.labelled_date("body", ("发布时间", "发布日期", "印发日期"))).alias("publish_date"),
+            iso(dates.labelled_date("body", ("申报截止日期", "申请截止日期"))).alias(
+                "application_end_date"
+            ),
+            dates.publisher("body").alias("publisher"),
+        )
     )
 
 
