@@ -144,11 +144,19 @@ def registry_type_violations(records: DataFrame, json_column: str = "value") ->
         return F.coalesce(F.schema_of_variant(F.try_element_at(members, F.lit(name))), F.lit("VOID"))
 
     optional = ("terms_confirmed", "registration_completed", "field_permission_confirmed")
-    limit_keys = F.map_keys(
-        F.try_variant_get(
-            F.try_element_at(members, F.lit("rate_limit")), "$", "map<string,variant>"
-        )
+    limits = F.try_variant_get(
+        F.try_element_at(members, F.lit("rate_limit")), "$", "map<string,variant>"
     )
+    limit_keys = F.map_keys(limits)
+
+    def not_iso(name: str) -> Column:
+        value = F.try_variant_get(F.try_element_at(members, F.lit(name)), "$", "string")
+        iso = value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(value).isNotNull()
+        return (kind(name) != "VOID") & ~F.coalesce(iso, F.lit(False))
+
+    def limit_kind(name: str) -> Column:
+        return F.schema_of_variant(F.try_element_at(limits, F.lit(name)))
+
     expected = F.array(*[F.lit(name) for name in sorted(schemas.RATE_LIMIT.names)])
     checks = [
         F.when(kind("enabled") != "BOOLEAN", "enabled must be a JSON boolean"),
@@ -163,10 +171,22 @@ def registry_type_violations(records: DataFrame, json_column: str = "value") ->
             & ~F.coalesce(F.array_sort(limit_keys) == expected, F.lit(False)),
             f"rate_limit must contain exactly {sorted(schemas.RATE_LIMIT.names)}",
         ),
+        *[
+            F.when(limit_kind(name) != "BIGINT", f"rate_limit.{name} must be a positive integer")
+            for name in ("max_requests", "period_seconds")
+        ],
+        F.when(
+            ~limit_kind("minimum_interval_seconds").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"),
+            "rate_limit.minimum_interval_seconds must be a positive number",
+        ),
         F.when(
             ~kind("available_fields").rlike("^(ARRAY.*|VOID)$"),
             "available_fields must be a JSON array",
         ),
+        *[
+            F.when(not_iso(name), f"{name} must be an ISO date")
+            for name in ("verified_at", "review_due_at")
+        ],
     ]
     found = F.filter(F.array(*checks), lambda item: item.isNotNull())
     return records.withColumn("type_violations", found)
