@@ -255,7 +255,7 @@ def read_snapshots(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
         "path",
         snapshot_parts("path").alias("parts"),
         F.col("length").alias("size"),
-        F.decode("content", F.lit("UTF-8")).alias("body"),
+        F.decode("content", "UTF-8").alias("body"),
     ).select("path", "parts.*", "size", "body")
 
 
