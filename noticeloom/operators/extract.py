@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -153,6 +153,23 @@ def parse_pages(pages: DataFrame, selectors: str | None = None) -> DataFrame:
     return parsed.withColumn("content_hash", F.sha2("raw_text", 256))
 
 
+def parse_by_source(
+    pages: DataFrame,
+    overrides: Mapping[str, Callable[[DataFrame], DataFrame]],
+    selectors: str | None = None,
+) -> DataFrame:
+    """Documents of all pages; sources with their own extraction use it for their pages.
+
+    ``overrides`` maps a source id to a function from its pages to document rows.
+    """
+    known = list(overrides)
+    whole = parse_pages(pages.filter(~F.col("source_id").isin(known)), selectors)
+    for source_id, parse in overrides.items():
+        own = parse(pages.filter(F.col("source_id") == source_id))
+        whole = whole.unionByName(own, allowMissingColumns=True)
+    return whole
+
+
 _REPLACED = {"html", "title", "published_at"}
 
 

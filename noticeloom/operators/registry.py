@@ -257,6 +257,18 @@ def eligible_sources(
     )
 
 
+def require_eligible(found: DataFrame, shown: int = 100) -> DataFrame:
+    """Audit rows of the selected sources; every problem is an error, and so is no source."""
+    problems = found.filter("reason IS NOT NULL")
+    listed = problems.orderBy("source_id").limit(shown).collect()
+    if listed:
+        names = ", ".join(f"{row['source_id']} ({row['reason']})" for row in listed)
+        raise ValueError("not eligible: " + names)
+    if not found.limit(1).count():
+        raise ValueError("no verified enabled compliance source is configured")
+    return found.select("audit.*") if "audit" in found.columns else found.select("source_id")
+
+
 def dev_sources(requested: DataFrame, sources: DataFrame) -> DataFrame:
     """As above for development runs: only configured and enabled count."""
     joined = (

@@ -245,6 +245,23 @@ def missing_documents(docs: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
+def require_documents(docs: DataFrame, requested: DataFrame, shown: int = 100) -> DataFrame:
+    """The requested documents; no request and unknown ids are errors."""
+    if not requested.limit(1).count():
+        raise ValueError("select at least one document")
+    missing = missing_documents(docs, requested).orderBy("policy_id").limit(shown).collect()
+    if missing:
+        names = rules.LIST_JOINER.join(row["policy_id"] for row in missing)
+        raise ValueError("documents not in this batch: " + names)
+    return select_documents(docs, requested)
+
+
+def local_documents(docs: DataFrame, start: date, end: date, seq: str = "seq") -> DataFrame:
+    """Stored documents as a run reads them again: the last one per source and URL, in the window."""
+    last = docs.groupBy("source_id", "detail_url").agg(F.max(seq).alias(seq)).select(seq)
+    return docs.filter(date_window("publish_date", start, end)).join(last, seq)
+
+
 def document_by_id(docs: DataFrame, policy_id: str) -> DataFrame:
     """The document with that id."""
     return docs.filter(F.col("policy_id") == policy_id).limit(1)

@@ -12,19 +12,35 @@ from noticeloom.sources import state as state_table
 from noticeloom.sources import writers
 
 
-def selected_documents(documents: DataFrame, start: date, end: date) -> DataFrame:
-    """Primary documents in the window, with links to the other members of their group."""
-    inside = documents.filter(date_window("publish_date", start, end))
-    keyed = dedupe.with_dedupe_key(inside)
-    links = dedupe.supplementary_links(keyed)
-    return dedupe.with_supplementary_urls(dedupe.dedupe(keyed), links)
+_NARROW = (
+    "seq",
+    "policy_id",
+    "detail_url",
+    "content_hash",
+    "supplementary_urls",
+    "dedupe_key",
+    "priority",
+)
 
 
 def changed_documents(
     documents: DataFrame, state: DataFrame, start: date, end: date, force: bool = False
 ) -> DataFrame:
-    """Selected documents that are new or changed."""
-    return incremental.changed_only(selected_documents(documents, start, end), state, force)
+    """Primary documents in the window that are new or changed, with links to their group.
+
+    Grouping, links and the comparison with the state work on ids and hashes only; the text
+    moves once, in the last join.
+    """
+    inside = documents.filter(date_window("publish_date", start, end))
+    keyed = dedupe.with_dedupe_key(inside).select(*_NARROW)
+    linked = dedupe.with_supplementary_urls(
+        dedupe.dedupe(keyed), dedupe.supplementary_links(keyed)
+    )
+    changed = incremental.changed_only(linked, state, force)
+    chosen = changed.select(
+        "seq", "dedupe_key", "group_size", "supplementary_urls", "links_overflow"
+    )
+    return documents.drop("supplementary_urls").join(chosen, "seq")
 
 
 def collect_batch(

@@ -34,10 +34,11 @@ class _Comment(str):
 
 
 class _Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "parent", "place", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Element | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.place = len(parent.children) if parent is not None else 0
 
     def walk(self) -> Iterator[_Element]:
         """Descendant elements in document order, without recursion."""
@@ -167,8 +168,7 @@ def _first(root: _Element, selectors: Iterable[str]) -> _Element | None:
 def _date_snippets(anchor: _Element) -> list[str]:
     """Date texts near a link, nearest place first."""
     texts = [anchor.text(" ")]
-    siblings = anchor.parent.children
-    place = next(index for index, child in enumerate(siblings) if child is anchor)
+    siblings, place = anchor.parent.children, anchor.place
     for near in (siblings[place + 1 : place + 4], siblings[max(place - 3, 0) : place][::-1]):
         for sibling in near:
             if not isinstance(sibling, _Element):

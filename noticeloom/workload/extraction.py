@@ -238,6 +238,29 @@ def parse_pages(spark, folder):
     )
 
 
+@query(
+    "parse_by_source",
+    f"""SELECT page_id, CASE WHEN {SQL_HOST} = 'spam-farm.example.org' THEN 'skipped' ELSE {_SQL_H1} END
+      AS title FROM pages""",
+)
+def parse_by_source(spark, folder):
+    pages = hosted_pages(spark, folder).select(
+        "page_id",
+        "html",
+        F.col("host").alias("source_id"),
+        F.lit("").alias("title"),
+        F.col("url").alias("detail_url"),
+        F.lit(None).cast("date").alias("published_at"),
+        F.array("host").alias("allowed_domains"),
+    )
+
+    def skipped(own):
+        return own.select("page_id", F.lit("skipped").alias("title"))
+
+    found = extract.parse_by_source(pages, {"spam-farm.example.org": skipped})
+    return found.select("page_id", "title")
+
+
 def _sql_list(values) -> str:
     return sql_text(" | ".join(values))
 

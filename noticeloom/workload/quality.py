@@ -601,6 +601,21 @@ def documents_to_candidates(spark, folder):
     return found.select("source_id", "title", "detail_url", iso("published_at").alias("published"))
 
 
+@query(
+    "local_documents",
+    f"""WITH {SQL_DOCS},
+    l AS (SELECT *, source_id || (doc_id // 4) AS url FROM notices),
+    k AS (SELECT max(doc_id) AS doc_id FROM l GROUP BY source_id, url)
+    SELECT doc_id, title FROM l JOIN k USING (doc_id) WHERE publish_date IS NULL
+       OR publish_date BETWEEN DATE '2024-02-01' AND DATE '2024-03-31'""",
+)
+def local_documents(spark, folder):
+    url = F.concat("source_id", F.floor(F.col("doc_id") / 4).cast("string"))
+    docs = notices(spark, folder).withColumn("detail_url", url)
+    found = rows.local_documents(docs, date(2024, 2, 1), date(2024, 3, 31))
+    return found.select("doc_id", "title")
+
+
 @query(
     "select_documents",
     f"""WITH {SQL_DOCS}
