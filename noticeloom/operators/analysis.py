@@ -122,8 +122,7 @@ def _found(*checks: Column) -> Column:
     return F.filter(F.array(*checks), lambda check: check.isNotNull())
 
 
-def _evidence_violations(item: Column, path: str) -> Column:
-    members = _members(item)
+def _evidence_violations(members: Column, path: str) -> Column:
     quote, location = _text(members, "quote"), _text(members, "location")
     return _found(
         _violation(path[:-1], members.isNotNull(), "an object is required"),
@@ -140,8 +139,7 @@ def _evidence_violations(item: Column, path: str) -> Column:
     )
 
 
-def _opportunity_violations(item: Column, path: str) -> Column:
-    members = _members(item)
+def _opportunity_violations(members: Column, path: str) -> Column:
     evidence = _items(F.try_element_at(members, F.lit("evidence")))
     confidence = F.try_variant_get(
         F.try_element_at(members, F.lit("confidence")), "$", "double"
@@ -170,7 +168,12 @@ def _opportunity_violations(item: Column, path: str) -> Column:
         _violation(path + "evidence", F.size(evidence) > 0, "a nonempty list is required"),
     )
     nested = F.flatten(
-        F.transform(evidence, lambda each: _evidence_violations(each, path + "evidence."))
+        F.transform(
+            evidence,
+            lambda each: bind(
+                _members(each), lambda inner: _evidence_violations(inner, path + "evidence.")
+            ),
+        )
     )
     return F.concat(own, F.coalesce(nested, F.array().cast("array<string>")))
 
@@ -179,8 +182,12 @@ def contract_violations(document: Column) -> Column:
     """Every way a parsed answer breaks the contract: types, keys, lengths and ranges.
 
     A variant keeps the JSON type of each value, so nothing is coerced before it is checked.
+    Each object is split into its members once; all checks read that.
     """
-    members = _members(document)
+    return bind(_members(document), _analysis_violations)
+
+
+def _analysis_violations(members: Column) -> Column:
     has_items = F.array_contains(F.map_keys(members), "opportunities")
     items = _items(F.try_element_at(members, F.lit("opportunities")))
     benefit = F.try_variant_get(
@@ -211,7 +218,12 @@ def contract_violations(document: Column) -> Column:
         ),
     )
     nested = F.flatten(
-        F.transform(items, lambda each: _opportunity_violations(each, "opportunities."))
+        F.transform(
+            items,
+            lambda each: bind(
+                _members(each), lambda inner: _opportunity_violations(inner, "opportunities.")
+            ),
+        )
     )
     return F.when(members.isNull(), F.array(F.lit("$: a JSON object is required"))).otherwise(
         F.concat(own, F.coalesce(nested, F.array().cast("array<string>")))

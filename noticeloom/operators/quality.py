@@ -70,22 +70,35 @@ def score(
         + lease
         + points(actionable, 10)
     )
-    final = F.when(timely, total).otherwise(F.least(total, F.lit(59)))
-    letter = grade(final)
+    inputs = F.struct(
+        evidence_complete.alias("evidence"),
+        timely.alias("timely"),
+        source_complete.alias("source"),
+        industry_clear.alias("clear"),
+        lease.alias("lease"),
+        F.when(timely, total).otherwise(F.least(total, F.lit(59))).alias("points"),
+    )
+    # The strengths search the whole text: evaluate them once for points, grade and reason.
+    return bind(inputs, _route)
+
+
+def _route(given: Column) -> Column:
+    letter = grade(given["points"])
+    scored = given["lease"] > 0
     priority = (
-        timely & letter.isin("A", "B") & source_complete & industry_clear & (lease > 0)
+        given["timely"] & letter.isin("A", "B") & given["source"] & given["clear"] & scored
     )
     reason = (
-        F.when(~timely, rules.REASON_EXPIRED)
+        F.when(~given["timely"], rules.REASON_EXPIRED)
         .when(priority, F.lit(None).cast("string"))
-        .when(~source_complete, rules.REASON_SOURCE)
-        .when(~industry_clear, rules.REASON_INDUSTRY)
-        .when(lease == 0, rules.REASON_SCENARIO)
+        .when(~given["source"], rules.REASON_SOURCE)
+        .when(~given["clear"], rules.REASON_INDUSTRY)
+        .when(~scored, rules.REASON_SCENARIO)
     )
     sheet = F.when(priority, rules.PRIORITY_SHEET).otherwise(rules.OBSERVATION_SHEET)
     return F.when(
-        ~evidence_complete, _observation(F.lit(rules.REASON_NO_EVIDENCE))
-    ).otherwise(_result(final, letter, sheet, reason))
+        ~given["evidence"], _observation(F.lit(rules.REASON_NO_EVIDENCE))
+    ).otherwise(_result(given["points"], letter, sheet, reason))
 
 
 def required_fields_reason(document: dict[str, Column], opportunity: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticeloom import rules
+from noticeloom import rules, schemas
 from noticeloom.functions.dates import date_window
 from noticeloom.functions.text import (
     append_disclaimer,
@@ -32,6 +32,7 @@ def header_type(header: str) -> str:
     return NUMERIC_HEADERS.get(header, "string")
 
 
+OPPORTUNITY_TYPE = schemas.OPPORTUNITY
 OPPORTUNITY, BENEFIT, FAILURE = "opportunity", "benefit", "failure"
 
 
@@ -125,11 +126,17 @@ def result_rows(
     a verifiable opportunity, and one observation when its analysis failed. Text that is missing
     is empty; typed columns are NULL.
     """
-    staged = analyzed.withColumn("kind", _row_kind()).filter(F.col("kind").isin(list(kinds)))
-    exploded = staged.select(
-        "*", F.posexplode_outer("analysis.opportunities").alias("place", "opportunity")
-    )
     kind, opportunity = F.col("kind"), F.col("opportunity")
+    items = F.when(kind == OPPORTUNITY, F.col("analysis.opportunities")).when(
+        kind.isNotNull(), F.array(F.lit(None).cast(OPPORTUNITY_TYPE))
+    )
+    wanted_kind = F.when(_row_kind().isin(list(kinds)), _row_kind())
+    exploded = (
+        analyzed.withColumn("kind", wanted_kind)
+        .select("*", F.posexplode_outer(items).alias("place", "opportunity"))
+        # Not a filter on the kind: that would move down and check all quotes a second time.
+        .filter("place IS NOT NULL")
+    )
     scored = exploded.withColumn(
         "quality",
         F.when(kind == OPPORTUNITY, evaluate(document_columns(), opportunity, reference)),
@@ -159,7 +166,7 @@ def result_rows(
     sheet = F.coalesce("quality.sheet_name", F.lit(rules.OBSERVATION_SHEET))
     return scored.select(
         *keep,
-        F.coalesce("place", F.lit(0)).alias("place"),
+        "place",
         sheet.alias("sheet_name"),
         *[cell(header) for header in rules.EXPORT_HEADERS],
     )

@@ -533,7 +533,7 @@ def export_files(spark, folder):
     """Write the export once and read one searched sheet back."""
     from noticeloom.sources.readers import read_export
 
-    result = rows.result_rows(_analyzed(spark, folder), date(2024, 7, 1))
+    result = staged(rows.result_rows(_analyzed(spark, folder), date(2024, 7, 1)), "rows")
     path = writers.write_export(result, scratch(spark, "export"), date(2024, 7, 1))
     sheet = read_export(spark, path, rules.OBSERVATION_SHEET, " 行业判断 ")
     return sheet.filter(F.col("复核原因") == rules.REASON_INDUSTRY).select(
