@@ -147,16 +147,17 @@ def supplementary_links(spark, folder):
     ).select("dedupe_key", "link", (F.col("n") + 1).cast("long").alias("place"))
 
 
-# State: every even document was processed; a few of them have changed since.
+# State: the documents of some sources were processed; those of one have changed since.
 _SQL_STATE = f"""{SQL_DOCS},
 state AS (
-  SELECT policy_id, CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE content_hash END AS content_hash,
-         dedupe_key FROM notices WHERE doc_id % 2 = 0)"""
+  SELECT policy_id, CASE WHEN source_id = 'src5' THEN 'old' ELSE content_hash END AS content_hash,
+         dedupe_key FROM notices WHERE source_id >= 'src2'),
+done AS (SELECT * FROM notices SEMI JOIN labels USING (doc_id))"""
 
 
 def _state(docs):
-    stale = F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("content_hash"))
-    return docs.filter("doc_id % 2 = 0").select(
+    stale = F.when(F.col("source_id") == "src5", "old").otherwise(F.col("content_hash"))
+    return docs.filter("source_id >= 'src2'").select(
         "policy_id", stale.alias("content_hash"), "dedupe_key"
     )
 
@@ -190,11 +191,12 @@ def changed_only_forced(spark, folder):
     SELECT coalesce(n.policy_id, s.policy_id) AS policy_id,
            coalesce(n.content_hash, s.content_hash) AS content_hash,
            coalesce(n.dedupe_key, s.dedupe_key) AS dedupe_key
-    FROM state s FULL JOIN (SELECT * FROM notices WHERE doc_id % 3 = 0) n USING (policy_id)""",
+    FROM state s FULL JOIN done n USING (policy_id)""",
 )
 def state_upsert(spark, folder):
     docs = _narrow(spark, folder)
-    return incremental.upsert_state(_state(docs), docs.filter("doc_id % 3 = 0"))
+    done = docs.join(table(spark, folder, "labels"), "doc_id", "left_semi")
+    return incremental.upsert_state(_state(docs), done)
 
 
 @query(
@@ -202,13 +204,14 @@ def state_upsert(spark, folder):
     f"""WITH {_SQL_STATE}
     SELECT coalesce(n.policy_id, s.policy_id) AS policy_id,
            coalesce(n.content_hash, s.content_hash) AS content_hash
-    FROM state s FULL JOIN (SELECT * FROM notices WHERE doc_id % 3 = 0) n USING (policy_id)""",
+    FROM state s FULL JOIN done n USING (policy_id)""",
 )
 def state_log(spark, folder):
     docs = _narrow(spark, folder)
     path = scratch(spark, "state")
     state_table.append_state(_state(docs), path, 0)
-    state_table.append_state(docs.filter("doc_id % 3 = 0"), path, 1)
+    done = docs.join(table(spark, folder, "labels"), "doc_id", "left_semi")
+    state_table.append_state(done, path, 1)
     return state_table.read_state(spark, path).select("policy_id", "content_hash")
 
 
@@ -263,18 +266,16 @@ def union_listings(spark, folder):
 
 @query(
     "ordered_distinct",
-    """WITH t AS (SELECT conv_id, turn, role FROM conversations),
-    f AS (SELECT conv_id, role, min(turn) AS first_turn FROM t WHERE turn < 1000 GROUP BY 1, 2)
-    SELECT conv_id, string_agg(role, ',' ORDER BY first_turn) AS roles FROM f GROUP BY conv_id""",
+    """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word,
+                         unnest(range(len(string_split(text, ' ')))) AS place FROM conversations),
+    f AS (SELECT conv_id, turn, word, min(place) AS first_place FROM w GROUP BY ALL)
+    SELECT conv_id, turn, string_agg(word, ' ' ORDER BY first_place) AS words FROM f
+    GROUP BY conv_id, turn""",
 )
 def ordered_distinct(spark, folder):
-    turns = table(spark, folder, "conversations").filter("turn < 1000")
-    # A conversation contributes at most a thousand short role names to its list.
-    listed = turns.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("items")
-    )
-    return listed.select(
-        "conv_id", F.array_join(latest.ordered_distinct(F.col("items.role")), ",").alias("roles")
+    words = latest.ordered_distinct(F.split("text", " "))
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.array_join(words, " ").alias("words")
     )
 
 

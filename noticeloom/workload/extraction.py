@@ -316,22 +316,20 @@ def attachment_merge(spark, folder):
     "merge_attachments",
     f"""WITH c AS (
       SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'f' || turn || '.pdf'
-               WHEN turn % 3 = 1 THEN 'g.DOC' ELSE 'h.docx' END AS name FROM conversations
-      WHERE turn < 1000),
-    d AS (SELECT conv_id,
-           string_agg(CASE WHEN turn % 3 = 0
-             THEN {sql_norm("' [附件 ' || (turn + 1) || '：' || name || '] ' || text")} END, ' '
-             ORDER BY turn) AS body,
+               WHEN turn % 3 = 1 THEN 'g.DOC' ELSE 'h.docx' END AS name FROM conversations),
+    d AS (SELECT conv_id, max(turn) FILTER (turn % 3 = 0) >= 1000 AS overflow,
+           string_agg({sql_norm("' [附件 ' || (turn + 1) || '：' || name || '] ' || text")}, ' '
+             ORDER BY turn) FILTER (turn % 3 = 0 AND turn < 1000) AS body,
            string_agg(CASE WHEN turn % 3 = 1 THEN '旧版 Word .doc 附件不自动下载或解析（g.DOC）'
-             WHEN turn % 3 = 2
-             THEN '附件解析失败（h.docx）：ValueError: 附件未提取到文本，可能需要 OCR 或人工复核' END,
-             ' ' ORDER BY turn) AS errors
+             ELSE '附件解析失败（h.docx）：ValueError: 附件未提取到文本，可能需要 OCR 或人工复核' END,
+             ' ' ORDER BY turn) FILTER (turn % 3 <> 0 AND turn < 1000) AS errors
       FROM c GROUP BY conv_id)
     SELECT conv_id, sha256('conv ' || conv_id || coalesce(' ' || body, '')) AS content_hash,
-           coalesce(errors, '') AS errors FROM d""",
+           coalesce(errors, '') AS errors, coalesce(overflow, false) AS overflow FROM d""",
 )
 def merge_attachments(spark, folder):
-    turns = table(spark, folder, "conversations").filter("turn < 1000")
+    """Up to a thousand attachments inline; more are flagged, and their segments hold the rest."""
+    turns = table(spark, folder, "conversations")
     kind = F.col("turn") % 3
     attachments = turns.select(
         F.col("conv_id").alias("policy_id"),
@@ -351,6 +349,7 @@ def merge_attachments(spark, folder):
         F.col("policy_id").alias("conv_id"),
         "content_hash",
         F.array_join("attachment_errors", " ").alias("errors"),
+        F.col("text_overflow").alias("overflow"),
     )
 
 
@@ -624,8 +623,7 @@ def forward_fill(spark, folder):
     "classification_pairs",
     """WITH r AS (
       SELECT p_partkey, p_partkey % 50 = 3 AS opens, p_partkey % 2 = 0 AS paired,
-             chr(CAST(65 + (p_partkey // 50) % 26 AS INTEGER)) AS letter, p_name AS name FROM part
-      WHERE p_partkey < 100000),
+             chr(CAST(65 + (p_partkey // 50) % 26 AS INTEGER)) AS letter, p_name AS name FROM part),
     s AS (SELECT *, last_value(CASE WHEN opens THEN letter END IGNORE NULLS)
             OVER (ORDER BY p_partkey) AS section FROM r),
     pairs AS (

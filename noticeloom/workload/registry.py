@@ -205,7 +205,7 @@ def blocking_reason(spark, folder):
 
 
 def _sources(spark, folder):
-    """Source configuration: one per customer with a small number."""
+    """Source configuration: one per customer."""
     k = F.col("c_custkey")
     return table(spark, folder, "customer").select(
         F.concat(F.lit("s"), k.cast("string")).alias("source_id"),
@@ -213,18 +213,19 @@ def _sources(spark, folder):
         (F.lit(1.0) + k % 20).alias("request_interval_seconds"),
         F.when(k % 10 == 7, " Unregistered").otherwise("v1").alias("adapter_version"),
         k.alias("seq"),
+        F.col("c_mktsegment").alias("segment"),
     )
 
 
 _SQL_ELIGIBLE = f"""{_SQL_REGISTRY},
-wanted AS (SELECT 's' || c_custkey AS source_id, c_custkey AS c FROM customer WHERE c_custkey % 3 <> 0
-  UNION SELECT 's' || s_suppkey, s_suppkey FROM supplier WHERE s_suppkey >= 1),
+wanted AS (SELECT 's' || c_custkey AS source_id, c_custkey AS c, c_mktsegment AS segment FROM customer
+  WHERE c_mktsegment <> 'BUILDING' OR c_custkey IN (SELECT s_suppkey FROM supplier)),
 e AS (SELECT w.source_id, c, CASE
     WHEN r.k IS NULL THEN 'not compliance-registered'
     WHEN phase <> 'verified' THEN 'phase=' || phase
     WHEN since IS NULL THEN 'verified_at=missing'
     WHEN due IS NULL OR due <= DATE '2024-07-01' THEN 'review_due_at=expired'
-    WHEN c % 3 = 0 THEN 'no adapter configured'
+    WHEN segment = 'BUILDING' THEN 'no adapter configured'
     WHEN c % 6 = 5 THEN 'adapter enabled=false'
     WHEN k % 11 = 0 THEN 'rate_limit=missing'
     WHEN 1.0 + c % 20 < greatest(0.5, 12.0 / (CASE WHEN k % 19 = 0 THEN NULL ELSE k % 7 + 1 END))
@@ -241,11 +242,9 @@ e AS (SELECT w.source_id, c, CASE
     FROM e""",
 )
 def eligible_sources(spark, folder):
-    sources = _sources(spark, folder).filter("seq % 3 <> 0")
+    sources = _sources(spark, folder).filter("segment <> 'BUILDING'")
     records = _registry(spark, folder)
-    requested = sources.select("source_id").union(
-        records.filter("s_suppkey >= 1").select("source_id")
-    )
+    requested = sources.select("source_id").union(records.select("source_id"))
     found = registry.eligible_sources(requested, sources, records, _TODAY)
     audit = F.concat_ws(
         " ", "audit.source_id", iso("audit.verified_at"), "audit.adapter_version"

@@ -14,7 +14,7 @@ from noticeloom.streaming import batches as batch_stream
 from noticeloom.streaming import changed as change_stream
 from noticeloom.streaming.counts import stream_run_counts
 from noticeloom.session import scratch
-from noticeloom.workload.base import SQL_DOCS, iso, keyed_notices, long, notices, query, table
+from noticeloom.workload.base import SQL_DOCS, iso, long, notices, query, table
 from noticeloom.workload.dedupe import _SQL_STATE, _narrow, _state
 
 _STAGES = {
@@ -257,10 +257,10 @@ def batch_files(spark, folder):
 
 @query(
     "written_batch",
-    f"""WITH {_SQL_STATE} SELECT policy_id, content_hash FROM notices WHERE doc_id % 3 = 0""",
+    f"""WITH {SQL_DOCS} SELECT policy_id, content_hash FROM notices""",
 )
 def written_batch(spark, folder):
-    docs = keyed_notices(spark, folder).filter("doc_id % 3 = 0")
+    docs = notices(spark, folder)
     path = writers.write_batch(
         docs.select("policy_id", "content_hash"), {"n": 1}, scratch(spark, "batch"), date(2024, 7, 1)
     )
