@@ -8,12 +8,17 @@ from noticeloom import skew
 
 
 def with_known_hash(
-    docs: DataFrame, state: DataFrame, row_id: str = "policy_id", min_hot_rows: int = skew.HOT_ROWS
+    docs: DataFrame,
+    state: DataFrame,
+    row_id: str = "seq",
+    deduplicated: bool = False,
+    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Add the recorded hash: the match by policy_id, else the one by dedupe key.
 
     Two equi-joins in place of an OR join. Among several records of a key the smallest policy_id
-    counts. The key join is salted, since many documents may share one key.
+    counts. Documents may share ids and keys in any number: both joins are salted by the unique
+    ``row_id``, unless the documents are deduplicated and no key can be hot.
     """
     by_id = state.select("policy_id", F.col("content_hash").alias("hash_by_id"))
     by_key = (
@@ -21,10 +26,12 @@ def with_known_hash(
         .groupBy("dedupe_key")
         .agg(F.min_by("content_hash", "policy_id").alias("hash_by_key"))
     )
-    matched = docs.join(by_id, "policy_id", "left")
-    joined = skew.salted_join(
-        matched, by_key, ["dedupe_key"], spread=row_id, min_rows=min_hot_rows
-    )
+    joined = docs
+    for right, key in ((by_id, "policy_id"), (by_key, "dedupe_key")):
+        if deduplicated:
+            joined = joined.join(right, key, "left")
+        else:
+            joined = skew.salted_join(joined, right, [key], row_id, min_rows=min_hot_rows)
     return joined.withColumn("known_hash", F.coalesce("hash_by_id", "hash_by_key")).drop(
         "hash_by_id", "hash_by_key"
     )
@@ -34,13 +41,14 @@ def changed_only(
     docs: DataFrame,
     state: DataFrame,
     force: bool = False,
-    row_id: str = "policy_id",
+    row_id: str = "seq",
+    deduplicated: bool = False,
     min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Documents that are unseen or whose hash differs; ``force`` keeps them all."""
     if force:
         return docs
-    marked = with_known_hash(docs, state, row_id, min_hot_rows)
+    marked = with_known_hash(docs, state, row_id, deduplicated, min_hot_rows)
     return marked.filter(~F.col("content_hash").eqNullSafe(F.col("known_hash"))).drop("known_hash")
 
 

@@ -54,6 +54,7 @@ def run(
     start: date,
     end: date,
     force: bool = False,
+    audit: DataFrame | None = None,
 ) -> tuple[str, str]:
     """Analyse new and changed documents; returns the export and report paths.
 
@@ -88,4 +89,5 @@ def run(
         )
     )
     report = reports.run_report(stages.unionByName(skipped), amount="n")
+    report = reports.with_audit(report, audit)
     return export, writers.write_report(report, output, end)

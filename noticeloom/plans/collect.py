@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from noticeloom import skew
 from noticeloom.functions.dates import date_window
 from noticeloom.operators import dedupe, extract, incremental, reports
 from noticeloom.sources import state as state_table
@@ -36,7 +37,7 @@ def changed_documents(
     linked = dedupe.with_supplementary_urls(
         dedupe.dedupe(keyed), dedupe.supplementary_links(keyed)
     )
-    changed = incremental.changed_only(linked, state, force)
+    changed = incremental.changed_only(linked, state, force, deduplicated=True)
     chosen = changed.select(
         "seq", "dedupe_key", "group_size", "supplementary_urls", "links_overflow"
     )
@@ -51,10 +52,14 @@ def collect_batch(
     state_path: str,
     start: date,
     end: date,
+    audit: DataFrame | None = None,
+    development: bool = False,
 ) -> tuple[str, DataFrame]:
     """Parse, deduplicate and write the changed documents; returns the batch path and report.
 
-    ``pages`` holds one fetched detail page per row with its candidate columns and ``seq``.
+    ``pages`` holds one fetched detail page per row with its candidate columns and ``seq``;
+    ``audit`` the evidence rows of the selected sources. State is recorded after the batch is
+    complete: a run that stops in between is redone, nothing is lost.
     """
     parsed = extract.parse_pages(
         extract.with_source_columns(pages, sources), "content_selectors"
@@ -64,40 +69,46 @@ def collect_batch(
     parsed.write.parquet(staging)
     documents = spark.read.parquet(staging)
 
-    inside = dedupe.with_dedupe_key(documents.filter(date_window("publish_date", start, end)))
-    groups = dedupe.primary_per_group(inside)
     version = state_table.next_version(spark, state_path)
     known = state_table.read_state(spark, state_path)
-    changed = changed_documents(documents, known, start, end)
-    header = {"start_date": start, "development_mode": False}
-    path = writers.write_batch(changed, header, folder, end)
-    written = writers.read_batch(spark, path)
+    path = writers.batch_path(spark, folder, end)
+    written = writers.write_documents(changed_documents(documents, known, start, end), path)
+
+    inside = dedupe.with_dedupe_key(documents.filter(date_window("publish_date", start, end)))
+    groups = dedupe.primary_per_group(inside)
+    report = collection_counts(pages, groups, written)
+    header = {
+        "start_date": F.lit(start),
+        "source_ids": F.lit(skew.bounded_ids(sources, "source_id")),
+        "development_mode": F.lit(development),
+        "report": F.struct(*[F.lit(n).alias(k) for k, n in report.first().asDict().items()]),
+        "compliance_audit": reports.audit_column(audit),
+    }
+    writers.write_header(spark, path, end, header)
     state_table.append_state(written, state_path, version)
+    return path, report
 
+
+def collection_counts(pages: DataFrame, groups: DataFrame, written: DataFrame) -> DataFrame:
+    """Collection report: members folded into a primary are duplicates, primaries that were not
+    written are unchanged."""
     counts = groups.agg(
-        F.coalesce(F.sum("group_size"), F.lit(0)).alias("fetched"),
+        F.coalesce(F.sum("group_size"), F.lit(0)).cast("long").alias("fetched"),
         F.count(F.lit(1)).alias("selected"),
     )
-    total = reports.stage_counts(discovered=pages, changed=written)
-    stages = (
-        counts.select(
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit("duplicate").alias("stage"),
-                        (F.col("fetched") - F.col("selected")).cast("long").alias("n"),
-                    ),
-                    F.struct(F.lit("unchanged").alias("stage"), F.col("selected").alias("n")),
-                )
-            ).alias("item")
-        )
-        .select("item.stage", "item.n")
-        .unionByName(total)
-        # The selected documents that were not written are the unchanged ones.
-        .unionByName(
-            reports.stage_counts(changed=written).select(
-                F.lit("unchanged").alias("stage"), (-F.col("n")).alias("n")
+
+    def stage(name: str, n: Column) -> Column:
+        return F.struct(F.lit(name).alias("stage"), n.alias("n"))
+
+    folded = counts.select(
+        F.inline(
+            F.array(
+                stage("duplicate", F.col("fetched") - F.col("selected")),
+                stage("unchanged", F.col("selected")),
             )
         )
     )
-    return path, reports.collection_report(stages, amount="n")
+    kept = reports.stage_counts(discovered=pages, changed=written)
+    settled = reports.stage_counts(unchanged=written).withColumn("n", -F.col("n"))
+    stages = folded.unionByName(kept).unionByName(settled)
+    return reports.collection_report(stages, amount="n")

@@ -64,5 +64,5 @@ def search_sources(
         "registry": append_candidates(registry, candidates),
         "status": status,
         "errors": reports.discovery_errors(status),
-        "report": reports.discovery_report(status),
+        "report": reports.discovery_report(status).withColumn("keywords_used", F.lit(pack)),
     }

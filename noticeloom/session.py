@@ -20,6 +20,20 @@ RECOMMENDED = {
 }
 
 
+# More shuffle tasks than this cost the scheduler more than smaller tasks save.
+MAX_PARTITIONS = 100_000
+
+
+def settings_for(data_bytes: int, task_bytes: int = 200 * 1024**2) -> dict[str, str]:
+    """Shuffle settings for a job over ``data_bytes``: tasks that fit memory, joined when small."""
+    partitions = min(MAX_PARTITIONS, max(200, -(-data_bytes // task_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+    }
+
+
 def build_session(app: str = "noticeloom", master: str | None = None, **conf: str) -> SparkSession:
     """Return a session with the recommended settings; the cluster's own settings win."""
     builder = SparkSession.builder.appName(app)

@@ -79,3 +79,9 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what} has more than {max_rows} rows")
     return rows
+
+
+def bounded_ids(df: DataFrame, column: str, max_rows: int = 10_000) -> list[str]:
+    """Sorted distinct ids of a configuration table."""
+    rows = bounded_collect(df.select(column).distinct(), max_rows, column)
+    return sorted(row[column] for row in rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeloom import rules
 from noticeloom.operators.ordering import export_keys
@@ -25,19 +25,32 @@ def available_path(spark: SparkSession, base: str) -> str:
     return path
 
 
-def write_batch(documents: DataFrame, header: dict[str, object], folder: str, end: date) -> str:
-    """Write a batch once: its documents as Parquet beside a one-row JSON header."""
-    spark = documents.sparkSession
-    path = available_path(spark, f"{folder.rstrip('/')}/policy-batch-{end.isoformat()}")
+def batch_path(spark: SparkSession, folder: str, end: date) -> str:
+    return available_path(spark, f"{folder.rstrip('/')}/policy-batch-{end.isoformat()}")
+
+
+def write_documents(documents: DataFrame, path: str) -> DataFrame:
+    """Write the documents of a new batch and return what was written."""
     documents.write.mode("errorifexists").parquet(f"{path}/documents")
-    # The header goes last: a batch without one is not complete and is not read.
-    columns = [F.lit(value).alias(name) for name, value in header.items()]
+    return documents.sparkSession.read.schema(documents.schema).parquet(f"{path}/documents")
+
+
+def write_header(spark: SparkSession, path: str, end: date, header: dict[str, Column]) -> None:
+    """Write the one-row header last: a batch without one is not complete and is not read."""
     spark.range(1).select(
         F.lit(rules.SCHEMA_VERSION).alias("schema_version"),
         F.current_timestamp().alias("created_at"),
         F.lit(end).alias("end_date"),
-        *columns,
+        *[value.alias(name) for name, value in header.items()],
     ).coalesce(1).write.mode("errorifexists").json(f"{path}/header")
+
+
+def write_batch(documents: DataFrame, header: dict[str, Column], folder: str, end: date) -> str:
+    """Write a batch once: its documents as Parquet beside a one-row JSON header."""
+    spark = documents.sparkSession
+    path = batch_path(spark, folder, end)
+    write_documents(documents, path)
+    write_header(spark, path, end, header)
     return path
 
 
@@ -73,3 +86,13 @@ def write_report(report: DataFrame, folder: str, run_date: date) -> str:
     )
     report.limit(1).coalesce(1).write.mode("errorifexists").json(path)
     return path
+
+
+def write_discovery(found: dict[str, DataFrame], folder: str, job_id: str) -> str:
+    """Write totals, per-portal status and candidates of a discovery run into a new folder."""
+    report = found["report"]
+    path = available_path(report.sparkSession, f"{folder.rstrip('/')}/{job_id}-report")
+    found["candidates"].write.mode("errorifexists").parquet(f"{path}/candidates")
+    found["status"].write.mode("errorifexists").json(f"{path}/portals")
+    report.coalesce(1).write.mode("errorifexists").json(f"{path}/totals")
+    return path

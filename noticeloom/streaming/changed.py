@@ -14,13 +14,13 @@ def stream_changed(
     state_path: str,
     output_path: str,
     checkpoint: str,
-    row_id: str = "policy_id",
+    row_id: str = "seq",
 ) -> DataStreamWriter:
     """Write the changed documents of each micro-batch and record them, exactly once.
 
     A micro-batch sees the versions before its own number. Output and state are written under
     that number, so a repeat after a lost executor replaces its own files and nothing else.
-    ``docs`` carries dedupe_key; within a micro-batch the documents are deduplicated already.
+    ``docs`` carries dedupe_key and a unique ``row_id``.
     """
 
     def step(batch: DataFrame, number: int) -> None:

@@ -354,7 +354,7 @@ def portal_status(spark, folder):
 def discovery_report(spark, folder):
     found = _searched(spark, folder)
     registry = reports.stage_counts(registry=found["registry"])
-    totals = found["report"]
+    totals = found["report"].drop("keywords_used")
     # Both sides are one row; stacking and folding them avoids a join without a key.
     stacked = totals.unionByName(
         registry.select(F.col("n").alias("registry_rows")), allowMissingColumns=True

@@ -262,7 +262,7 @@ def batch_files(spark, folder):
 def written_batch(spark, folder):
     docs = notices(spark, folder)
     path = writers.write_batch(
-        docs.select("policy_id", "content_hash"), {"n": 1}, scratch(spark, "batch"), date(2024, 7, 1)
+        docs.select("policy_id", "content_hash"), {"n": F.lit(1)}, scratch(spark, "batch"), date(2024, 7, 1)
     )
     return writers.read_batch(spark, path)
 
@@ -322,6 +322,7 @@ def stream_changed(spark, folder):
     )
     title = normalize_text(F.substring_index("text", "\n", 1))
     incoming = raw.select(
+        F.col("doc_id").alias("seq"),
         policy_id("source", url, title).alias("policy_id"),
         title.alias("title"),
         content_hash("text").alias("content_hash"),

@@ -57,6 +57,8 @@ def test_collect_then_repeat(spark, sources, tmp_path):
     assert set(docs) == {2, 3}
     assert docs[2]["supplementary_urls"] == ["https://a.example/1"]
     assert tuple(report.first()) == (4, 2, 1, 0, 0)
+    header = spark.read.json(f"{path}/header").first()
+    assert header["source_ids"] == ["s1", "s2"] and header["report"]["collected"] == 2
     assert state_table.read_state(spark, state).count() == 2
 
     rows[2] = page(3, "s1", "改过的内容")
@@ -110,9 +112,11 @@ def _analyzer():
 def test_analyze_then_repeat(spark, tmp_path):
     output, state = str(tmp_path / "out"), str(tmp_path / "state")
 
+    audit = spark.createDataFrame([("s", END, "https://a.example/e", "v1")], schemas.AUDIT)
+
     def run():
         return analyze.run(
-            spark, _documents(spark), _analyzer(), CATALOG, ["装备"], output, state, START, END)
+            spark, _documents(spark), _analyzer(), CATALOG, ["装备"], output, state, START, END, audit=audit)
 
     export, report = run()
     top = readers.read_export(spark, export).collect()
@@ -127,6 +131,7 @@ def test_analyze_then_repeat(spark, tmp_path):
     assert readers.read_export(spark, export, "?", "标题1").count() == 1
     counters = spark.read.schema(schemas.RUN_REPORT).json(report).first()
     assert tuple(counters)[:8] == (4, 4, 0, 0, 0, 1, 1, 2)
+    assert counters["compliance_audit"][0]["verified_at"] == END
 
     export, report = run()
     counters = spark.read.schema(schemas.RUN_REPORT).json(report).first()
@@ -134,7 +139,7 @@ def test_analyze_then_repeat(spark, tmp_path):
     assert tuple(counters)[:8] == (4, 1, 3, 0, 0, 1, 0, 1)
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     portals = spark.createDataFrame(
         [(f"p{n}", "名", "国家", f"https://p{n}.gov.cn/", "国家", f"p{n}.gov.cn") for n in range(5)], schemas.PORTAL)
     items = "".join(f"<a href='/{n}'>融资租赁通知{n}</a>" for n in range(7))
@@ -162,7 +167,10 @@ def test_search(spark):
         ("p0", "ok", 5), ("p1", "restricted", 0), ("p2", "ok", 0), ("p3", "error", 0)}
     assert {tuple(row) for row in found["errors"].collect()} == {
         ("p1", "http_403", ""), ("p3", "exception", "timed out")}
-    assert tuple(found["report"].first()) == (4, 5, 1, 1)
+    assert tuple(found["report"].first()) == (4, 5, 1, 1, ["租赁"])
+    saved = writers.write_discovery(found, str(tmp_path), "disc-1")
+    assert spark.read.json(f"{saved}/portals").count() == 4
+    assert writers.write_discovery(found, str(tmp_path), "disc-1") == f"{saved}-1"
     assert found["registry"].count() == 2
 
 
@@ -263,7 +271,9 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
 
     def run():
         docs = stream_batches(spark, str(inbox)).withColumn("dedupe_key", F.concat(F.lit("k"), "policy_id"))
-        narrow = docs.select("policy_id", "content_hash", "dedupe_key")
+        narrow = docs.select(
+            F.concat_ws("/", "batch_id", F.col("place").cast("string")).alias("seq"),
+            "policy_id", "content_hash", "dedupe_key")
         query = stream_changed(narrow, state, out, mark).trigger(availableNow=True).start()
         query.awaitTermination(120)
 
@@ -271,7 +281,7 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
     known = state_table.read_state(spark, state)
     second = spark.createDataFrame([("a", "1", "ka"), ("b", "2", "kb"), ("d", "1", "kd")], "policy_id string, content_hash string, dedupe_key string")
-    expected = {row["policy_id"] for row in changed_only(second, known).collect()}
+    expected = {row["policy_id"] for row in changed_only(second, known, row_id="policy_id").collect()}
     _batch(inbox / "policy-batch-2.json", [
         {"policy_id": row["policy_id"], "content_hash": row["content_hash"]} for row in second.collect()])
     run()

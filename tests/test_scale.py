@@ -168,3 +168,28 @@ def test_small_scans_are_spread_and_large_ones_are_not(spark):
     assert skew.spread_scan(small, "id").rdd.getNumPartitions() > 1
     large = spark.range(0, 100, 1, 64)
     assert skew.spread_scan(large, "id") is large
+
+
+def test_change_detection_with_hot_ids_and_keys(spark):
+    from noticeloom.operators.incremental import changed_only
+
+    rows = spark.range(3000).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("p"), "id")).alias("policy_id"),
+        F.when(F.col("id") % 2 == 0, "key").when(F.col("id") % 5 > 0, F.concat(F.lit("k"), "id")).alias("dedupe_key"),
+        F.when(F.col("id") % 7 == 0, "x").otherwise("h").alias("content_hash"),
+    )
+    state = spark.createDataFrame(
+        [("same", "h", "other"), ("zz", "x", "key"), ("p1", "h", None)],
+        "policy_id string, content_hash string, dedupe_key string",
+    )
+    salted = changed_only(rows, state, min_hot_rows=10)
+    plain = changed_only(rows, state, deduplicated=True)
+    assert rows_of(salted) == rows_of(plain)
+
+
+def test_settings_follow_the_data():
+    from noticeloom.session import settings_for
+
+    assert settings_for(0)["spark.sql.shuffle.partitions"] == "200"
+    assert int(settings_for(100 * 1024**4)["spark.sql.shuffle.partitions"]) == 100_000
