@@ -117,7 +117,8 @@ def parse_pages(pages: DataFrame, selectors: str | None = None) -> DataFrame:
     """Full document rows from detail pages joined with their candidate and source columns.
 
     ``pages``: html, source_id, source_name, region, title, detail_url, published_at,
-    allowed_domains, collected_at, snapshot_path; other columns pass through.
+    allowed_domains, collected_at, snapshot_path; other columns pass through. A page that cannot
+    be read has ``parse_error`` set and no text.
     """
     chosen = F.array(F.lit("article"), F.lit("main")) if selectors is None else F.col(selectors)
     facts = pages.withColumn("facts", detail_facts("html", "detail_url", chosen)).drop("html")
@@ -149,6 +150,7 @@ def parse_pages(pages: DataFrame, selectors: str | None = None) -> DataFrame:
         F.array().cast("array<string>").alias("attachment_snapshot_paths"),
         F.array().cast("array<string>").alias("attachment_errors"),
         F.array().cast("array<string>").alias("supplementary_urls"),
+        F.col("facts.problem").alias("parse_error"),
     )
     return parsed.withColumn("content_hash", F.sha2("raw_text", 256))
 
@@ -191,6 +193,7 @@ def parse_portal_pages(
         F.col("facts.page_title").alias("page_title"),
         F.col("facts.page_text").alias("text_content"),
         items.alias("policy_items"),
+        F.col("facts.problem").alias("parse_error"),
     )
 
 

@@ -67,7 +67,9 @@ def collect_batch(
     # Parsing runs Python over every page: keep its result, since counts and rows both read it.
     staging = writers.available_path(spark, f"{folder.rstrip('/')}/_parsed-{end.isoformat()}")
     parsed.write.parquet(staging)
-    documents = spark.read.parquet(staging)
+    read = spark.read.parquet(staging)
+    failed = read.filter("parse_error IS NOT NULL")
+    documents = read.filter("parse_error IS NULL").drop("parse_error")
 
     version = state_table.next_version(spark, state_path)
     known = state_table.read_state(spark, state_path)
@@ -76,7 +78,7 @@ def collect_batch(
 
     inside = dedupe.with_dedupe_key(documents.filter(date_window("publish_date", start, end)))
     groups = dedupe.primary_per_group(inside)
-    report = collection_counts(pages, groups, written)
+    report = collection_counts(pages, groups, written, failed)
     header = {
         "start_date": F.lit(start),
         "source_ids": F.lit(skew.bounded_ids(sources, "source_id")),
@@ -89,7 +91,9 @@ def collect_batch(
     return path, report
 
 
-def collection_counts(pages: DataFrame, groups: DataFrame, written: DataFrame) -> DataFrame:
+def collection_counts(
+    pages: DataFrame, groups: DataFrame, written: DataFrame, failed: DataFrame
+) -> DataFrame:
     """Collection report: members folded into a primary are duplicates, primaries that were not
     written are unchanged."""
     counts = groups.agg(
@@ -108,7 +112,7 @@ def collection_counts(pages: DataFrame, groups: DataFrame, written: DataFrame) -
             )
         )
     )
-    kept = reports.stage_counts(discovered=pages, changed=written)
+    kept = reports.stage_counts(discovered=pages, changed=written, parse_failure=failed)
     settled = reports.stage_counts(unchanged=written).withColumn("n", -F.col("n"))
     stages = folded.unionByName(kept).unionByName(settled)
     return reports.collection_report(stages, amount="n")

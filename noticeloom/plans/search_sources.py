@@ -25,10 +25,12 @@ def scanned_pages(portals: DataFrame, fetches: DataFrame) -> DataFrame:
     marked = joined.withColumn("restricted_reason", reason).withColumn(
         "restricted", F.when(F.col("error").isNull(), F.col("restricted_reason").isNotNull())
     )
-    parsed = extract.parse_portal_pages(marked)
+    parsed = extract.parse_portal_pages(marked).withColumn(
+        "error", F.coalesce("error", "parse_error")
+    )
     target = F.when(path("final_url") == "", "/").otherwise(path("final_url"))
     allowed = robots_allows(F.coalesce("robots_txt", F.lit("")), target)
-    return parsed.withColumn("robots_allowed", allowed)
+    return parsed.drop("parse_error").withColumn("robots_allowed", allowed)
 
 
 def search_sources(

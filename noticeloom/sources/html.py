@@ -225,9 +225,9 @@ def _struct(*texts: str, dates: bool = False, anchors: bool = False) -> T.Struct
     return T.StructType(fields)
 
 
-LISTING_FACTS = _struct(anchors=True)
-DETAIL_FACTS = _struct("heading", "metadata_text", "content_text", anchors=True)
-PORTAL_FACTS = _struct("page_title", "page_text", anchors=True)
+LISTING_FACTS = _struct("problem", anchors=True)
+DETAIL_FACTS = _struct("problem", "heading", "metadata_text", "content_text", anchors=True)
+PORTAL_FACTS = _struct("problem", "page_title", "page_text", anchors=True)
 
 
 def _listing(markup: str, base: str, selectors) -> dict[str, object]:
@@ -262,13 +262,21 @@ def _portal(markup: str, base: str, _selectors) -> dict[str, object]:
 
 
 def _page_function(reader, schema: T.StructType):
+    def read(page: str | None, url: str | None, wanted) -> dict[str, object]:
+        row: dict[str, object] = dict.fromkeys(schema.names)
+        try:
+            row.update(reader(page or "", url or "", wanted))
+        except Exception as error:  # noqa: BLE001 - one unreadable page must not stop the job
+            row["problem"] = f"{type(error).__name__}: {error}"
+        return row
+
     @F.pandas_udf(schema)
     def facts(markup: pd.Series, base: pd.Series, selectors: pd.Series) -> pd.DataFrame:
         rows = [
-            reader(page or "", url or "", wanted)
+            read(page, url, wanted)
             for page, url, wanted in zip(markup, base, selectors, strict=True)
         ]
-        return pd.DataFrame(rows, columns=schema.names)
+        return pd.DataFrame(rows, columns=schema.names, dtype=object)
 
     # Parsing is the costly step: never let a filter on its result run it a second time.
     return facts.asNondeterministic()

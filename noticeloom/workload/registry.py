@@ -354,7 +354,11 @@ def _records(spark, folder):
         F.lit(None).cast("string").alias("verification_notes"),
         F.lit(None).cast("string").alias("reviewer"),
         F.lit(None).cast("timestamp").alias("reviewed_at"),
-        F.array(F.concat(F.lit("https://www.n"), F.col("c_nationkey").cast("string"), F.lit(".example/l"))).alias(
+        F.array(
+            F.concat(
+                F.lit("https://www.n"), F.col("c_nationkey").cast("string"), F.lit(".example/l")
+            )
+        ).alias(
             "official_urls"
         ),
         meta.alias("discovery"),

@@ -50,13 +50,14 @@ def test_collect_then_repeat(spark, sources, tmp_path):
         page(2, "s2", "支持设备更新", "甲发[2026]1号", host="b.example"),
         page(3, "s1", "其他内容"),
         page(4, "s1", "过期内容", day="2026-06-01"),
+        page(5, "s1", "坏页 <![broken[ x"),
     ]
     folder, state = str(tmp_path / "batches"), str(tmp_path / "state")
     path, report = collect.collect_batch(spark, pages_of(spark, rows), sources, folder, state, START, END)
     docs = {row["seq"]: row for row in writers.read_batch(spark, path).collect()}
     assert set(docs) == {2, 3}
     assert docs[2]["supplementary_urls"] == ["https://a.example/1"]
-    assert tuple(report.first()) == (4, 2, 1, 0, 0)
+    assert tuple(report.first()) == (5, 2, 1, 0, 1)
     header = spark.read.json(f"{path}/header").first()
     assert header["source_ids"] == ["s1", "s2"] and header["report"]["collected"] == 2
     assert state_table.read_state(spark, state).count() == 2
@@ -65,7 +66,7 @@ def test_collect_then_repeat(spark, sources, tmp_path):
     again, report = collect.collect_batch(spark, pages_of(spark, rows), sources, folder, state, START, END)
     assert again != path
     assert [row["seq"] for row in writers.read_batch(spark, again).collect()] == [3]
-    assert tuple(report.first()) == (4, 1, 2, 0, 0)
+    assert tuple(report.first()) == (5, 1, 2, 0, 1)
 
 
 def _documents(spark):
