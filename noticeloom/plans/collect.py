@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeloom import skew
 from noticeloom.functions.dates import date_window
+from noticeloom.functions.urls import fetch_restricted
 from noticeloom.operators import dedupe, extract, incremental, reports
+from noticeloom.session import staged
 from noticeloom.sources import state as state_table
 from noticeloom.sources import writers
 
@@ -44,6 +46,21 @@ def changed_documents(
     return documents.drop("supplementary_urls").join(chosen, "seq")
 
 
+def reached_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages fetched before their source met a restriction, and one row per stopped source.
+
+    Only the stopping number of each source meets the pages, so the pages are not shuffled while
+    the number of sources is small enough to broadcast.
+    """
+    hit = fetch_restricted("status_code", "html")
+    stops = staged(
+        pages.filter(hit).groupBy("source_id").agg(F.min("seq").alias("stop_seq")), "stops"
+    )
+    joined = pages.join(skew.bounded_broadcast(stops), "source_id", "left")
+    before = F.col("stop_seq").isNull() | (F.col("seq") < F.col("stop_seq"))
+    return joined.filter(before).drop("stop_seq"), stops
+
+
 def collect_batch(
     spark: SparkSession,
     pages: DataFrame,
@@ -57,12 +74,14 @@ def collect_batch(
 ) -> tuple[str, DataFrame]:
     """Parse, deduplicate and write the changed documents; returns the batch path and report.
 
-    ``pages`` holds one fetched detail page per row with its candidate columns and ``seq``;
-    ``audit`` the evidence rows of the selected sources. State is recorded after the batch is
-    complete: a run that stops in between is redone, nothing is lost.
+    ``pages`` holds one fetched detail page per row with its candidate columns and ``seq``; with a
+    ``status_code`` a source ends at its first restricted page. ``audit`` holds the evidence rows
+    of the selected sources. State is recorded after the batch is complete: a run that stops in
+    between is redone, nothing is lost.
     """
+    fetched, stops = reached_pages(pages) if "status_code" in pages.columns else (pages, None)
     parsed = extract.parse_pages(
-        extract.with_source_columns(pages, sources), "content_selectors"
+        extract.with_source_columns(fetched, sources), "content_selectors"
     ).drop("allowed_domains", "listing_selectors", "content_selectors")
     # Parsing runs Python over every page: keep its result, since counts and rows both read it.
     staging = writers.available_path(spark, f"{folder.rstrip('/')}/_parsed-{end.isoformat()}")
@@ -78,7 +97,7 @@ def collect_batch(
 
     inside = dedupe.with_dedupe_key(documents.filter(date_window("publish_date", start, end)))
     groups = dedupe.primary_per_group(inside)
-    report = collection_counts(pages, groups, written, failed)
+    report = collection_counts(pages, groups, written, failed, stops)
     header = {
         "start_date": F.lit(start),
         "source_ids": F.lit(skew.bounded_ids(sources, "source_id")),
@@ -92,7 +111,11 @@ def collect_batch(
 
 
 def collection_counts(
-    pages: DataFrame, groups: DataFrame, written: DataFrame, failed: DataFrame
+    pages: DataFrame,
+    groups: DataFrame,
+    written: DataFrame,
+    failed: DataFrame,
+    stops: DataFrame | None = None,
 ) -> DataFrame:
     """Collection report: members folded into a primary are duplicates, primaries that were not
     written are unchanged."""
@@ -112,7 +135,10 @@ def collection_counts(
             )
         )
     )
-    kept = reports.stage_counts(discovered=pages, changed=written, parse_failure=failed)
+    counted = {"discovered": pages, "changed": written, "parse_failure": failed}
+    if stops is not None:
+        counted["source_failure"] = stops
+    kept = reports.stage_counts(**counted)
     settled = reports.stage_counts(unchanged=written).withColumn("n", -F.col("n"))
     stages = folded.unionByName(kept).unionByName(settled)
     return reports.collection_report(stages, amount="n")

@@ -69,6 +69,16 @@ def test_collect_then_repeat(spark, sources, tmp_path):
     assert tuple(report.first()) == (5, 1, 2, 0, 1)
 
 
+def test_a_restricted_page_ends_its_source(spark, sources, tmp_path):
+    rows = [page(1, "s1", "甲"), page(2, "s1", "请输入验证码"), page(3, "s1", "丙"), page(4, "s2", "丁"),
+            page(5, "s2", "戊"), page(6, "s2", "己")]
+    pages = pages_of(spark, rows).withColumn("status_code", F.when(F.col("seq") == 6, 429).otherwise(200))
+    path, report = collect.collect_batch(
+        spark, pages, sources, str(tmp_path / "b"), str(tmp_path / "s"), START, END)
+    assert {row["seq"] for row in writers.read_batch(spark, path).collect()} == {1, 4, 5}
+    assert tuple(report.first()) == (6, 3, 0, 2, 0)
+
+
 def _documents(spark):
     def row(number, text, **changes):
         base = {
