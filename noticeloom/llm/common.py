@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +13,35 @@ from pyspark.sql import DataFrame, functions as F
 from noticeloom.operators.ordering import with_global_position
 
 
+class Keyed(NamedTuple):
+    """``rows``: (_key, _text, _row), one per input row. ``unique``: no key stands in two rows."""
+
+    rows: DataFrame
+    unique: bool
+
+    def texts(self, rows: DataFrame | None = None) -> DataFrame:
+        """(_key, _text), one row per document."""
+        texts = (self.rows if rows is None else rows).select("_key", "_text")
+        return texts if self.unique else texts.dropDuplicates(["_key"])
+
+
 def keyed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
-) -> DataFrame:
-    """(_key, _text, _row): one row per input row; ``_row`` holds the columns to carry along.
+) -> Keyed:
+    """Rows under a sound key; ``_row`` holds the columns to carry along.
 
     By default that is every column but the text, so that own column names never clash with theirs.
-
-    ``_key`` is the id where ids are unique and not null. Otherwise rows of equal id and text are
-    one document; different texts under one id are different documents, and a null id comes
-    before all others. Documents are then numbered in the order of (id, text hash).
+    ``_key`` is the id where ids are whole numbers, unique and not null. Otherwise rows of equal id
+    and text are one document; different texts under one id are different documents, and a null id
+    comes before all others. Documents are then numbered in the order of (id, text hash).
     """
     names = [name for name in docs.columns if name != text_col] if carry is None else carry
     row = F.struct(*[F.col(f"`{name}`") for name in names])
-    rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), row.alias("_row"))
-    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{text_col}`").alias("_text"), row.alias("_row"))
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    whole = kinds[id_col] in ("bigint", "int", "smallint", "tinyint")
     if whole and counts.filter((F.col("n") > 1) | F.col("_key").isNull()).isEmpty():
-        return rows.withColumn("_key", F.col("_key").cast("long"))
+        return Keyed(rows.withColumn("_key", F.col("_key").cast("long")), True)
     tagged = rows.select(
         F.col("_key").alias("_id"),
         F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_tag"),
@@ -46,7 +57,7 @@ def keyed(
         & (tagged["_tag"] == numbered["_tag"])
         & (tagged["_none"] == numbered["_none"])
     )
-    return tagged.join(numbered, same).select("_key", "_text", "_row")
+    return Keyed(tagged.join(numbered, same).select("_key", "_text", "_row"), False)
 
 
 def bytes_of(column: pa.Array) -> list[bytes | None]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeloom.llm.substring_dedup import substring_dedup
+from noticeloom.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup(table(spark, folder, "documents"), spell=False, carry=["doc_id"])
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("_row.doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup(table(spark, folder, "documents"), spell=False, carry=["doc_id"])

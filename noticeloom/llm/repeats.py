@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticeloom.llm.common import bytes_of, list_slices, longs, record_batch, signed
+from noticeloom.llm.common import Keyed, bytes_of, list_slices, longs, record_batch, signed
 from noticeloom.llm.rolling import BYTE_CODES, Runs, anchored_runs, byte_chunks, word_chunks
 from noticeloom.session import staged
 
@@ -52,9 +52,13 @@ class Windows:
 
 @dataclass
 class Candidates:
-    """``docs``: every document; ``_near`` marks those in which an anchor repeats. ``runs``: theirs."""
+    """``docs``: every row; ``_near`` marks texts in which an anchor repeats.
+
+    ``texts``: (_key, _text) of those documents. ``runs``: their runs of windows.
+    """
 
     docs: DataFrame
+    texts: DataFrame
     runs: DataFrame
 
 
@@ -97,15 +101,14 @@ def _contents(windows: Windows):
 
 
 def candidates(
-    rows: DataFrame, windows: Windows, across: bool, whole: dict[str, Column], keep_text: bool
+    docs: Keyed, windows: Windows, across: bool, whole: dict[str, Column], keep_text: bool
 ) -> Candidates:
     """Documents and runs whose anchor repeats; ``across``: only in different documents.
 
     ``whole`` are columns to work out from ``_text`` while it is at hand; afterwards the text
     stays only where it is needed, or everywhere with ``keep_text``.
     """
-    texts = rows.select("_key", "_text")
-    anchors = texts.mapInArrow(_anchors(windows), "_key long, anchor long, first long")
+    anchors = docs.texts().mapInArrow(_anchors(windows), "_key long, anchor long, first long")
     if across:
         counted = anchors.groupBy("anchor").agg(F.min("_key").alias("low"), F.max("_key").alias("high"))
         repeated = counted.filter("low < high")
@@ -116,13 +119,16 @@ def candidates(
     places = anchors.join(repeated, "anchor").groupBy("_key").agg(F.collect_list("first").alias("_places"))
     near = F.col("_places").isNotNull()
     text = F.col("_text") if keep_text else F.when(near, F.col("_text"))
-    joined = rows.join(places, "_key", "left").select(
+    joined = docs.rows.join(places, "_key", "left").select(
         "_key", "_row", near.alias("_near"), "_places", text.alias("_text"),
         *[value.alias(name) for name, value in whole.items()],
     )
-    docs = staged(joined, "affected")
+    rows = staged(joined, "affected")
+    texts = docs.texts(rows.filter("_near"))
     schema = "_key long, anchor long, content long, first long, last long, again boolean"
-    affected = docs.filter("_near").select("_key", "_text", "_places")
+    affected = rows.filter("_near").select("_key", "_text", "_places")
+    if not docs.unique:
+        affected = affected.dropDuplicates(["_key"])
     found = staged(affected.mapInArrow(_contents(windows), schema), "contents")
     lowest = staged(found.groupBy("anchor", "content").agg(F.min("_key").alias("low")), "lowest")
     earlier = F.col("_key") > F.col("low")
@@ -130,7 +136,7 @@ def candidates(
     runs = found.join(lowest, ["anchor", "content"]).select(
         "_key", "anchor", "first", "last", repeat.alias("repeat")
     )
-    return Candidates(docs, staged(runs, "runs"))
+    return Candidates(rows, texts, staged(runs, "runs"))
 
 
 def undecided(runs: DataFrame) -> DataFrame:

@@ -47,9 +47,8 @@ def _spans(found: Candidates, length: int) -> DataFrame:
     places = undecided(found.runs).groupBy("_key").agg(
         F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")
     )
-    texts = found.docs.filter("_near").select("_key", "_text").dropDuplicates(["_key"])
     hashed = (
-        texts.join(places, "_key")
+        found.texts.join(places, "_key")
         .select("_key", "_text", "firsts", "lasts")
         .mapInArrow(_window_hashes(length), "_key long, window long, start long")
     )
