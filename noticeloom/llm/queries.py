@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from noticeloom.llm.minhash import minhash_dedup
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
 
@@ -35,6 +36,12 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("_row.doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
 
 
+@query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash_dedup(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select("_row.doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup(table(spark, folder, "documents"), spell=False, carry=["doc_id"])
