@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from noticeloom.llm.language_id import held_out, identify, train
 from noticeloom.llm.minhash import minhash_dedup
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
@@ -46,3 +47,11 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup(table(spark, folder, "documents"), spell=False, carry=["doc_id"])
     return found.select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = train(docs.filter(~held_out()))
+    found = identify(docs, model, carry=["doc_id"])
+    return found.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "lang_pred", "score")
