@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeloom.llm.language_id import held_out, identify, train
+from noticeloom.llm.licenses import scan_licenses
 from noticeloom.llm.minhash import minhash_dedup
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
@@ -37,6 +38,13 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("_row.doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
 
 
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"), carry=["doc_id"])
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return found.select("_row.doc_id", *names, F.size("spans").cast("long").alias("n_spans"))
+
+
 @query("op8_minhash_near_dedup")
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash_dedup(table(spark, folder, "documents"), carry=["doc_id"])
