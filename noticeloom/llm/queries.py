@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from noticeloom.llm.chat import Template, format_chats, read_loss, read_turns
 from noticeloom.llm.language_id import held_out, identify, train
 from noticeloom.llm.licenses import scan_licenses
 from noticeloom.llm.minhash import minhash_dedup
+from noticeloom.llm.sharding import shard_documents
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
 
@@ -31,6 +33,62 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SQL_CHAT = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+      '\\', '\\e'), '<|im_start|>', '\\l|im_start|>'), '<|im_end|>', '\\l|im_end|>'),
+      '<|endoftext|>', '\\l|endoftext|>'), '<s>', '\\ls>'), '</s>', '\\l/s>'), '[INST]', '\\sINST]'),
+      '[/INST]', '\\s/INST]'), '<<SYS>>', '\\l<SYS>>'), '<</SYS>>', '\\l</SYS>>') AS safe
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(safe) + length(role) + 24) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op2_chat_formatting", SQL_CHAT)
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    template = Template()
+    names = ["conv_id", "turn", "role", "text"]
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    turns = table(spark, folder, "conversations").select(*names).unionByName(own)
+    found = format_chats(turns, template)
+    read = found.select(
+        "conv_id",
+        read_turns(F.col("formatted"), template).alias("turns"),
+        read_loss(F.col("segments")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    line = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = shard_documents(table(spark, folder, "documents"), 40, carry=["doc_id"], keep_text=False)
+    return found.select("_row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup(table(spark, folder, "documents"), spell=False, carry=["doc_id"])
