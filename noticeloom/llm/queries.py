@@ -10,6 +10,7 @@ from noticeloom.llm.chat import Template, format_chats, read_loss, read_turns
 from noticeloom.llm.language_id import held_out, identify, train
 from noticeloom.llm.licenses import scan_licenses
 from noticeloom.llm.minhash import minhash_dedup
+from noticeloom.llm.pieces import encode_texts
 from noticeloom.llm.sharding import shard_documents
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
@@ -33,6 +34,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = encode_texts(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        "_row.doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "round_trip",
+    )
+
+
 SQL_CHAT = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
