@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noticeloom.llm.chat import Template, format_chats, read_loss, read_turns
+from noticeloom.llm.decontaminate import decontaminate
+from noticeloom.llm.fingerprints import compare_edited
 from noticeloom.llm.language_id import held_out, identify, train
 from noticeloom.llm.licenses import scan_licenses
 from noticeloom.llm.minhash import minhash_dedup
@@ -116,6 +118,48 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("_row.doc_id", *names, F.size("spans").cast("long").alias("n_spans"))
 
 
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL_DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS words FROM benchmark),
+items AS (SELECT item_id, words, least(len(words), 10) AS size FROM b WHERE len(words) > 0),
+item_windows AS (
+  SELECT item_id, size, array_to_string(words[pos:pos + size - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS pos FROM items)),
+sizes AS (SELECT DISTINCT size FROM items),
+doc_windows AS (
+  SELECT doc_id, size, pos, array_to_string(words[pos:pos + size - 1], ' ') AS w
+  FROM (SELECT doc_id, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS pos
+        FROM d, sizes WHERE len(words) >= size)),
+hits AS (
+  SELECT doc_id, pos, h.size AS size, item_id FROM doc_windows h JOIN item_windows i ON h.w = i.w AND h.size = i.size),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, CAST(pos + size AS BIGINT))) AS word FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+@query("op6_benchmark_decontamination", SQL_DECONTAMINATE)
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = decontaminate(docs, benchmark, carry=["doc_id"])
+    return found.select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op7_document_fingerprints")
+def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = compare_edited(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select("_row.doc_id", *found.columns[1:])
+
+
 @query("op8_minhash_near_dedup")
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash_dedup(table(spark, folder, "documents"), carry=["doc_id"])
