@@ -19,6 +19,10 @@ PERCENT = 80
 #: Two sets of similarity 0.8 share none of 32 bands of 4 coordinates once in twenty million pairs.
 BANDS, ROWS = 32, 4
 
+#: Shingles of one side of a block, and columns of its matrices at a time.
+BLOCK_SHINGLES = 200_000
+_COLUMNS = 2048
+
 _FILLED = np.uint64(2**64 - 1)
 
 
@@ -127,62 +131,97 @@ def _tested(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return staged(both.mapInArrow(_confirm(width, percent), "a long, b long, linked boolean"), "tested")
 
 
-def _pairs(members: DataFrame, centers: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a bucket's center and its other members, of sizes that allow a link."""
-    fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
-    joined = members.join(centers, "bucket").filter((F.col("rep") != F.col("center")) & fits)
-    return joined.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+def _block(width: int, percent: int):
+    """Distinct pairs of components that hold linked documents, from one block of a group.
+
+    Overlaps of all sets of the block come from products of 0/1 matrices, some shingles at a time.
+    """
+
+    def emit(block: pa.Table) -> pa.Table:
+        texts = bytes_of(block.column("_text"))
+        sets = [np.zeros(0, np.uint64)] * len(texts)
+        for number, one in shingle_sets(texts, width):
+            sets[number] = one
+        sizes = np.array([len(one) for one in sets], np.int64)
+        roots, stray = longs(block.column("root")), block.column("stray").to_numpy()
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = np.cumsum(counts > 1) - 1
+        some = counts[codes] > 1
+        owner, codes = owner[some], several[codes[some]]
+        order = np.argsort(codes, kind="stable")
+        owner, codes = owner[order], codes[order]
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        cuts = np.searchsorted(codes, np.arange(0, (codes[-1] if len(codes) else 0) + _COLUMNS + 1, _COLUMNS))
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            matrix = np.zeros((len(sets), _COLUMNS), np.float32)
+            matrix[owner[a:b], codes[a:b] - part * _COLUMNS] = 1
+            shared += matrix[left] @ matrix[right].T
+        whole = sizes[left][:, None] + sizes[right][None, :] - shared
+        linked = (100 * shared >= percent * whole) & (roots[left][:, None] != roots[right][None, :]) & (shared > 0)
+        one, other = np.nonzero(linked)
+        ends = np.stack([roots[left[one]], roots[right[other]]])
+        pairs = np.unique(np.sort(ends, axis=0), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return emit
 
 
 def _links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that connect every two members of a bucket that are similar enough, (a, b).
+    """Links (a, b) that connect every two members of a bucket that are similar enough.
 
-    First every member is compared with the bucket's smallest one. Then, until no two members of
-    a bucket are both apart and untried, some members outside the first one's component become
-    centers in turn and are compared with all members of other components; their number doubles
-    every round. Pairs inside a component need no comparison, so a group of copies costs as many
-    as it has members, yet no link between components is lost.
+    First every member is compared with the bucket's smallest one. Buckets whose members are then
+    still in several components form groups; in each, the members outside the largest component
+    are a query set, compared with all others of the group in blocks of bounded size. So a group of
+    copies costs as many comparisons as it has members, and no link between components is lost.
     """
     first = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
-    centers = first.select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"))
-    tested = _tested(staged(_pairs(members, centers, percent), "pairs"), texts, width, percent)
-    used = staged(centers.select("bucket", "center"), "used")
-    turn = 0
-    while True:
-        turn += 1
-        links = tested.filter("linked").select("a", "b")
-        roots = components(links)
-        named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "bucket", "rep", "n", F.coalesce("root", "rep").alias("root")
-        )
-        named = staged(named, "named")
-        state = named.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")
-        )
-        apart = staged(state.filter("low < high and size > 2").select("bucket"), "apart")
-        if apart.isEmpty():
-            return links
-        rest = named.join(apart, "bucket")
-        main = rest.join(used.withColumnRenamed("center", "rep"), ["bucket", "rep"])
-        main = staged(main.groupBy("bucket").agg(F.min("root").alias("main")), "main")
-        strays = rest.join(main, "bucket").filter("root <> main").select("bucket", "rep", "n", "root")
-        strays = strays.join(used.withColumnRenamed("center", "rep"), ["bucket", "rep"], "left_anti")
-        spread = F.pmod(F.xxhash64("rep"), F.lit(1 << turn))
-        chosen = strays.groupBy("bucket", spread.alias("part")).agg(F.min(F.struct("rep", "n", "root")).alias("c"))
-        chosen = staged(chosen.select("bucket", "c.rep", "c.n", "c.root"), "chosen")
-        if chosen.isEmpty():
-            return links
-        centers = chosen.select(
-            "bucket", F.col("rep").alias("center"), F.col("n").alias("center_n"), F.col("root").alias("center_root")
-        )
-        fresh = rest.join(centers.select("bucket", "center_root").distinct(), "bucket").filter("root <> center_root")
-        fresh = fresh.select("bucket", "rep", "n", "root").distinct()
-        fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
-        pairs = fresh.join(centers, "bucket").filter((F.col("root") != F.col("center_root")) & fits)
-        pairs = pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = staged(tested.unionByName(_tested(pairs, texts, width, percent)), "tested")
-        used = staged(used.unionByName(centers.select("bucket", "center")), "used")
+    centers = staged(first.select("bucket", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "centers")
+    fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
+    joined = members.join(centers, "bucket").filter((F.col("rep") != F.col("center")) & fits)
+    pairs = staged(joined.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = staged(_tested(pairs, texts, width, percent).filter("linked").select("a", "b"), "first_links")
+    roots = components(links).withColumnRenamed("node", "rep")
+    named = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = staged(named.select("bucket", "rep", "n", "root"), "named")
+    state = named.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    # Two members are compared already.
+    apart = staged(state.filter("low < high and size > 2").select("bucket"), "apart")
+    if apart.isEmpty():
+        return links
+    rest = named.join(apart, "bucket").join(centers.select("bucket", "center"), "bucket")
+    groups = components(rest.select(F.col("center").alias("a"), F.col("rep").alias("b")))
+    placed = rest.select("rep", "n", "root").distinct().join(groups.select(F.col("node").alias("rep"), F.col("root").alias("group")), "rep")
+    placed = staged(placed, "placed")
+    parts = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
+    largest = parts.groupBy("group").agg(
+        F.max(F.struct("count", "root"))["root"].alias("main"),
+        F.sum("shingles").alias("shingles"),
+        F.max(F.struct("count", "root", "shingles"))["shingles"].alias("main_shingles"),
+    )
+    chunks = lambda shingles: F.ceil(shingles / F.lit(BLOCK_SHINGLES)).cast("int")
+    plan = staged(
+        largest.select(
+            "group",
+            "main",
+            chunks(F.col("shingles")).alias("columns"),
+            F.greatest(chunks(F.col("shingles") - F.col("main_shingles")), F.lit(1)).alias("rows"),
+        ),
+        "plan",
+    )
+    marked = placed.join(plan, "group").join(texts.withColumnRenamed("_key", "rep"), "rep")
+    marked = staged(marked, "marked")
+    row = F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int")
+    column = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns")).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    stray = marked.filter("root <> main").select("group", row.alias("row"), every("columns").alias("column"), "root", "_text", F.lit(True).alias("stray"))
+    other = marked.select("group", every("rows").alias("row"), column.alias("column"), "root", "_text", F.lit(False).alias("stray"))
+    blocks = stray.unionByName(other).groupBy("group", "row", "column")
+    found = staged(blocks.applyInArrow(_block(width, percent), "a long, b long"), "block_links")
+    return links.unionByName(found)
 
 
 def near_groups(
