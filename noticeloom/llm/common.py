@@ -43,17 +43,17 @@ def keyed(
     if whole and counts.filter((F.col("n") > 1) | F.col("_key").isNull()).isEmpty():
         return Keyed(rows.withColumn("_key", F.col("_key").cast("long")), True)
     tagged = rows.select(
-        F.col("_key").alias("_id"),
+        F.col("_key").alias("_doc"),
         F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_tag"),
         F.col("_text").isNull().alias("_none"),
         "_text",
         "_row",
     )
-    named = tagged.select("_id", "_tag", "_none").distinct()
-    order = [F.col("_id").asc_nulls_first(), F.col("_tag").asc(), F.col("_none").asc()]
+    named = tagged.select("_doc", "_tag", "_none").distinct()
+    order = [F.col("_doc").asc_nulls_first(), F.col("_tag").asc(), F.col("_none").asc()]
     numbered = with_global_position(named, order).withColumnRenamed("position", "_key")
     same = (
-        tagged["_id"].eqNullSafe(numbered["_id"])
+        tagged["_doc"].eqNullSafe(numbered["_doc"])
         & (tagged["_tag"] == numbered["_tag"])
         & (tagged["_none"] == numbered["_none"])
     )
