@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -114,23 +115,45 @@ def content_hash(text: Column | str) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters whose case folding is not their lower case: one to one, and one to several."""
+    changed = {}
+    for code in range(sys.maxunicode + 1):
+        letter = chr(code)
+        folded = letter.casefold()
+        if folded != letter and not 0xD800 <= code <= 0xDFFF:
+            changed[letter] = folded
+    single = {letter: folded for letter, folded in changed.items() if len(folded) == 1}
+    several = {letter: folded for letter, folded in changed.items() if len(folded) > 1}
+    return "".join(single), "".join(single.values()), several
+
+
+def case_folded(text: Column | str) -> Column:
+    """Full Unicode case folding, letter by letter."""
+    before, after, several = _folds()
+    out = F.translate(col(text), before, after)
+    any_of = "[" + "".join(several) + "]"
+    spelled = out
+    for letter, folded in several.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(folded))
+    return F.when(out.rlike(any_of), spelled).otherwise(out)
+
+
 def search(
     query: str,
     columns: Sequence[Column | str],
     source: Column | str | None = None,
     source_id: str = "",
 ) -> Column:
-    """Case-insensitive substring over the space-joined columns; a blank query passes all.
-
-    Uses lower-casing: full case folding differs for a few letters such as the German sharp s.
-    """
-    wanted = query.lower().strip()
+    """Case-folded substring over the space-joined columns; a blank query passes all."""
+    wanted = query.casefold().strip()
     hit = F.lit(True)
     if wanted:
         joined = F.concat_ws(
             " ", *[F.coalesce(col(name).cast("string"), F.lit("")) for name in columns]
         )
-        hit = F.lower(joined).contains(wanted)
+        hit = case_folded(joined).contains(wanted)
     if source is not None and source_id:
         hit = (col(source) == source_id) & hit
     return hit

@@ -10,11 +10,12 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from noticeloom import rules, schemas, skew
+from noticeloom import rules, schemas
 from noticeloom.functions.text import bind, col, evidence_location, normalize_text
+from noticeloom.session import staged
 
 Analyzer = Callable[[Mapping[str, str], str], str]
-RETRYABLE = (TimeoutError, json.JSONDecodeError, KeyError, TypeError, ValueError)
+RETRYABLE = (TimeoutError, json.JSONDecodeError, KeyError, TypeError)
 RAW_ANALYSIS = T.StructType(
     [
         T.StructField("policy_id", T.StringType()),
@@ -35,8 +36,7 @@ def with_retry(
 ) -> Callable[[Mapping[str, str]], tuple[str | None, str | None, str | None]]:
     """Call again with the error appended when an answer is not usable, then give the error."""
 
-    def call(document: Mapping[str, str]):
-        note = ""
+    def call(document: Mapping[str, str], note: str = ""):
         for attempt in range(1, attempts + 1):
             try:
                 answer = analyzer(document, note)
@@ -57,20 +57,52 @@ def analyze(
     validate: Callable[[str], object] = json.loads,
     attempts: int = 2,
 ) -> DataFrame:
-    """Run the analyzer over documents in Arrow batches: (policy_id, analysis_json, error).
+    """Run the analyzer over documents in Arrow batches: (policy_id, analysis_json, error), ``seq``.
 
-    Only ``columns`` travel to Python. The analyzer is costly, so write or checkpoint the result
-    before several readers use it.
+    Only ``columns`` travel to Python, and ``seq`` and ``note`` where the documents have them; a
+    note is handed to the analyzer's first attempt. The analyzer is costly, so write or checkpoint
+    the result before several readers use it.
     """
     call = with_retry(analyzer, validate, attempts)
+    extra = [name for name in ("seq", "note") if name in docs.columns]
+    keyed = "seq" in extra
+    fields = [T.StructField("seq", T.LongType())] if keyed else []
+    schema = T.StructType([*RAW_ANALYSIS.fields, *fields])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            documents = frame.to_dict("records")
-            rows = [(document["policy_id"], *call(document)) for document in documents]
-            yield pd.DataFrame(rows, columns=RAW_ANALYSIS.names)
+            rows = []
+            for document in frame.to_dict("records"):
+                number, note = document.pop("seq", None), document.pop("note", None) or ""
+                rows.append((document["policy_id"], *call(document, note), *([number] if keyed else [])))
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    return docs.select(*columns).mapInPandas(batches, RAW_ANALYSIS)
+    chosen = [F.col(name).cast("long") if name == "seq" else F.col(name) for name in dict.fromkeys([*columns, *extra])]
+    return docs.select(*chosen).mapInPandas(batches, schema)
+
+
+def analyze_checked(
+    docs: DataFrame,
+    analyzer: Analyzer,
+    columns: Sequence[str] = ("policy_id", "normalized_text"),
+    key: str = "seq",
+) -> DataFrame:
+    """Answers of the analyzer, asked again once where the first one fails or breaks the contract.
+
+    The contract is the one of ``parse_analysis``. What is wrong goes along as a note. Both rounds
+    are written, so each document is asked twice at most, whatever is read how often.
+    """
+    first = staged(parse_analysis(analyze(docs, analyzer, columns, attempts=1)).drop("analysis"), "answers")
+    names = [error.__name__ for error in RETRYABLE]
+    broken = F.col("contract_errors").isNotNull() & F.col("error_type").isNull()
+    retried = broken | F.coalesce(F.col("error_type").isin(names), F.lit(False))
+    told = F.when(broken, F.concat(F.lit("ValidationError: "), F.col("contract_errors"))).otherwise(
+        F.concat_ws(": ", "error_type", "error")
+    )
+    note = F.concat(F.lit(rules.RETRY_NOTE), told).alias("note")
+    again = docs.join(first.filter(retried).select(key, note), key)
+    second = staged(analyze(again, analyzer, columns, attempts=1), "second_answers")
+    return first.filter(~retried).drop("contract_errors").unionByName(second)
 
 
 # ---- strict contract ------------------------------------------------------------------------
@@ -339,12 +371,21 @@ def join_catalog(
     division: str = "division_code",
 ) -> DataFrame:
     """Look both codes up in a catalog table; rows with an unknown code drop out."""
-    codes = skew.bounded_broadcast(catalog.select("code", "name"))
+    codes = catalog.select("code", "name")
     sections = codes.select(F.col("code").alias(section), F.col("name").alias("section_name"))
     divisions = codes.select(F.col("code").alias(division), F.col("name").alias("division_name"))
     return opportunities.join(sections, section).join(divisions, division)
 
 
 def join_analysis(docs: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Documents with their analysis, one row each."""
-    return docs.join(analysis, "policy_id", "left")
+    """Documents with their analysis, one row each.
+
+    With ``seq`` on both sides that number decides, so documents may share an id; an analysis
+    without it is matched by policy_id, the last one by its text if an id has several.
+    """
+    if "seq" in docs.columns and "seq" in analysis.columns:
+        return docs.join(analysis.drop("policy_id"), "seq", "left")
+    rest = [name for name in analysis.columns if name != "policy_id"]
+    one = analysis.groupBy("policy_id").agg(F.max(F.struct(*rest)).alias("found"))
+    joined = docs.join(one, "policy_id", "left")
+    return joined.select(*docs.columns, *[F.col(f"found.{name}").alias(name) for name in rest])

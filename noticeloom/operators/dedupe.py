@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noticeloom.functions.identity import cross_source_key, source_priority
 from noticeloom.functions.text import col
-from noticeloom.operators.listing import top_per_group
-
-MAX_INLINE_LINKS = 999
+from noticeloom.session import staged
 
 
 def with_dedupe_key(docs: DataFrame, number: str | None = "document_number") -> DataFrame:
@@ -23,13 +21,13 @@ def primary_per_group(
 ) -> DataFrame:
     """One row per group: the sequence number of its primary and the group size.
 
-    Smallest priority, then smallest ``seq``. ``seq`` is a unique integer. Only integers are
-    aggregated, so this stays a hash aggregation and a group of any size is combined map-side.
+    Smallest priority, any integer, an unknown one last; then smallest ``seq``, a unique integer.
+    A group of any size is combined map-side.
     """
     rank = col(priority)
-    best = [F.min(F.when(rank == level, F.col(seq))) for level in (0, 1, 2)]
+    best = F.min(F.struct(rank.isNull().alias("unknown"), rank.alias("rank"), F.col(seq).alias("seq")))
     return docs.groupBy(key).agg(
-        F.coalesce(*best).alias(seq), F.count(F.lit(1)).alias("group_size")
+        best["seq"].alias(seq), F.count(F.lit(1)).alias("group_size")
     )
 
 
@@ -111,28 +109,44 @@ def supplementary_links(
 
 
 def with_supplementary_urls(
-    primaries: DataFrame,
-    links: DataFrame,
-    key: str = "dedupe_key",
-    max_inline: int = MAX_INLINE_LINKS,
+    primaries: DataFrame, links: DataFrame, key: str = "dedupe_key"
 ) -> DataFrame:
-    """Put the ordered links on the primary row.
+    """Put all links of a group, in order, on its primary row.
 
-    A group with more than ``max_inline`` links keeps the first of them inline and says so in
-    ``links_overflow``; the link table holds them all.
+    A document's links are one value of its row. Where groups may be too large for that, use the
+    link table itself: it has one row per link.
     """
-    first = top_per_group(links, [key], ["link_order"], max_inline + 1)
-    inline = first.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("place", "link"))).alias("ordered")
-    )
-    listed = F.slice(F.col("ordered.link"), 1, max_inline)
+    order = F.struct("link_order", "link")
+    inline = links.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("ordered"))
     # Keys are unique on both sides here, so this join cannot be skewed.
     return (
         primaries.drop("supplementary_urls")
         .join(inline, key, "left")
-        .withColumn("supplementary_urls", F.coalesce(listed, F.array().cast("array<string>")))
         .withColumn(
-            "links_overflow", F.coalesce(F.size("ordered") > max_inline, F.lit(False))
+            "supplementary_urls", F.coalesce("ordered.link", F.array().cast("array<string>"))
         )
         .drop("ordered")
     )
+
+
+def numbered_links(links: DataFrame, key: str = "dedupe_key", segments: int = 64) -> DataFrame:
+    """(key, link, place): the links of each group numbered from 1 in their order.
+
+    The members of a group are dealt to ``segments`` by range of their number, so a group of any
+    size is sorted in parts; a part's first place follows from the sizes of those before it.
+    """
+    member = F.col("link_order.member_seq")
+    bounds = links.groupBy(key).agg(F.min(member).alias("low"), F.max(member).alias("high"))
+    joined = links.join(staged(bounds, "bounds"), key)
+    width = (F.col("high") - F.col("low") + 1) / segments
+    part = F.when(F.col("link_order.stage") == 0, F.lit(-1)).otherwise(
+        F.floor((member - F.col("low")) / width).cast("int")
+    )
+    dealt = joined.select(key, "link", "link_order", part.alias("part"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most segments + 1 rows per group.
+    sizes = dealt.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select(key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy("link_order", "link"))
+    placed = dealt.withColumn("inside", inside).join(offsets, [key, "part"])
+    return placed.select(key, "link", (F.col("offset") + F.col("inside")).cast("long").alias("place"))

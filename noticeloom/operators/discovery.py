@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from noticeloom import rules, skew
+from noticeloom import rules
 from noticeloom.functions.text import col, contains_any
 from noticeloom.functions.urls import is_gov_domain
 from noticeloom.operators.listing import top_per_group
 
-MAX_KEYWORDS = 5_000
 SAMPLES_PER_PORTAL = 5
 
 
@@ -21,19 +22,33 @@ def selected(column: Column | str, chosen: Sequence[str] | None) -> Column:
 
 
 def keyword_pack(keywords: DataFrame, tags: Sequence[str] | None = None) -> list[str]:
-    """Texts of the selected keywords; a pack is a parameter and must stay small."""
-    rows = keywords.filter(selected("tag", tags)).select("text").distinct()
-    texts = skew.bounded_collect(rows, MAX_KEYWORDS, "keyword pack")
-    return sorted(row["text"] for row in texts)
+    """Texts of the selected keywords, sorted; a pack is a parameter of a run, of any length."""
+    rows = keywords.filter(selected("tag", tags)).select("text").filter("text IS NOT NULL")
+    return sorted(row["text"] for row in rows.distinct().collect())
 
 
 def keyword_hits(text: Column | str, keywords: Sequence[str]) -> Column:
-    """Keywords found in the text, sorted; one scan per keyword and no join."""
-    if not keywords:
+    """Keywords found in the text, sorted; one pass over the text whatever the pack's length."""
+    words = sorted(set(keywords))
+    if not words:
         return F.array().cast("array<string>")
-    pack = F.array(*[F.lit(word) for word in sorted(set(keywords))])
-    body = col(text)
-    return F.filter(pack, lambda word: F.contains(body, word))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def hits(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for word in filter(None, words):
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        always = {""} if "" in words else set()
+
+        def found(body: str | None) -> list[str]:
+            if body is None:
+                return []
+            return sorted({word for _, word in automaton.iter(body)} | always)
+
+        return texts.map(found) if len(automaton) else texts.map(lambda body: [] if body is None else [""])
+
+    return hits(col(text))
 
 
 def match_keywords(

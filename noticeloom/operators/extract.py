@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticeloom import rules, skew
+from noticeloom import rules
 from noticeloom.functions import dates
 from noticeloom.functions.identity import policy_id
 from noticeloom.functions.text import (
@@ -277,30 +277,26 @@ def merge_parts(
 def merge_attachments(
     docs: DataFrame, attachments: DataFrame, per_segment: int = PARTS_PER_SEGMENT
 ) -> DataFrame:
-    """Documents with attachment text appended, hash recomputed and errors listed.
+    """Documents with all attachment text appended, hash recomputed and all errors listed.
 
-    Documents with more than ``per_segment`` attachments keep segment 0 inline and set
-    ``text_overflow``; ``merge_parts`` gives all their segments.
+    Parts are joined within segments first and segments within the document then: a document's
+    text is one value, but no sort holds more than a segment.
     """
     parts = attachment_parts(attachments)
     merged = merge_parts(
         parts.filter("part IS NOT NULL"), "policy_id", "number", "part", per_segment
     )
-    first = merged.filter("segment = 0").select("policy_id", "merged_text")
-    more = merged.groupBy("policy_id").agg((F.max("segment") > 0).alias("more"))
-    errors = (
-        parts.filter(F.col("problem").isNotNull() & (F.col("number") <= per_segment))
-        .groupBy("policy_id")
-        .agg(F.array_sort(F.collect_list(F.struct("number", "problem"))).alias("problems"))
+    texts = merged.groupBy("policy_id").agg(
+        F.array_sort(F.collect_list(F.struct("segment", "merged_text"))).alias("segments")
     )
-    joined = (
-        docs.join(first, "policy_id", "left")
-        .join(more, "policy_id", "left")
-        .join(errors, "policy_id", "left")
+    problems = parts.filter(F.col("problem").isNotNull())
+    errors = problems.groupBy("policy_id").agg(
+        F.array_sort(F.collect_list(F.struct("number", "problem"))).alias("problems")
     )
-    body = F.col("normalized_text")
+    joined = docs.join(texts, "policy_id", "left").join(errors, "policy_id", "left")
+    body = F.array_join("segments.merged_text", " ")
     whole = normalize_text(
-        F.concat_ws(" ", body, F.when(~is_blank("merged_text"), F.col("merged_text")))
+        F.concat_ws(" ", "normalized_text", F.when(~is_blank(body), body))
     )
     return (
         joined.withColumn("normalized_text", whole)
@@ -309,8 +305,7 @@ def merge_attachments(
             "attachment_errors",
             F.coalesce(F.col("problems.problem"), F.array().cast("array<string>")),
         )
-        .withColumn("text_overflow", F.coalesce("more", F.lit(False)))
-        .drop("merged_text", "more", "problems")
+        .drop("segments", "problems")
     )
 
 
@@ -323,5 +318,6 @@ def with_source_columns(pages: DataFrame, sources: DataFrame) -> DataFrame:
         "allowed_domains",
         "listing_selectors",
         "content_selectors",
+        "profile_error",
     )
-    return pages.join(skew.bounded_broadcast(config), "source_id")
+    return pages.join(config, "source_id")

@@ -12,13 +12,12 @@ def with_known_hash(
     state: DataFrame,
     row_id: str = "seq",
     deduplicated: bool = False,
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Add the recorded hash: the match by policy_id, else the one by dedupe key.
 
     Two equi-joins in place of an OR join. Among several records of a key the smallest policy_id
-    counts. Documents may share ids and keys in any number: both joins are salted by the unique
-    ``row_id``, unless the documents are deduplicated and no key can be hot.
+    counts. Documents may share ids and keys in any number: only ids and keys with the unique
+    ``row_id`` meet the state, unless the documents are deduplicated and no key can be hot.
     """
     by_id = state.select("policy_id", F.col("content_hash").alias("hash_by_id"))
     by_key = (
@@ -31,7 +30,7 @@ def with_known_hash(
         if deduplicated:
             joined = joined.join(right, key, "left")
         else:
-            joined = skew.salted_join(joined, right, [key], row_id, min_rows=min_hot_rows)
+            joined = skew.join_facts(joined, right, [key], [row_id])
     return joined.withColumn("known_hash", F.coalesce("hash_by_id", "hash_by_key")).drop(
         "hash_by_id", "hash_by_key"
     )
@@ -43,12 +42,11 @@ def changed_only(
     force: bool = False,
     row_id: str = "seq",
     deduplicated: bool = False,
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Documents that are unseen or whose hash differs; ``force`` keeps them all."""
     if force:
         return docs
-    marked = with_known_hash(docs, state, row_id, deduplicated, min_hot_rows)
+    marked = with_known_hash(docs, state, row_id, deduplicated)
     return marked.filter(~F.col("content_hash").eqNullSafe(F.col("known_hash"))).drop("known_hash")
 
 

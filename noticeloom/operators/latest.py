@@ -71,13 +71,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "key") -> DataFrame:
     """Return the table; fail when a key occurs twice."""
-    found = duplicate_keys(df, keys).limit(5).collect()
-    if found:
-        names = ", ".join("/".join(str(row[key]) for key in keys) for row in found)
-        raise ValueError(f"duplicate {what}: {names}")
+    require_none(duplicate_keys(df, keys), f"duplicate {what}", keys)
     return df
 
 
+class ProblemsFound(ValueError):
+    """Rows that break a rule: ``problems`` is the whole table of them, ``count`` its size."""
+
+    def __init__(self, message: str, problems: DataFrame, count: int):
+        super().__init__(message)
+        self.problems, self.count = problems, count
+
+
+def require_none(problems: DataFrame, what: str, names: Sequence[str]) -> None:
+    """Fail with the number of problems, all of them attached, the first one named."""
+    label = F.concat_ws(" ", *[F.col(name).cast("string") for name in names])
+    found = problems.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("first")).first()
+    if found["n"]:
+        raise ProblemsFound(f"{what}: {found['n']}, first {found['first']}", problems, found["n"])
+
+
 def removed_ids(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Ids that an edit dropped; an edit may only add."""
     return before.select(key).distinct().join(after.select(key), key, "left_anti")

@@ -15,7 +15,6 @@ def stop_on_restricted(
     source: str = "source_id",
     seq: str = "seq",
     restricted: Column | str = "restricted",
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Mark each fetch: reached, the one that hit the restriction, or dropped after it.
 
@@ -28,7 +27,7 @@ def stop_on_restricted(
         .groupBy(source)
         .agg(F.min(seq).alias("stop_seq"))
     )
-    joined = skew.salted_join(log, first, [source], spread=seq, min_rows=min_hot_rows)
+    joined = skew.join_facts(log, first, [source], [seq])
     place = (
         F.when(F.col("stop_seq").isNull() | (F.col(seq) < F.col("stop_seq")), "kept")
         .when(F.col(seq) == F.col("stop_seq"), "restricted")
@@ -43,10 +42,9 @@ def fetch_counts(
     seq: str = "seq",
     restricted: Column | str = "restricted",
     failed: Column | str = "failed",
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Per source: rows kept, rows dropped, one source failure if stopped, and parse failures."""
-    marked = stop_on_restricted(log, source, seq, restricted, min_hot_rows)
+    marked = stop_on_restricted(log, source, seq, restricted)
     reached = F.col("outcome") == "kept"
     return marked.groupBy(source).agg(
         F.count_if(reached & ~col(failed)).alias("fetched"),
@@ -70,7 +68,6 @@ def distinct_pages(
     seq: str = "seq",
     url: str = "url",
     html: str = "html",
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Pages of a listing up to the first one that repeats an earlier page.
 
@@ -82,9 +79,9 @@ def distinct_pages(
         marked.select(listing, "fingerprint", seq), [listing, "fingerprint"], [F.col(seq)], 2
     )
     repeat = marks.filter("place = 2").groupBy(listing).agg(F.min(seq).alias("stop_seq"))
-    joined = skew.salted_join(marked, repeat, [listing], spread=seq, min_rows=min_hot_rows)
+    joined = skew.join_facts(pages, repeat, [listing], [seq])
     return joined.filter(F.col("stop_seq").isNull() | (F.col(seq) < F.col("stop_seq"))).drop(
-        "stop_seq", "fingerprint"
+        "stop_seq"
     )
 
 
@@ -97,7 +94,6 @@ def pages_until_cutoff(
     rule: str = "oldest_before",
     max_pages: int | None = rules.LISTING_PAGE_CAP,
     entry_id: str = "entry_id",
-    min_hot_rows: int = skew.HOT_ROWS,
 ) -> DataFrame:
     """Entries on the pages a crawl would read before it is past the window.
 
@@ -116,7 +112,7 @@ def pages_until_cutoff(
         raise ValueError(f"unknown cut-off rule: {rule}")
     stops = dates.filter(past).groupBy(listing).agg(F.min(page).alias("stop_page"))
     capped = entries if max_pages is None else entries.filter(F.col(page) <= max_pages)
-    joined = skew.salted_join(capped, stops, [listing], spread=entry_id, min_rows=min_hot_rows)
+    joined = skew.join_facts(capped, stops, [listing], [entry_id])
     return joined.filter(
         F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page"))
     ).drop("stop_page")

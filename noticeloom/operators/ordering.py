@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from noticeloom.functions.text import col
 from noticeloom.session import ensure_checkpoint_dir
 
-TOP_ROWS = 100_000
 
 
 def export_keys(score: Column | str, published: Column | str, seq: Column | str) -> list[Column]:
@@ -26,22 +25,14 @@ def export_order(
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of an ordered table; the number is clamped to the pages there are.
 
-    Pages near the front are a top-k. A deep page is cut out of numbered rows instead, so that
-    the rows before it are never gathered in one task.
+    The page is cut out of numbered rows, so rows before it are never gathered in one task.
     """
-    wanted = max(number, 1)
-    if wanted * size > TOP_ROWS:
-        total = rows.count()
-        wanted = min(wanted, max(1, -(-total // size)))
-        if wanted * size > TOP_ROWS:
-            first = (wanted - 1) * size
-            numbered = with_global_position(rows, order)
-            inside = F.col("position").between(first + 1, first + size)
-            return numbered.filter(inside).orderBy("position").drop("position")
-    else:
-        total = rows.limit(wanted * size).count()
-        wanted = min(wanted, max(1, -(-total // size)))
-    return rows.orderBy(*order).offset((wanted - 1) * size).limit(size)
+    numbered = with_global_position(rows, order)
+    total = numbered.agg(F.max("position").alias("n")).first()["n"] or 0
+    last = max(1, -(-total // size))
+    first = (min(max(number, 1), last) - 1) * size
+    inside = F.col("position").between(first + 1, first + size)
+    return numbered.filter(inside).orderBy("position").drop("position")
 
 
 def with_global_position(rows: DataFrame, order: list[Column]) -> DataFrame:

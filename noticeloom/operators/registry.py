@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from noticeloom import rules
 from noticeloom.functions.text import col, is_blank, strip
 from noticeloom.functions.urls import host, url_hosts
-from noticeloom.operators.latest import first_per_key, last_per_key, replace_rows
+from noticeloom.operators.latest import first_per_key, last_per_key, replace_rows, require_none
 
 
 
@@ -257,13 +257,10 @@ def eligible_sources(
     )
 
 
-def require_eligible(found: DataFrame, shown: int = 100) -> DataFrame:
+def require_eligible(found: DataFrame) -> DataFrame:
     """Audit rows of the selected sources; every problem is an error, and so is no source."""
-    problems = found.filter("reason IS NOT NULL")
-    listed = problems.orderBy("source_id").limit(shown).collect()
-    if listed:
-        names = ", ".join(f"{row['source_id']} ({row['reason']})" for row in listed)
-        raise ValueError("not eligible: " + names)
+    problems = found.filter("reason IS NOT NULL").select("source_id", "reason")
+    require_none(problems, "not eligible", ["source_id", "reason"])
     if not found.limit(1).count():
         raise ValueError("no verified enabled compliance source is configured")
     return found.select("audit.*") if "audit" in found.columns else found.select("source_id")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from noticeloom import rules, schemas, skew
+from noticeloom import rules, schemas
 from noticeloom.functions.text import col
 
-MAX_AUDIT_ROWS = 10_000
 FAILURE_COUNTERS = ("source_failures", "parse_failures", "analysis_failures")
 
 
@@ -59,19 +58,9 @@ def collection_report(
     )
 
 
-def audit_column(audit: DataFrame | None) -> Column:
-    """Evidence rows of the selected sources as one array; there is one row per source."""
-    rows = [] if audit is None else skew.bounded_collect(audit, MAX_AUDIT_ROWS, "audit")
-    items = [
-        F.struct(*[F.lit(row[field.name]).alias(field.name) for field in schemas.AUDIT])
-        for row in sorted(rows, key=lambda row: row["source_id"])
-    ]
-    return F.array(*items).cast(T.ArrayType(schemas.AUDIT))
-
-
-def with_audit(report: DataFrame, audit: DataFrame | None) -> DataFrame:
-    """The one-row report with its evidence rows."""
-    return report.withColumn("compliance_audit", audit_column(audit))
+def audit_rows(spark: SparkSession, audit: DataFrame | None) -> DataFrame:
+    """Evidence rows of the selected sources as a table of their own, of any length."""
+    return spark.createDataFrame([], schemas.AUDIT) if audit is None else audit.select(*schemas.AUDIT.names)
 
 
 def stage_counts(**tables: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from noticeloom.functions.text import (
     strip,
 )
 from noticeloom.functions.urls import valid_links
+from noticeloom.operators.latest import require_none
 from noticeloom.operators.quality import document_columns, evaluate
 
 NUMERIC_HEADERS = {"商机评分": "int", "行业判断置信度": "double"}
@@ -252,14 +253,11 @@ def missing_documents(docs: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
-def require_documents(docs: DataFrame, requested: DataFrame, shown: int = 100) -> DataFrame:
+def require_documents(docs: DataFrame, requested: DataFrame) -> DataFrame:
     """The requested documents; no request and unknown ids are errors."""
     if not requested.limit(1).count():
         raise ValueError("select at least one document")
-    missing = missing_documents(docs, requested).orderBy("policy_id").limit(shown).collect()
-    if missing:
-        names = rules.LIST_JOINER.join(row["policy_id"] for row in missing)
-        raise ValueError("documents not in this batch: " + names)
+    require_none(missing_documents(docs, requested), "documents not in this batch", ["policy_id"])
     return select_documents(docs, requested)
 
 

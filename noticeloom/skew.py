@@ -1,87 +1,25 @@
-"""Joins and broadcasts that stay even when one key holds a large share of the rows."""
+"""Joins to per-key facts that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-HOT_KEYS = 1000
-HOT_ROWS = 1_000_000
-SALTS = 256
-BROADCAST_ROWS = 100_000
+from noticeloom.session import staged
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], top: int = HOT_KEYS, min_rows: int = HOT_ROWS
+def join_facts(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], row_id: Sequence[str]
 ) -> DataFrame:
-    """The most frequent keys: at most ``top`` rows whatever the data, so safe to broadcast.
+    """Add the facts of a row's key, null where there are none.
 
-    Counting is map-side combined. A key left out has fewer than ``min_rows`` rows or a share
-    below one in ``top``, and so fits a task.
+    ``keys`` and ``row_id`` together identify a row; ``facts`` has one row per key. Only the
+    identifying columns meet the facts, in a plain join of two tables, whose hot keys adaptive
+    execution splits; the facts are written first, so that they are a table and no aggregation
+    stands in the way of splitting. The wide rows then move once, by row, which no key can skew.
+    Rows with a null key have no facts.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") >= min_rows).orderBy(F.desc("_rows")).limit(top)
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread: Column | str,
-    how: str = "left",
-    salts: int = SALTS,
-    top: int = HOT_KEYS,
-    min_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks.
-
-    ``spread`` identifies a left row; ``right`` holds few rows per key and only its rows of hot
-    keys are copied. ``how`` keeps the left side: inner, left, left_semi or left_anti.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot keep the right side: {how}")
-    hot = F.broadcast(hot_keys(left, keys, top, min_rows).select(*keys, F.lit(True).alias("_hot")))
-    part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    # A NULL key matches nothing, but all its rows would still hash to one task.
-    unmatched = reduce(or_, [F.col(key).isNull() for key in keys])
-    salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot") | unmatched, part).otherwise(0)
-    )
-    copies = right.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
-
-
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of fewer splits than cores before costly per-row work; else leave it.
-
-    A table of many splits passes untouched, so this never shuffles a large one.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger table is left to a shuffled join."""
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
-
-
-def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
-    """Rows of a parameter table, such as a rule pack; refuses one that is too large."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows")
-    return rows
-
-
-def bounded_ids(df: DataFrame, column: str, max_rows: int = 10_000) -> list[str]:
-    """Sorted distinct ids of a configuration table."""
-    rows = bounded_collect(df.select(column).distinct(), max_rows, column)
-    return sorted(row[column] for row in rows)
+    own = list(dict.fromkeys([*keys, *row_id]))
+    found = rows.select(*own).join(staged(facts, "facts"), list(keys))
+    return rows.join(found, own, "left")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from noticeloom import skew
 from noticeloom.functions.identity import policy_id
 from noticeloom.functions.text import content_hash, normalize_text
 from noticeloom.functions.urls import host
@@ -28,13 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; the text tables are spread when their file has few splits."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return skew.spread_scan(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def sql_text(value: str) -> str:

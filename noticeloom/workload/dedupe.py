@@ -107,6 +107,20 @@ def cross_source_dedupe(spark, folder):
     return primaries.select("doc_id", "policy_id", "dedupe_key", "group_size")
 
 
+@query(
+    "primary_levels",
+    f"""WITH {SQL_DOCS},
+    ranked AS (SELECT *, CASE WHEN doc_id % 6 < 5 THEN 7 - 3 * (doc_id % 6) END AS level FROM notices)
+    SELECT dedupe_key, arg_min(doc_id, (level IS NULL, coalesce(level, 0), doc_id)) AS doc_id, count(*) AS group_size
+    FROM ranked GROUP BY dedupe_key""",
+)
+def primary_levels(spark, folder):
+    """Primaries under five levels, below and above zero, and an unknown one."""
+    kind = F.col("doc_id") % 6
+    docs = _narrow(spark, folder).withColumn("level", F.when(kind < 5, 7 - 3 * kind))
+    return dedupe.primary_per_group(docs, priority="level", seq="doc_id")
+
+
 @query(
     "duplicate_count",
     f"""WITH {_SQL_PRIMARY}
@@ -140,11 +154,7 @@ def duplicate_count(spark, folder):
 def supplementary_links(spark, folder):
     mirror = F.concat(F.lit("https://mirror.example.org/"), (F.col("doc_id") % 3).cast("string"))
     docs = _narrow(spark, folder).withColumn("supplementary_urls", F.array(mirror))
-    links = dedupe.supplementary_links(docs)
-    inline = dedupe.with_supplementary_urls(dedupe.dedupe(docs), links)
-    return inline.select(
-        "dedupe_key", F.posexplode("supplementary_urls").alias("n", "link")
-    ).select("dedupe_key", "link", (F.col("n") + 1).cast("long").alias("place"))
+    return dedupe.numbered_links(dedupe.supplementary_links(docs))
 
 
 # State: the documents of some sources were processed; those of one have changed since.
@@ -215,6 +225,24 @@ def state_log(spark, folder):
     return state_table.read_state(spark, path).select("policy_id", "content_hash")
 
 
+@query(
+    "state_of_two_runs",
+    f"""WITH {_SQL_STATE}
+    SELECT coalesce(n.policy_id, s.policy_id) AS policy_id,
+           coalesce(n.content_hash, s.content_hash) AS content_hash
+    FROM state s FULL JOIN done n USING (policy_id)""",
+)
+def state_of_two_runs(spark, folder):
+    """Two runs that begin from the same state: both stay, the later one counts."""
+    docs = _narrow(spark, folder)
+    path = scratch(spark, "state")
+    first, second = state_table.next_version(spark, path), state_table.next_version(spark, path)
+    state_table.append_state(_state(docs), path, first)
+    done = docs.join(table(spark, folder, "labels"), "doc_id", "left_semi")
+    state_table.append_state(done, path, second)
+    return state_table.read_state(spark, path).select("policy_id", "content_hash")
+
+
 @query(
     "last_per_key",
     """SELECT conv_id, max_by(role, turn) AS role, max_by(text, turn) AS text,

@@ -317,18 +317,17 @@ def attachment_merge(spark, folder):
     f"""WITH c AS (
       SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'f' || turn || '.pdf'
                WHEN turn % 3 = 1 THEN 'g.DOC' ELSE 'h.docx' END AS name FROM conversations),
-    d AS (SELECT conv_id, max(turn) FILTER (turn % 3 = 0) >= 1000 AS overflow,
+    d AS (SELECT conv_id,
            string_agg({sql_norm("' [附件 ' || (turn + 1) || '：' || name || '] ' || text")}, ' '
-             ORDER BY turn) FILTER (turn % 3 = 0 AND turn < 1000) AS body,
+             ORDER BY turn) FILTER (turn % 3 = 0) AS body,
            string_agg(CASE WHEN turn % 3 = 1 THEN '旧版 Word .doc 附件不自动下载或解析（g.DOC）'
              ELSE '附件解析失败（h.docx）：ValueError: 附件未提取到文本，可能需要 OCR 或人工复核' END,
-             ' ' ORDER BY turn) FILTER (turn % 3 <> 0 AND turn < 1000) AS errors
+             ' ' ORDER BY turn) FILTER (turn % 3 <> 0) AS errors
       FROM c GROUP BY conv_id)
     SELECT conv_id, sha256('conv ' || conv_id || coalesce(' ' || body, '')) AS content_hash,
-           coalesce(errors, '') AS errors, coalesce(overflow, false) AS overflow FROM d""",
+           coalesce(errors, '') AS errors FROM d""",
 )
 def merge_attachments(spark, folder):
-    """Up to a thousand attachments inline; more are flagged, and their segments hold the rest."""
     turns = table(spark, folder, "conversations")
     kind = F.col("turn") % 3
     attachments = turns.select(
@@ -349,7 +348,6 @@ def merge_attachments(spark, folder):
         F.col("policy_id").alias("conv_id"),
         "content_hash",
         F.array_join("attachment_errors", " ").alias("errors"),
-        F.col("text_overflow").alias("overflow"),
     )
 
 
@@ -633,7 +631,7 @@ def forward_fill(spark, folder):
       UNION ALL SELECT p_partkey, 1, section || (100 + p_partkey % 900),
                        CASE WHEN paired THEN name || ' b' ELSE name END
         FROM s WHERE NOT opens AND section IS NOT NULL)
-    SELECT p_partkey * 1000 + n AS seq, code, name FROM pairs""",
+    SELECT p_partkey AS row_no, CAST(n AS BIGINT) AS place, code, name FROM pairs""",
 )
 def classification_pairs(spark, folder):
     number = F.col("p_partkey")
@@ -651,7 +649,8 @@ def classification_pairs(spark, folder):
         F.lit("").alias("class"),
         F.coalesce(name, F.col("p_name")).alias("name"),
     )
-    return fill.classification_pairs(rows).select("seq", "code", "name")
+    pairs = fill.classification_pairs(rows)
+    return pairs.select(long("seq.row_no").alias("row_no"), long("seq.n").alias("place"), "code", "name")
 
 
 @query(

@@ -267,6 +267,42 @@ def written_batch(spark, folder):
     return writers.read_batch(spark, path)
 
 
+@query(
+    "batch_loop",
+    f"""WITH {SQL_DOCS} SELECT policy_id, content_hash, doc_id % 2 AS batch, doc_id % 2 = 1 AS newest FROM notices""",
+)
+def batch_loop(spark, folder):
+    """Two batches written, found, listed and read again by their folders."""
+    docs, root = notices(spark, folder), scratch(spark, "batches")
+    paths = []
+    for number in (0, 1):
+        part = docs.filter(F.col("doc_id") % 2 == number).select("policy_id", "content_hash")
+        header = {"start_date": F.lit(date(2024, 6, 1)), "development_mode": F.lit(False)}
+        paths.append(writers.write_batch(part, header, root, date(2024, 7, 1 + number)))
+    newest = readers.latest_batch(spark, root)
+    found = readers.written_documents(spark, root)
+    day = F.regexp_extract("batch_id", "([0-9]+)$", 1).cast("long")
+    return found.select(
+        "policy_id", "content_hash", (day - 1).alias("batch"), F.lit(newest).endswith(F.col("batch_id")).alias("newest")
+    )
+
+
+@query(
+    "stream_written",
+    f"""WITH {SQL_DOCS} SELECT policy_id, content_hash FROM notices""",
+)
+def stream_written(spark, folder):
+    """Batches the engine wrote, read as a stream."""
+    root = scratch(spark, "written")
+    docs = notices(spark, folder).select("policy_id", "content_hash")
+    writers.write_batch(docs, {"n": F.lit(1)}, f"{root}/in", date(2024, 7, 1))
+    stream = batch_stream.stream_written(spark, f"{root}/in", docs.schema).drop("batch_id")
+    _finish(
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/mark").option("path", f"{root}/out")
+    )
+    return spark.read.schema(docs.schema).parquet(f"{root}/out")
+
+
 @query(
     "report_files",
     """SELECT count(*) FILTER (event_type = 'click') AS changed,

@@ -351,7 +351,7 @@ def title_filter(spark, folder):
     "text_search",
     f"""WITH {SQL_DOCS}
     SELECT doc_id, source_id FROM notices
-    WHERE contains(lower(concat_ws(' ', title, publisher, '', normalized_text)), 'the an')""",
+    WHERE contains(replace(lower(concat_ws(' ', title, publisher, '', normalized_text)), 'ß', 'ss'), 'the an')""",
 )
 def text_search(spark, folder):
     columns = ["title", "publisher", F.lit(None).cast("string"), "normalized_text"]
@@ -362,6 +362,18 @@ def text_search(spark, folder):
     )
 
 
+@query(
+    "text_search_folded",
+    f"""WITH {SQL_DOCS}
+    SELECT doc_id, source_id FROM notices
+    WHERE contains(replace(lower(concat_ws(' ', title, normalized_text)), 'ß', 'ss'), 'enss')""",
+)
+def text_search_folded(spark, folder):
+    """A query in capitals finds the German sharp s as two letters."""
+    hit = text.search("ENSS", ["title", "normalized_text"])
+    return notices(spark, folder).filter(hit).select("doc_id", "source_id")
+
+
 @query(
     "text_search_source",
     f"""WITH {SQL_DOCS}

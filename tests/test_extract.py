@@ -29,24 +29,25 @@ def listing(spark, markup, selectors=None, domains=("a.example",)):
     ]
 
 
-def test_off_domain_links_are_dropped(spark):
-    markup = (
-        '<body><a href="/1.html">设备更新通知</a><span>2026-07-20</span>'
-        '<a href="https://b.example/2.html">产业扶持政策</a></body>'
-    )
-    assert listing(spark, markup) == [
-        ("设备更新通知", "https://a.example/1.html", date(2026, 7, 20))
+def test_only_configured_hosts_are_kept(spark):
+    """The same link under four hosts: only exact members of the list stay."""
+    hosts = ("a.example", "www.a.example", "a.example.net", "c.example")
+    markup = "".join(f'<p><a href="https://{host}/n/7">港口补贴管理办法</a> 2026-07-11</p>' for host in hosts)
+    found = listing(spark, markup, domains=("c.example", "a.example"))
+    assert [row[1] for row in found] == ["https://a.example/n/7", "https://c.example/n/7"]
+
+
+@pytest.mark.parametrize("days", [(27, 28, 29, 30), (1, 2, 3, 4)])
+def test_links_of_one_block_are_dated_one_by_one(spark, days):
+    """Every link of a block takes the date beside it, and the window judges each alone."""
+    month = 6 if days[-1] > 4 else 7
+    valid = [day for day in days if (month, day) >= (7, 1) and day <= 30]
+    cells = "".join(f'<a href="/m/{day}">渔业扶持实施方案{day}</a><em>2026-0{month}-{day:02}</em>' for day in days)
+    assert [(row[1], row[2]) for row in listing(spark, f"<section>{cells}</section>")] == [
+        (f"https://a.example/m/{day}", date(2026, month, day)) for day in valid
     ]
 
 
-def test_each_link_has_its_own_date_in_a_shared_container(spark):
-    markup = (
-        '<div><a href="/old">设备更新通知</a><b>2026-06-30</b>'
-        '<a href="/new">产业扶持政策</a><b>2026-07-20</b></div>'
-    )
-    assert listing(spark, markup) == [("产业扶持政策", "https://a.example/new", date(2026, 7, 20))]
-
-
 def test_listing_rules(spark):
     markup = (
         '<ul class="list box"><li><i>2026年7月2日</i><a href="/a" title=" 全称通知公告 ">短</a></li>'
@@ -157,6 +158,24 @@ def test_attachments(spark):
     assert got["q"]["normalized_text"] == "无附件" and got["q"]["attachment_errors"] == []
 
 
+def test_every_attachment_counts(spark):
+    """1,201 attachments: all of their text, all of their errors, and a hash that sees the last one."""
+    docs = spark.createDataFrame([("p", "正文")], "policy_id string, normalized_text string")
+
+    def merged(last):
+        parts = spark.range(1, 1202).select(
+            F.lit("p").alias("policy_id"), F.col("id").alias("number"), F.concat("id", F.lit(".pdf")).alias("name"),
+            F.when(F.col("id") == 1201, last).when(F.col("id") % 400 != 0, F.concat(F.lit("t"), "id")).alias("text"),
+            F.lit(None).cast("string").alias("error"),
+        )
+        return extract.merge_attachments(docs, parts).first()
+
+    one, other = merged("old"), merged("new")
+    assert one["normalized_text"].endswith("[附件 1201：1201.pdf] old") and " t1199 " in one["normalized_text"]
+    assert one["normalized_text"].count("附件 ") == 1201 - 3 and len(one["attachment_errors"]) == 3
+    assert one["content_hash"] != other["content_hash"]
+
+
 def test_segments_together_are_the_whole_text(spark):
     parts = spark.range(1, 26).select(F.lit("k").alias("k"), F.col("id").alias("n"), F.concat(F.lit("p"), "id").alias("p"))
     merged = extract.merge_parts(parts, "k", "n", "p", per_segment=10).orderBy("segment").collect()

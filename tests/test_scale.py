@@ -23,49 +23,30 @@ def skewed(spark):
     return spark.range(4000).select(F.col("id"), key.alias("k"), (F.col("id") % 13).alias("v"))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, skewed, how):
-    right = skewed.filter("k IS NOT NULL AND k <> 'k3'").groupBy("k").agg(F.max("v").alias("m"))
-    extra = right.filter("k = 'hot'").withColumn("m", F.lit(-1).cast("long"))
-    right = right.unionByName(extra)
-    plain = skewed.join(right, "k", how)
-    salted = skew.salted_join(skewed, right, ["k"], "id", how, salts=16, top=3, min_rows=100)
-    assert rows_of(salted) == rows_of(plain)
+def test_facts_meet_narrow_rows(spark, skewed):
+    facts = skewed.filter("k <> 'k3'").groupBy("k").agg(F.max("v").alias("m"))
+    wide = skewed.withColumn("html", F.repeat(F.lit("x"), 50))
+    joined = skew.join_facts(wide, facts, ["k"], ["id"])
+    assert rows_of(joined.drop("html")) == rows_of(skewed.join(facts, "k", "left"))
 
 
-def test_hot_rows_are_spread(spark, skewed):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_an_aggregate_never_stands_in_a_facts_join(spark, skewed):
+    """Both inputs of the key's join are plain scans, so adaptive execution can split a hot key."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        right = skewed.groupBy("k").agg(F.max("v").alias("m"))
-        joined = skew.salted_join(skewed, right, ["k"], "id", salts=16, top=3, min_rows=100)
-        parts = joined.filter("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        facts = skewed.groupBy("k").agg(F.max("v").alias("m"))
+        plan = skew.join_facts(skewed, facts, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert parts >= 4
-
-
-def test_salted_join_refuses_the_right_side(skewed):
-    with pytest.raises(ValueError):
-        skew.salted_join(skewed, skewed, ["k"], "id", "full_outer")
-
+    assert "Aggregate" not in plan and plan.count("SortMergeJoin") == 2
 
-def test_bounds(spark):
-    with pytest.raises(ValueError, match="pack"):
-        skew.bounded_collect(spark.range(6), 5, "pack")
-    assert len(skew.bounded_collect(spark.range(5), 5, "pack")) == 5
-    hinted = skew.bounded_broadcast(spark.range(5), 5)._jdf.queryExecution().toString()
-    plain = skew.bounded_broadcast(spark.range(6), 5)._jdf.queryExecution().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
 
-
-@pytest.mark.parametrize("block", [1, 7, 100, 10_000])
-def test_forward_fill_equals_one_window(spark, skewed, block):
+@pytest.mark.parametrize(("block", "blocks"), [(1, 3), (7, 2), (100, 1000), (10_000, 1)])
+def test_forward_fill_equals_one_window(spark, skewed, block, blocks):
     marked = skewed.withColumn("x", F.when(F.col("id") % 31 == 0, F.col("id").cast("string")))
     window = Window.partitionBy("k").orderBy("id")
     plain = marked.withColumn("f", F.last("x", True).over(window))
-    assert rows_of(fill.forward_fill(marked.filter("k IS NOT NULL"), "k", "id", "x", "f", block)) == rows_of(
+    assert rows_of(fill.forward_fill(marked.filter("k IS NOT NULL"), "k", "id", "x", "f", block, blocks)) == rows_of(
         plain.filter("k IS NOT NULL")
     )
 
@@ -78,7 +59,7 @@ def test_stop_equals_running_flag(spark, skewed):
         "outcome",
         F.when(F.coalesce(before, F.lit(False)), "dropped").when(F.col("hit"), "restricted").otherwise("kept"),
     ).filter("k IS NOT NULL")
-    got = listing.stop_on_restricted(log, "k", "id", "hit", min_hot_rows=100).filter("k IS NOT NULL")
+    got = listing.stop_on_restricted(log, "k", "id", "hit").filter("k IS NOT NULL")
     assert rows_of(got) == rows_of(plain)
 
 
@@ -97,7 +78,7 @@ def test_distinct_pages_equals_a_walk(spark):
                 break
             seen.add(url + markup)
             expected.add((name, seq))
-    got = listing.distinct_pages(pages, min_hot_rows=5)
+    got = listing.distinct_pages(pages)
     assert {(row["listing_id"], row["seq"]) for row in got.collect()} == expected
 
 
@@ -126,7 +107,7 @@ def test_cutoff_equals_a_walk(spark, rule):
             if rule == "none_current" and not any(day >= start for day in days):
                 break
     cap = 20 if rule == "oldest_before" else None
-    got = listing.pages_until_cutoff(entries, start, rule=rule, max_pages=cap, min_hot_rows=10)
+    got = listing.pages_until_cutoff(entries, start, rule=rule, max_pages=cap)
     assert {(row["listing_id"], row["entry_id"]) for row in got.collect()} == expected
 
 
@@ -135,11 +116,10 @@ def test_top_per_group_limits_before_the_shuffle(spark, skewed):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
-def test_positions_and_deep_pages(spark, monkeypatch):
+def test_positions_and_deep_pages(spark):
     rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("n")).repartition(6)
     numbered = ordering.with_global_position(rows, [F.col("n").desc()])
     assert numbered.filter(F.col("position") + F.col("n") != 5000).count() == 0
-    monkeypatch.setattr(ordering, "TOP_ROWS", 100)
     deep = ordering.page(rows, [F.col("n").asc()], 40, 30).collect()
     assert [row["n"] for row in deep] == list(range(1170, 1200))
     last = ordering.page(rows, [F.col("n").asc()], 10_000, 30).collect()
@@ -163,13 +143,6 @@ def test_filters_reach_the_scan(spark):
     assert "o_totalprice" not in plan
 
 
-def test_small_scans_are_spread_and_large_ones_are_not(spark):
-    small = spark.range(100).coalesce(1)
-    assert skew.spread_scan(small, "id").rdd.getNumPartitions() > 1
-    large = spark.range(0, 100, 1, 64)
-    assert skew.spread_scan(large, "id") is large
-
-
 def test_change_detection_with_hot_ids_and_keys(spark):
     from noticeloom.operators.incremental import changed_only
 
@@ -183,7 +156,7 @@ def test_change_detection_with_hot_ids_and_keys(spark):
         [("same", "h", "other"), ("zz", "x", "key"), ("p1", "h", None)],
         "policy_id string, content_hash string, dedupe_key string",
     )
-    salted = changed_only(rows, state, min_hot_rows=10)
+    salted = changed_only(rows, state)
     plain = changed_only(rows, state, deduplicated=True)
     assert rows_of(salted) == rows_of(plain)
 
