@@ -24,7 +24,7 @@ def analyzed_documents(
     """Documents with their checked analysis, or an error type and text."""
     parsed = analysis.parse_analysis(raw)
     failed = parsed.select(
-        "policy_id",
+        *[name for name in ("policy_id", "seq") if name in raw.columns],
         "analysis",
         F.coalesce(
             "error_type", F.when(F.col("contract_errors").isNotNull(), "ValidationError")
@@ -66,17 +66,15 @@ def run(
     staging = writers.available_path(spark, f"{output.rstrip('/')}/_staging-{end.isoformat()}")
     changed_documents(documents, known, start, end, force).write.parquet(f"{staging}/changed")
     changed = spark.read.parquet(f"{staging}/changed")
-    analysis.analyze(changed, analyzer).write.parquet(f"{staging}/answers")
+    analysis.analyze_checked(changed, analyzer).write.parquet(f"{staging}/answers")
     answers = spark.read.parquet(f"{staging}/answers")
 
     analyzed = analyzed_documents(changed, answers, catalog, tags)
     rows.result_rows(analyzed, end).write.parquet(f"{staging}/rows")
     result = spark.read.parquet(f"{staging}/rows")
     export = writers.write_export(result, output, end)
-    failed = analyzed.filter("error_type IS NOT NULL").select("policy_id")
-    state_table.append_state(
-        changed.join(failed, "policy_id", "left_anti"), state_path, version
-    )
+    failed = analyzed.filter("error_type IS NOT NULL").select("seq")
+    state_table.append_state(changed.join(failed, "seq", "left_anti"), state_path, version)
     stages = reports.stage_counts(
         discovered=documents, changed=changed, analysis_failure=failed
     ).unionByName(reports.row_stages(result))
@@ -89,5 +87,6 @@ def run(
         )
     )
     report = reports.run_report(stages.unionByName(skipped), amount="n")
-    report = reports.with_audit(report, audit)
-    return export, writers.write_report(report, output, end)
+    written = writers.write_report(report, output, end)
+    reports.audit_rows(spark, audit).write.mode("errorifexists").parquet(f"{written}-audit")
+    return export, written

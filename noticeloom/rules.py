@@ -188,5 +188,6 @@ PROMPT_BLANK_ERROR = "用户提示词模板不能为空"
 
 SCHEMA_VERSION = 1
 BATCH_FILE_GLOB = "policy-batch-*.json"
+BATCH_FOLDER_GLOB = "policy-batch-*"
 LISTING_PAGE_CAP = 20
 DEFAULT_WINDOW_DAYS = 30

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,14 +46,18 @@ def build_session(app: str = "noticeloom", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; fall back to a local one in local mode only."""
+    """The cluster's shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
+
+    Only a session in one process may go without: driver and executors are the same then, and a
+    temporary folder of their machine serves, as in tests.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="noticeloom-checkpoint-")
     context.setCheckpointDir(folder)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from noticeloom import rules, schemas
 from noticeloom.operators.latest import assert_unique
+from noticeloom.sources.writers import of_known_version
 
 
 def _file_columns() -> list[Column]:
@@ -20,10 +24,14 @@ def _file_columns() -> list[Column]:
 def read_batches(
     spark: SparkSession, path: str, pattern: str = rules.BATCH_FILE_GLOB
 ) -> DataFrame:
-    """Batch files, one row each with nested documents; an unknown schema version is an error."""
+    """Batch files, one row each with nested documents.
+
+    An unknown schema version and a file that is not whole JSON are errors, whatever is selected.
+    """
     raw = (
         spark.read.schema(schemas.BATCH)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("pathGlobFilter", pattern)
         .json(path)
         .select("*", *_file_columns())
@@ -33,15 +41,38 @@ def read_batches(
 
 def checked_batches(raw: DataFrame) -> DataFrame:
     """Batch rows with the version checked and the development flag defaulted."""
-    known = F.coalesce(F.col("schema_version") == rules.SCHEMA_VERSION, F.lit(False))
-    version = F.when(known, F.col("schema_version")).otherwise(
-        F.raise_error(F.lit("unsupported policy batch schema"))
-    )
-    return raw.withColumn("schema_version", version.cast("long")).withColumn(
+    return of_known_version(raw).withColumn(
         "development_mode", F.coalesce("development_mode", F.lit(False))
     )
 
 
+def written_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Complete batch folders, one row each: header, batch_id, path and time; newest first.
+
+    Sources and audit of a batch are the tables ``sources`` and ``audit`` beside its documents.
+    """
+    place = F.regexp_replace("file_path", "/header/[^/]*$", "")
+    fields = [field for field in schemas.BATCH if field.name not in ("documents", "source_ids", "compliance_audit")]
+    headers = (
+        spark.read.schema(T.StructType(fields))
+        .option("mode", "FAILFAST")
+        .json(f"{folder.rstrip('/')}/{rules.BATCH_FOLDER_GLOB}/header")
+        .select("*", *_file_columns())
+        .withColumn("path", place)
+        .withColumn("batch_id", F.regexp_extract(place, "([^/]+)$", 1))
+    )
+    return checked_batches(headers).orderBy(F.desc("modified_at"), F.desc("batch_id"))
+
+
+def written_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of all complete batch folders with their batch_id."""
+    whole = written_batches(spark, folder).select("batch_id")
+    read = spark.read.option("mergeSchema", True).parquet(f"{folder.rstrip('/')}/{rules.BATCH_FOLDER_GLOB}/documents")
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/documents/[^/]*$", 1)
+    found = read.select("*", batch.alias("batch_id")).join(whole, "batch_id", "left_semi")
+    return of_known_version(found).drop("schema_version")
+
+
 def batch_documents(batches: DataFrame) -> DataFrame:
     """Documents of the batches with their batch name and place in it."""
     return batches.select(
@@ -50,24 +81,34 @@ def batch_documents(batches: DataFrame) -> DataFrame:
 
 
 def latest_batch(spark: SparkSession, path: str, pattern: str = rules.BATCH_FILE_GLOB) -> str:
-    """Path of the newest batch file. Reads file metadata only."""
+    """Path of the newest batch: a batch file, or a batch folder with its header.
+
+    Reads file metadata only.
+    """
     files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         .select("path", "modificationTime")
-    )
-    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()
+    )
+    folder = F.regexp_extract("path", f"^(.*/{_glob(rules.BATCH_FOLDER_GLOB)})/header/[^/]+[.]json$", 1)
+    alone = F.regexp_extract("path", f"^(.*/{_glob(pattern)})$", 1)
+    batch = F.when(folder != "", folder).when(~F.col("path").contains("/header/"), alone)
+    found = files.select(batch.alias("path"), "modificationTime").filter("path <> ''")
+    newest = found.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()
     if newest["path"] is None:
         raise ValueError(f"no policy batch found in {path}")
     return newest["path"]
 
 
+def _glob(pattern: str) -> str:
+    """A file pattern with stars as a regular expression."""
+    return "[^/]*".join(re.escape(part) for part in pattern.split("*"))
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Source configuration with defaults; wrong booleans, versions, origins or ids are errors."""
     fields = [field for field in schemas.SOURCE if field.name != "enabled"]
     raw_type = T.ArrayType(T.StructType([*fields, T.StructField("enabled", T.StringType())]))
-    text = spark.read.text(path, wholetext=True)
+    text = _whole_json(spark, path)
     # from_json turns a JSON true into the text "true" and also a string "true": check the variant.
     parsed = text.select(
         F.posexplode(
@@ -118,10 +159,12 @@ _CHECKED = {"enabled", "request_interval_seconds", "adapter_version", "origin",
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry records in file order; ``registry_violations`` says what is wrong with them."""
-    text = spark.read.text(path, wholetext=True)
+    text = _whole_json(spark, path)
     rows = text.select(
         F.posexplode(F.from_json("value", T.ArrayType(schemas.REGISTRY))).alias("seq", "record")
     ).select("seq", "record.*")
+    if "source_id" in rows.columns:
+        assert_unique(rows, ["source_id"], "source_id")
     return rows.withColumns(
         {
             "registration": F.coalesce("registration", F.lit("unknown")),
@@ -192,8 +235,16 @@ def registry_type_violations(records: DataFrame, json_column: str = "value") ->
     return records.withColumn("type_violations", found)
 
 
-def _json_array(spark: SparkSession, path: str, item: T.DataType) -> DataFrame:
+def _whole_json(spark: SparkSession, path: str) -> DataFrame:
+    """Files as text, one row each; one that is not a JSON array is an error, never an empty list."""
     text = spark.read.text(path, wholetext=True)
+    array = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_metadata.file_path"))).cast("boolean")
+    return text.filter(F.when(array, F.lit(True)).otherwise(failed))
+
+
+def _json_array(spark: SparkSession, path: str, item: T.DataType) -> DataFrame:
+    text = _whole_json(spark, path)
     return text.select(F.posexplode(F.from_json("value", T.ArrayType(item))).alias("seq", "item"))
 
 
@@ -244,19 +295,35 @@ def snapshot_parts(path: Column | str) -> Column:
 
 
 def read_snapshots(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Stored raw pages with the parts of their path."""
+    """Stored raw pages with the parts of their path: ``content`` as bytes, ``body`` of pages as text.
+
+    ``body`` is decoded by the declared charset, UTF-8 without one, and characters that do not fit
+    are replaced; files of other kinds have no body.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    return files.select(
-        "path",
-        snapshot_parts("path").alias("parts"),
-        F.col("length").alias("size"),
-        F.decode("content", "UTF-8").alias("body"),
-    ).select("path", "parts.*", "size", "body")
+    rows = files.select("path", snapshot_parts("path").alias("parts"), F.col("length").alias("size"), "content")
+    page = F.lower("parts.extension").isin("html", "htm", "txt", "json", "xml")
+    return rows.select("path", "parts.*", "size", "content", F.when(page, _decoded("content")).alias("body"))
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(contents: pd.Series) -> pd.Series:
+    def decode(content: bytes | None) -> str | None:
+        if content is None:
+            return None
+        declared = re.search(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", content[:2048])
+        name = declared[1].decode() if declared else "utf-8-sig"
+        try:
+            return content.decode("gb18030" if name.lower() in ("gb2312", "gbk") else name, "replace")
+        except LookupError:
+            return content.decode("utf-8", "replace")
+
+    return contents.map(decode)
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType, pattern: str) -> DataFrame:

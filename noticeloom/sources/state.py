@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from noticeloom import schemas
 from noticeloom.sources.writers import _exists
 
 VERSION = "version"
-LOG = T.StructType([*schemas.STATE.fields, T.StructField(VERSION, T.LongType())])
+RUN = "run"
+LOG = T.StructType(
+    [
+        *schemas.STATE.fields,
+        T.StructField(VERSION, T.LongType()),
+        T.StructField(RUN, T.StringType()),
+    ]
+)
 
 
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -18,8 +28,8 @@ def read_state(spark: SparkSession, path: str, before: int | None = None) -> Dat
     log = spark.read.schema(LOG).parquet(path)
     if before is not None:
         log = log.filter(F.col(VERSION) < before)
-    # Within one version an id normally occurs once; the hash settles a tie the same way each time.
-    order = F.struct(F.col(VERSION), F.col("content_hash"), F.col("dedupe_key"))
+    # Runs that began from the same state share a version: the one that ended later counts.
+    order = F.struct(F.col(VERSION), F.col(RUN), F.col("content_hash"), F.col("dedupe_key"))
     last = log.groupBy("policy_id").agg(F.max(order).alias("last"))
     return last.select("policy_id", "last.content_hash", "last.dedupe_key")
 
@@ -32,10 +42,15 @@ def next_version(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
-def append_state(successes: DataFrame, path: str, version: int) -> None:
-    """Write the successes of one run; a repeat of the run replaces exactly its own version."""
-    successes.select(*schemas.STATE.names).write.mode("overwrite").parquet(
-        f"{path.rstrip('/')}/{VERSION}={version}"
+def append_state(successes: DataFrame, path: str, version: int, run: str | None = None) -> None:
+    """Write the successes of one run under a folder of its own, so runs never replace each other.
+
+    A run that can be repeated, such as a micro-batch, names itself; its repeat replaces exactly
+    its own records.
+    """
+    own = run or f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    successes.select(*schemas.STATE.names).write.mode("overwrite" if run else "errorifexists").parquet(
+        f"{path.rstrip('/')}/{VERSION}={version}/{RUN}={own}"
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noticeloom import rules
@@ -12,8 +13,19 @@ from noticeloom.operators.rows import clean_links
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether a file or a folder with files is there; asks Spark's own file source."""
+    try:
+        return not (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .load(path)
+            .select("path")
+            .isEmpty()
+        )
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def available_path(spark: SparkSession, base: str) -> str:
@@ -30,14 +42,30 @@ def batch_path(spark: SparkSession, folder: str, end: date) -> str:
 
 
 def write_documents(documents: DataFrame, path: str) -> DataFrame:
-    """Write the documents of a new batch and return what was written."""
-    documents.write.mode("errorifexists").parquet(f"{path}/documents")
+    """Write the documents of a new batch, each with the schema version, and return them."""
+    marked = documents.withColumn("schema_version", F.lit(rules.SCHEMA_VERSION).cast("long"))
+    marked.write.mode("errorifexists").parquet(f"{path}/documents")
     return documents.sparkSession.read.schema(documents.schema).parquet(f"{path}/documents")
 
 
-def write_header(spark: SparkSession, path: str, end: date, header: dict[str, Column]) -> None:
-    """Write the one-row header last: a batch without one is not complete and is not read."""
-    spark.range(1).select(
+def write_header(
+    spark: SparkSession,
+    path: str,
+    end: date,
+    header: dict[str, Column],
+    row: DataFrame | None = None,
+    **tables: DataFrame | None,
+) -> None:
+    """Write the tables beside the documents and the one-row header last.
+
+    ``row`` is one row whose columns join the header, such as a report. A batch without header is
+    not complete and is not read.
+    """
+    for name, table in tables.items():
+        if table is not None:
+            table.write.mode("errorifexists").parquet(f"{path}/{name}")
+    (spark.range(1).drop("id") if row is None else row).select(
+        "*",
         F.lit(rules.SCHEMA_VERSION).alias("schema_version"),
         F.current_timestamp().alias("created_at"),
         F.lit(end).alias("end_date"),
@@ -55,10 +83,20 @@ def write_batch(documents: DataFrame, header: dict[str, Column], folder: str, en
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a written batch."""
-    if not _exists(spark, f"{path}/header/_SUCCESS"):
+    """Documents of a written batch; an incomplete one or one of another version is an error."""
+    if not _exists(spark, f"{path}/header"):
         raise ValueError(f"incomplete batch: {path}")
-    return spark.read.parquet(f"{path}/documents")
+    return of_known_version(spark.read.parquet(f"{path}/documents")).drop("schema_version")
+
+
+def of_known_version(rows: DataFrame) -> DataFrame:
+    """The rows, after each one's schema version was checked.
+
+    The check is a filter, so no choice of columns can prune it.
+    """
+    known = F.coalesce(F.col("schema_version") == rules.SCHEMA_VERSION, F.lit(False))
+    failed = F.raise_error(F.lit("unsupported policy batch schema")).cast("boolean")
+    return rows.filter(F.when(known, F.lit(True)).otherwise(failed))
 
 
 def write_export(rows: DataFrame, folder: str, run_date: date, seq: str = "seq") -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from noticeloom import rules, schemas
 from noticeloom.sources.readers import checked_batches
+from noticeloom.sources.writers import of_known_version
 
 
 def stream_batches(
@@ -18,6 +19,7 @@ def stream_batches(
     files = (
         spark.readStream.schema(schemas.BATCH)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .json(folder)
@@ -26,3 +28,17 @@ def stream_batches(
     return checked_batches(files).select(
         F.col("name").alias("batch_id"), F.posexplode("documents").alias("place", "document")
     ).select("batch_id", "place", "document.*")
+
+
+def stream_written(
+    spark: SparkSession, folder: str, schema: T.StructType = schemas.DOCUMENT, max_files_per_trigger: int = 100
+) -> DataFrame:
+    """Documents of each new batch folder the engine has written, with their batch_id."""
+    versioned = T.StructType([*schema.fields, T.StructField("schema_version", T.LongType())])
+    files = (
+        spark.readStream.schema(versioned)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(f"{folder.rstrip('/')}/{rules.BATCH_FOLDER_GLOB}/documents")
+    )
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/documents/[^/]*$", 1)
+    return of_known_version(files.select("*", batch.alias("batch_id"))).drop("schema_version")

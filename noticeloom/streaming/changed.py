@@ -34,7 +34,7 @@ def stream_changed(
             changed.write.mode("overwrite").parquet(target)
             # Read back what was written: the state records exactly the output.
             written = spark.read.schema(changed.schema).parquet(target)
-            append_state(written, state_path, number)
+            append_state(written, state_path, number, run="stream")
         finally:
             batch.unpersist()
 

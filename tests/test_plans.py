@@ -59,7 +59,14 @@ def test_collect_then_repeat(spark, sources, tmp_path):
     assert docs[2]["supplementary_urls"] == ["https://a.example/1"]
     assert tuple(report.first()) == (5, 2, 1, 0, 1)
     header = spark.read.json(f"{path}/header").first()
-    assert header["source_ids"] == ["s1", "s2"] and header["report"]["collected"] == 2
+    assert header["report"]["collected"] == 2
+    assert {row["source_id"] for row in spark.read.parquet(f"{path}/sources").collect()} == {"s1", "s2"}
+    assert {row["link"] for row in spark.read.parquet(f"{path}/links").collect()} == {"https://a.example/1"}
+    # The engine finds, lists and reads its own batches.
+    assert readers.latest_batch(spark, folder).endswith(path)
+    listed = readers.written_batches(spark, folder).collect()
+    assert [(row["batch_id"], row["report"]["discovered"]) for row in listed] == [(path.rsplit("/", 1)[1], 5)]
+    assert {row["seq"] for row in readers.written_documents(spark, folder).collect()} == {2, 3}
     assert state_table.read_state(spark, state).count() == 2
 
     rows[2] = page(3, "s1", "改过的内容")
@@ -70,8 +77,8 @@ def test_collect_then_repeat(spark, sources, tmp_path):
 
 
 def test_a_restricted_page_ends_its_source(spark, sources, tmp_path):
-    rows = [page(1, "s1", "甲"), page(2, "s1", "请输入验证码"), page(3, "s1", "丙"), page(4, "s2", "丁"),
-            page(5, "s2", "戊"), page(6, "s2", "己")]
+    rows = [page(1, "s1", "甲"), page(2, "s1", "请输入验证码"), page(3, "s1", "丙"),
+            *[page(number, "s2", body, host="b.example") for number, body in ((4, "丁"), (5, "戊"), (6, "己"))]]
     pages = pages_of(spark, rows).withColumn("status_code", F.when(F.col("seq") == 6, 429).otherwise(200))
     path, report = collect.collect_batch(
         spark, pages, sources, str(tmp_path / "b"), str(tmp_path / "s"), START, END)
@@ -79,6 +86,30 @@ def test_a_restricted_page_ends_its_source(spark, sources, tmp_path):
     assert tuple(report.first()) == (6, 3, 0, 2, 0)
 
 
+def test_failed_foreign_and_unconfigured_pages_are_counted(spark, sources, tmp_path):
+    rows = [page(1, "s1", "甲"), page(2, "s1", "乙"), page(3, "s1", "丙", host="c.example"), page(4, "s3", "丁")]
+    pages = pages_of(spark, rows).withColumn("status_code", F.when(F.col("seq") == 2, 404).otherwise(200))
+    bare = spark.createDataFrame([("s3", "没有适配器", "全国", ["a.example"], "manual", "other")], sources.schema)
+    attachments = spark.createDataFrame(
+        [(F_ID, 1, "a.pdf", "附件文字", None) for F_ID in ["none"]],
+        "policy_id string, number long, name string, text string, error string",
+    )
+    path, report = collect.collect_batch(
+        spark, pages, sources.unionByName(bare), str(tmp_path / "b"), str(tmp_path / "s"), START, END, attachments=attachments)
+    assert {row["seq"] for row in writers.read_batch(spark, path).collect()} == {1}
+    assert tuple(report.first()) == (4, 1, 0, 0, 3)
+
+
+def test_two_runs_from_one_state_both_stay(spark, tmp_path):
+    path = str(tmp_path / "state")
+    first, second = state_table.next_version(spark, path), state_table.next_version(spark, path)
+    for version, name in ((first, "a"), (second, "b")):
+        row = spark.createDataFrame([(name, "1", None), ("both", name, None)], schemas.STATE)
+        state_table.append_state(row, path, version)
+    state = {row["policy_id"]: row["content_hash"] for row in state_table.read_state(spark, path).collect()}
+    assert state == {"a": "1", "b": "1", "both": "b"}
+
+
 def _documents(spark):
     def row(number, text, **changes):
         base = {
@@ -142,7 +173,7 @@ def test_analyze_then_repeat(spark, tmp_path):
     assert readers.read_export(spark, export, "?", "标题1").count() == 1
     counters = spark.read.schema(schemas.RUN_REPORT).json(report).first()
     assert tuple(counters)[:8] == (4, 4, 0, 0, 0, 1, 1, 2)
-    assert counters["compliance_audit"][0]["verified_at"] == END
+    assert spark.read.parquet(f"{report}-audit").first()["verified_at"] == END
 
     export, report = run()
     counters = spark.read.schema(schemas.RUN_REPORT).json(report).first()
@@ -210,8 +241,12 @@ def test_batch_files(spark, tmp_path):
     summary = reports.batch_summary(batches.withColumn("batch_id", F.col("name")), readers.batch_documents(batches))
     assert [row["document_count"] for row in summary.collect()] == [1, 1]
     _batch(tmp_path / "policy-batch-2026-07-31.json", [], schema_version=2)
+    # The check holds when only documents are asked for.
     with pytest.raises(Exception, match="unsupported policy batch schema"):
-        readers.read_batches(spark, str(tmp_path)).select("schema_version").collect()
+        readers.batch_documents(readers.read_batches(spark, str(tmp_path))).select("policy_id").collect()
+    (tmp_path / "policy-batch-2026-07-31.json").write_text('{"schema_version": 1, "documents": [{"policy_id": "c"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.batch_documents(readers.read_batches(spark, str(tmp_path))).select("policy_id").collect()
     empty = tmp_path / "empty"
     empty.mkdir()
     with pytest.raises(ValueError, match="no policy batch"):
@@ -234,8 +269,11 @@ def test_sources_file(spark, tmp_path):
                          ({"adapter_version": " "}, "adapter_version"), ({"origin": "x"}, "origin")):
         with pytest.raises(Exception, match=message):
             read({**base, **bad})
-    with pytest.raises(ValueError, match="duplicate source_id: a"):
+    with pytest.raises(ValueError, match="duplicate source_id: 1, first a"):
         read(base, base)
+    path.write_text('[{"source_id": "a"')
+    with pytest.raises(Exception, match="not a JSON array"):
+        readers.read_sources(spark, str(path)).select("source_id").collect()
 
 
 def test_dimension_files(spark, tmp_path):
@@ -248,6 +286,12 @@ def test_dimension_files(spark, tmp_path):
     words = readers.read_keywords(spark, write("k", [{"text": "a", "tag": "b"}])).first()
     assert (words["text"], words["signal_strength"]) == ("a", None)
     assert readers.read_portals(spark, write("p", [{"portal_id": "p"}])).first()["portal_id"] == "p"
+    (tmp_path / "broken").write_text('[{"text": "a", ')
+    for read in (readers.read_keywords, readers.read_codes, readers.read_tags, readers.read_portals):
+        with pytest.raises(Exception, match="not a JSON array"):
+            read(spark, str(tmp_path / "broken")).collect()
+    with pytest.raises(ValueError, match="duplicate source_id"):
+        readers.read_registry(spark, write("r", [{"source_id": "x"}, {"source_id": "x"}]))
 
 
 def test_snapshots(spark, tmp_path):
@@ -255,11 +299,16 @@ def test_snapshots(spark, tmp_path):
     day.mkdir()
     (day / "abc.html").write_text("<p>政</p>", encoding="utf-8")
     (day / "abc-2.html").write_text("x")
-    (day / "abc-attachment-1.pdf").write_bytes(b"1")
+    (day / "abc-attachment-1.pdf").write_bytes(b"%PDF\xff\xfe")
+    (day / "gbk.html").write_bytes('<meta charset="gbk"><p>政策</p>'.encode("gbk"))
+    (day / "cut.html").write_bytes("<p>政</p>".encode()[:4])
     got = {row["path"].rsplit("/", 1)[1]: row for row in readers.read_snapshots(spark, str(tmp_path)).collect()}
     first = got["abc.html"]
     assert (first["snapshot_id"], first["copy"], first["collected_on"]) == ("abc", 0, date(2026, 7, 29))
     assert first["body"] == "<p>政</p>"
+    assert got["gbk.html"]["body"].endswith("<p>政策</p>") and got["cut.html"]["body"].startswith("<p>")
+    pdf = got["abc-attachment-1.pdf"]
+    assert pdf["body"] is None and bytes(pdf["content"]) == b"%PDF\xff\xfe"
     assert (got["abc-2.html"]["snapshot_id"], got["abc-2.html"]["copy"]) == ("abc", 2)
 
 
