@@ -198,7 +198,7 @@ def _opportunities():
 
     def opportunity(shift: int):
         kind = (number + shift) % 9
-        good = F.expr("substring(text, cast(doc_id % 30 as int) + 1, 25)")
+        good = F.expr("substring(text, 1 + cast(doc_id * 37 % greatest(char_length(text) - 25, 1) as int), 25)")
         return F.struct(
             F.when(kind == 1, "AB").otherwise("A").alias("section_code"),
             F.lit("农业").alias("section_name"),
@@ -232,7 +232,9 @@ def _ddl() -> str:
     )
 
 
-_SQL_Q = sql_norm("substr(text, CAST(doc_id % 30 AS BIGINT) + 1, 25)")
+_SQL_Q = sql_norm(
+    "substr(text, 1 + CAST(doc_id * 37 % greatest(length(text) - 25, 1) AS BIGINT), 25)"
+)
 
 
 @query(
@@ -373,11 +375,17 @@ def analysis_join(spark, folder):
 )
 def evaluate(spark, folder):
     kind = F.col("doc_id") % 13
-    head = normalize_text(F.substring("normalized_text", 1, 20))
-    location = F.concat(F.lit("正文字符1-"), F.char_length(head).cast("string"))
+    # A quote from anywhere in the text; its first place is the true one.
+    start = F.col("doc_id") * 37 % F.greatest(F.char_length("normalized_text") - 20, F.lit(1)) + 1
+    quote = F.substr("normalized_text", start.cast("int"), F.lit(20))
+    head = normalize_text(quote)
+    place = F.instr("normalized_text", head)
+    location = F.concat(
+        F.lit("正文字符"), place.cast("string"), F.lit("-"), (place + F.char_length(head) - 1).cast("string")
+    )
     evidence = F.array(
         F.struct(
-            F.substring("normalized_text", 1, 20).alias("quote"),
+            quote.alias("quote"),
             F.when(F.col("doc_id") % 3 == 0, "正文字符0-1").otherwise(location).alias("location"),
         )
     )
@@ -427,6 +435,13 @@ def evidence_type() -> str:
 # ---- the whole analysis of documents --------------------------------------------------------------
 
 
+def _quote(document):
+    """Twenty characters from anywhere in the text."""
+    text = document["normalized_text"]
+    start = document["doc_id"] * 37 % max(len(text) - 20, 1)
+    return text[start : start + 20]
+
+
 def _analyzer(document, note: str) -> str:
     """Answers by document number; some calls fail once, some always."""
     number = document["doc_id"]
@@ -439,7 +454,7 @@ def _analyzer(document, note: str) -> str:
             {
                 **_OPPORTUNITY,
                 "confidence": 0.9 if number % 5 else 0.5,
-                "evidence": [{"quote": document["normalized_text"][:20], "location": "?"}],
+                "evidence": [{"quote": _quote(document), "location": "?"}],
                 "recommended_action": " " if number % 4 == 1 else "call",
                 "opening_script": "官方背书" if number % 23 == 0 else "hello",
             }
@@ -472,7 +487,8 @@ def _analyzed(spark, folder):
 
 
 _SQL_RESULTS = f"""{SQL_DOCS},
-q AS (SELECT *, trim(substr(normalized_text, 1, 20)) AS quote FROM notices),
+q AS (SELECT *, trim(substr(normalized_text,
+  1 + CAST(doc_id * 37 % greatest(length(normalized_text) - 20, 1) AS BIGINT), 20)) AS quote FROM notices),
 k AS (SELECT *, CASE WHEN doc_id % 14 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'none'
     WHEN doc_id % 3 = 0 THEN 'benefit' ELSE 'opportunity' END AS kind FROM q),
 g AS (SELECT *, CASE WHEN title = '' THEN '政策追溯信息不完整：政策名称'
@@ -491,7 +507,8 @@ results AS (
          WHEN kind = 'benefit' THEN '惠企政策未识别到可验证的机会行业'
          WHEN gate IS NOT NULL THEN gate
          WHEN NOT clear THEN '行业判断不明确' ELSE '' END AS reason,
-    CASE WHEN kind = 'opportunity' THEN '正文字符1-' || length(quote) ELSE '' END AS location,
+    CASE WHEN kind = 'opportunity' THEN '正文字符' || strpos(normalized_text, quote) || '-'
+         || (strpos(normalized_text, quote) + length(quote) - 1) ELSE '' END AS location,
     CASE WHEN kind = 'failed' THEN substr(normalized_text, 1, 32000) ELSE 'TITLE' END AS summary,
     CASE WHEN kind <> 'opportunity' THEN '' WHEN doc_id % 23 = 0 THEN '{rules.DISCLAIMER}'
          ELSE 'hello' || chr(10) || chr(10) || '{rules.DISCLAIMER}' END AS script,

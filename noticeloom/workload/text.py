@@ -388,14 +388,14 @@ def text_search_source(spark, folder):
 @query(
     "evidence_location",
     f"""WITH n AS (SELECT doc_id, {sql_norm("text")} AS t,
-           {sql_norm("substr(text, CAST(doc_id % 40 AS BIGINT) + 3, 30)")} AS q FROM documents)
+           {sql_norm("substr(text, 1 + CAST(doc_id * 37 % greatest(length(text) - 30, 1) AS BIGINT), 30)")} AS q FROM documents)
     SELECT doc_id, CASE WHEN q <> '' AND strpos(t, q) > 0 THEN '正文字符' || strpos(t, q) || '-'
              || (strpos(t, q) + length(q) - 1) END AS location,
            CAST(NULL AS VARCHAR) AS missing
     FROM n""",
 )
 def evidence_location(spark, folder):
-    quote = F.expr("substring(text, cast(doc_id % 40 as int) + 3, 30)")
+    quote = F.expr("substring(text, 1 + cast(doc_id * 37 % greatest(char_length(text) - 30, 1) as int), 30)")
     body = text.normalize_text("text")
     return table(spark, folder, "documents").select(
         "doc_id",
