@@ -275,6 +275,7 @@ def read_industry_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("header", True)
         .option("enforceSchema", True)
         .option("multiLine", True)
+        .option("escape", '"')
         .csv(path)
     )
     return rows.select("*", F.monotonically_increasing_id().alias("seq"))

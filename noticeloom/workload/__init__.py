@@ -4,6 +4,7 @@ from noticeloom.workload import (  # noqa: F401
     dedupe,
     discovery,
     extraction,
+    files,
     quality,
     registry,
     reports,

@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from noticeloom.operators import discovery, extract, listing, reports
-from noticeloom.operators.latest import first_per_key
 from noticeloom.plans.search_sources import search_sources
 from noticeloom.workload.base import (
     SQL_DOCS,
@@ -239,17 +238,18 @@ def compliance_check(spark, folder):
     )
 
 
-# ---- the whole discovery flow: one portal per host, its first page is the fetched one -------------
+# ---- the whole discovery flow: every page is the entry page of a portal -----------------------------
 
 
 def _searched(spark, folder):
-    first = first_per_key(
-        hosted_pages(spark, folder).select("host", "page_id", "url", "html"), ["host"], "page_id"
-    )
+    first = hosted_pages(spark, folder).select(
+        F.concat_ws("/", "host", F.col("page_id").cast("string")).alias("portal_id"),
+        "host", "page_id", "url", "html",
+    )
     number = F.col("page_id")
     # The title rule looks for the default markers: put one in front of every link text.
     fetches = first.select(
-        F.col("host").alias("portal_id"),
+        "portal_id",
         F.when(number % 9 == 0, 503).otherwise(200).alias("status_code"),
         F.when(number % 10 == 3, F.lit("https://elsewhere.example/"))
         .otherwise(F.col("url"))
@@ -262,7 +262,7 @@ def _searched(spark, folder):
         number.alias("page_seq"),
     )
     portals = first.select(
-        F.col("host").alias("portal_id"),
+        "portal_id",
         F.col("host").alias("display_name"),
         F.lit("r").alias("region"),
         F.concat(F.lit("https://"), "host", F.lit("/")).alias("entry_url"),
@@ -284,7 +284,7 @@ def _searched(spark, folder):
 
 _SQL_SEARCH = f"""{_SQL_ANCHORS},
 texts AS (SELECT page_id, {_SQL_TEXT} AS body, html FROM pages),
-firsts AS (SELECT {SQL_HOST} AS host, min(page_id) AS page_id FROM pages GROUP BY 1),
+firsts AS (SELECT {SQL_HOST} || '/' || page_id AS host, page_id FROM pages),
 words AS (SELECT DISTINCT lower(substr(text, 1, 2)) || 'tion' AS word FROM benchmark
           WHERE item_id % 2 = 0),
 state AS (SELECT host, page_id, CASE WHEN page_id % 13 = 5 THEN 'error'
