@@ -19,15 +19,33 @@ LOG = T.StructType(
         T.StructField(RUN, T.StringType()),
     ]
 )
+#: Name of the records that stand for all of their version and before; sorts after any run's name.
+FOLDED = "~folded"
 
 
-def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Last record per policy_id among the versions below ``before``."""
+def read_state(
+    spark: SparkSession, path: str, before: int | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
+    """Last record per policy_id among the versions below ``before``.
+
+    With ``wanted`` (policy_id, dedupe_key) only records that could match one of its rows are
+    folded: those of its ids, and of all ids that once had one of its keys. The log itself is then
+    filtered by a small table and never shuffled as a whole. What lies before the last compaction
+    is not read.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], schemas.STATE)
     log = spark.read.schema(LOG).parquet(path)
     if before is not None:
         log = log.filter(F.col(VERSION) < before)
+    base = log.filter(F.col(RUN) == FOLDED).agg(F.max(VERSION).alias("last")).first()["last"]
+    if base is not None:
+        log = log.filter((F.col(VERSION) > base) | ((F.col(VERSION) == base) & (F.col(RUN) == FOLDED)))
+    if wanted is not None:
+        keys = wanted.select("dedupe_key").filter("dedupe_key <> ''").distinct()
+        sharing = log.join(keys, "dedupe_key", "left_semi").select("policy_id")
+        ids = wanted.select("policy_id").unionByName(sharing).distinct()
+        log = log.join(ids, "policy_id", "left_semi")
     # Runs that began from the same state share a version: the one that ended later counts.
     order = F.struct(F.col(VERSION), F.col(RUN), F.col("content_hash"), F.col("dedupe_key"))
     last = log.groupBy("policy_id").agg(F.max(order).alias("last"))
@@ -54,6 +72,14 @@ def append_state(successes: DataFrame, path: str, version: int, run: str | None
     )
 
 
+def fold_state(spark: SparkSession, path: str, version: int) -> None:
+    """Write what all versions up to ``version`` come to, in place; later reads begin there.
+
+    Only while no other run is under way: its records would belong to a version already folded.
+    """
+    append_state(read_state(spark, path, before=version + 1), path, version, run=FOLDED)
+
+
 def compact_state(spark: SparkSession, path: str, target: str) -> None:
     """Write the folded state as the first version of a new folder."""
     append_state(read_state(spark, path), target, 0)

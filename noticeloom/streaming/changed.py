@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from noticeloom.operators.incremental import changed_only
-from noticeloom.sources.state import append_state, read_state
+from noticeloom.sources.state import append_state, fold_state, read_state
 
 
 def stream_changed(
@@ -15,26 +15,31 @@ def stream_changed(
     output_path: str,
     checkpoint: str,
     row_id: str = "seq",
+    fold_every: int = 50,
 ) -> DataStreamWriter:
     """Write the changed documents of each micro-batch and record them, exactly once.
 
     A micro-batch sees the versions before its own number. Output and state are written under
     that number, so a repeat after a lost executor replaces its own files and nothing else.
-    ``docs`` carries dedupe_key and a unique ``row_id``.
+    ``docs`` carries dedupe_key and a unique ``row_id``. A micro-batch folds only state that its
+    own ids and keys can match; every ``fold_every`` of them the log is folded in place, so its
+    length does not grow with the stream's age. The state is the stream's own.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, state_path, before=number)
-        # The batch is read twice, by the search for hot keys and by the joins.
+        # The batch is read by the state filter and by the joins.
         batch.persist()
         try:
+            state = read_state(spark, state_path, before=number, wanted=batch)
             changed = changed_only(batch, state, row_id=row_id)
             target = f"{output_path.rstrip('/')}/batch={number}"
             changed.write.mode("overwrite").parquet(target)
             # Read back what was written: the state records exactly the output.
             written = spark.read.schema(changed.schema).parquet(target)
             append_state(written, state_path, number, run="stream")
+            if (number + 1) % fold_every == 0:
+                fold_state(spark, state_path, number)
         finally:
             batch.unpersist()
 

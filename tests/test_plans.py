@@ -355,3 +355,27 @@ def test_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
     state_table.compact_state(spark, state, str(tmp_path / "state2"))
     assert state_table.read_state(spark, str(tmp_path / "state2")).count() == 4
     assert state_table.next_version(spark, str(tmp_path / "none")) == 0
+
+
+@pytest.mark.parametrize("fold_every", [1, 3, 100])
+def test_many_small_batches_equal_one_by_one_runs(spark, tmp_path, fold_every):
+    """However often the log is folded, the stream finds what batch runs with a whole state find."""
+    from noticeloom.operators.incremental import changed_only
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    state, out, mark, plain = (str(tmp_path / name) for name in ("state", "out", "mark", "plain"))
+    expected = []
+    for number in range(5):
+        rows = [(f"p{(number * 3 + n) % 7}", f"k{(number + n) % 4}", str((number * n) % 3), f"{number}-{n}") for n in range(4)]
+        frame = spark.createDataFrame(rows, "policy_id string, dedupe_key string, content_hash string, seq string")
+        changed = changed_only(frame, state_table.read_state(spark, plain)).select("policy_id", "dedupe_key", "content_hash", "seq")
+        expected += sorted(map(tuple, changed.collect()))
+        state_table.append_state(changed, plain, number, run="stream")
+        frame.coalesce(1).write.mode("append").parquet(str(inbox))
+        docs = spark.readStream.schema(frame.schema).parquet(str(inbox))
+        stream_changed(docs, state, out, mark, fold_every=fold_every).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(out).orderBy("batch", "policy_id", "dedupe_key", "content_hash", "seq")
+    assert [tuple(row)[:4] for row in got.select("policy_id", "dedupe_key", "content_hash", "seq").collect()] == expected
+    final = lambda path: sorted(map(tuple, state_table.read_state(spark, path).collect()))
+    assert final(state) == final(plain)
