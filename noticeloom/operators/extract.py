@@ -20,6 +20,7 @@ from noticeloom.functions.text import (
 )
 from noticeloom.functions.urls import allowed_host, path
 from noticeloom.operators.latest import last_per_key
+from noticeloom.session import scratch
 from noticeloom.sources.html import detail_facts, listing_facts, portal_facts
 
 PARTS_PER_SEGMENT = 1000
@@ -162,12 +163,20 @@ def parse_by_source(
 ) -> DataFrame:
     """Documents of all pages; sources with their own extraction use it for their pages.
 
-    ``overrides`` maps a source id to a function from its pages to document rows.
+    ``overrides`` maps a source id to a function from its pages to document rows. Their pages are
+    written once, by source, so each function reads only its own; all others, those without a
+    source included, are parsed from the table itself.
     """
-    known = list(overrides)
-    whole = parse_pages(pages.filter(~F.col("source_id").isin(known)), selectors)
+    if not overrides:
+        return parse_pages(pages, selectors)
+    named = F.coalesce(F.col("source_id").isin(list(overrides)), F.lit(False))
+    whole = parse_pages(pages.filter(~named), selectors)
+    path = scratch(pages.sparkSession, "routed")
+    routed = pages.filter(named).withColumn("_route", F.col("source_id"))
+    routed.write.partitionBy("_route").parquet(path)
+    kept = pages.sparkSession.read.schema(routed.schema).parquet(path)
     for source_id, parse in overrides.items():
-        own = parse(pages.filter(F.col("source_id") == source_id))
+        own = parse(kept.filter(F.col("_route") == source_id).drop("_route"))
         whole = whole.unionByName(own, allowMissingColumns=True)
     return whole
 
