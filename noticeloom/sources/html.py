@@ -299,7 +299,3 @@ def detail_facts(html, url, selectors=None) -> Column:
 def portal_facts(html, url) -> Column:
     """Title, visible text and links of a portal page."""
     return _page_function(_portal, PORTAL_FACTS)(col(html), col(url), _selectors(None))
-
-
-def with_facts(pages: DataFrame, facts: Column) -> DataFrame:
-    return pages.withColumn("facts", facts)
