@@ -10,8 +10,8 @@ from noticeloom.llm.common import keyed
 from noticeloom.session import staged
 
 #: Groups above 1 / (shards * SHARE) of all bytes are scheduled one by one: fewer than that many.
-SHARE = 500
 #: All other groups are thrown into shards * SHARE bins by a hash and scheduled by bin.
+SHARE = 500
 #: Parts of a shard that are numbered on their own.
 SLICES = 64
 
