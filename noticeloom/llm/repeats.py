@@ -130,10 +130,11 @@ def candidates(
     if not docs.unique:
         affected = affected.dropDuplicates(["_key"])
     found = staged(affected.mapInArrow(_contents(windows), schema), "contents")
-    lowest = staged(found.groupBy("anchor", "content").agg(F.min("_key").alias("low")), "lowest")
-    earlier = F.col("_key") > F.col("low")
+    lowest = found.groupBy("anchor", "content").agg(F.min("_key").alias("low"), F.count(F.lit(1)).alias("n"))
+    lowest = staged(lowest.filter("n > 1").drop("n"), "lowest")
+    earlier = F.coalesce(F.col("_key") > F.col("low"), F.lit(False))
     repeat = earlier if across else earlier | F.col("again")
-    runs = found.join(lowest, ["anchor", "content"]).select(
+    runs = found.join(lowest, ["anchor", "content"], "left").select(
         "_key", "anchor", "first", "last", repeat.alias("repeat")
     )
     return Candidates(rows, texts, staged(runs, "runs"))

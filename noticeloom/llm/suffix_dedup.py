@@ -19,7 +19,7 @@ from noticeloom.llm.rolling import BYTE_CODES, gram_hashes, prefix_sums
 from noticeloom.session import staged
 
 LEAST = 100
-GRAM = 20
+GRAM = 32
 #: Contexts of one anchor that a block may hold. The windows of an anchor with more contexts are
 #: counted one by one in Spark instead, so that its rows spread over all tasks.
 BLOCK_CONTEXTS = 5_000
