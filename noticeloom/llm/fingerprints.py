@@ -58,18 +58,21 @@ def compare_edited(
     prints = staged(own.select("_key", F.char_length("_text").alias("n"), "chosen"), "fingerprints")
     order = staged(next_in_order(prints), "order")
     needed = order.select(
-        F.col("next").alias("_key"), F.col("_key").alias("user"), F.floor(F.col("n") / 3).cast("int").alias("need")
+        F.col("next").alias("_key"), F.col("_key").alias("user"), "n", F.floor(F.col("n") / 3).cast("int").alias("need")
     )
-    given = texts.join(needed, "_key").join(prints.select("_key", "chosen"), "_key")
-    given = given.select(
+    # The same columns of the texts and of the fingerprints meet both joins by key, so each is
+    # shuffled once. Of the next document only its first third and its distinct hashes travel on.
+    own = texts.join(prints.select("_key", "chosen"), "_key")
+    given = own.join(needed, "_key").select(
         F.col("user").alias("_key"),
-        F.col("need"),
+        "n",
+        "need",
         F.substr("_text", F.lit(1), F.col("need")).alias("tail"),
-        F.col("chosen").alias("next_chosen"),
+        gram_codes(F.col("chosen")).alias("next_codes"),
     )
-    both = texts.join(given, "_key").join(prints, "_key")
+    both = own.join(given, "_key")
     kept = F.substr("_text", F.lit(1), F.col("n") - F.col("need"))
-    edited = both.select("_key", "n", "chosen", "next_chosen", F.concat(kept, "tail").alias("edited"))
+    edited = both.select("_key", "n", "chosen", "next_codes", F.concat(kept, "tail").alias("edited"))
     marked = with_fingerprint(
         edited.withColumn("edited_sha256", F.sha2("edited", 256)), F.col("edited"), "edited_chosen", length, window
     ).drop("edited")
@@ -81,7 +84,7 @@ def compare_edited(
         spelled(F.col("edited_chosen")).alias("edited_fingerprint"),
         gram_codes(F.col("chosen")).alias("codes"),
         gram_codes(F.col("edited_chosen")).alias("edited_codes"),
-        gram_codes(F.col("next_chosen")).alias("next_codes"),
+        "next_codes",
     )
     found = coded.select(
         "_key",
