@@ -19,14 +19,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Words of one generation, and pairs, whose results a Python worker keeps.
-KEPT_WORDS = 150_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 300_000
+#: Bytes of text whose words make one trie.
+TRIE_BYTES = 3 << 20
 
 
 class Vocabulary:
@@ -59,10 +62,12 @@ class Vocabulary:
         self.merges = _is_merge_model(model, self)
         order = sorted(self.ids.values(), key=lambda number: -self.scores[number])
         self.rank = {number: place for place, number in enumerate(order)}
-        best = [self.scores[number] for number in order]
+        # Results of merges whose score another one shares: their order also depends on where they
+        # stand. A letter is no result of a merge.
+        merged = [number for number in order if len(self.pieces[number]) > 1]
+        best = [self.scores[number] for number in merged]
         ties = {score for score, after in zip(best, best[1:], strict=False) if score == after}
-        # Pieces whose score another one shares: their order also depends on where they stand.
-        tied = [re.escape(self.pieces[number]) for number in order if self.scores[number] in ties]
+        tied = [re.escape(self.pieces[number]) for number in merged if self.scores[number] in ties]
         self.tied = re.compile("|".join(tied)) if tied else None
         self._halves: dict[int, tuple[int, int] | None] = {}
 
@@ -284,8 +289,7 @@ def _encode(path: str, check: bool):
         encoder = _encoder(path)
         spelled = encoder.vocabulary.spelled
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 texts = part.column(1).to_pylist()
                 found = encoder.encode(texts)
                 lengths = np.array([0 if one is None else len(one) for one in found], np.int64)
@@ -305,6 +309,16 @@ def _encode(path: str, check: bool):
     return emit
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in order, cut so that each part has about ``TRIE_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // TRIE_BYTES)) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def _decode(path: str):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = _encoder(path).vocabulary.spelled

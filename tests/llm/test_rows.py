@@ -174,6 +174,15 @@ def test_pieces_equal_the_library(library, texts):
     assert [decode(ids, encoder.vocabulary.spelled) for ids in found] == [text.replace("▁", " ") for text in some]
 
 
+def test_words_go_through_the_trie(monkeypatch):
+    """Only words with tied merges leave the walk; neighbours share the states of their prefix."""
+    encoder, steps = Encoder(Vocabulary(MODEL)), []
+    step = Encoder._merge_step
+    monkeypatch.setattr(Encoder, "_merge_step", lambda self, word, end, *rest: (steps.append(word[:end]), step(self, word, end, *rest)))
+    encoder.encode(["station stationary stations", "state  station"])
+    assert len(steps) == len(set(steps)) and "▁stationar" in steps and "▁▁" not in steps
+
+
 def test_pieces_do_not_depend_on_what_is_kept(monkeypatch, texts):
     monkeypatch.setattr(pieces, "KEPT_WORDS", 5)
     monkeypatch.setattr(pieces, "KEPT_PAIRS", 3)
