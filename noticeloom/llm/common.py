@@ -60,6 +60,13 @@ def keyed(
     return Keyed(tagged.join(numbered, same).select("_key", "_text", "_row"), False)
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that only few of their texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,7 +108,8 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def list_slices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
     """Every list of longs in an Arrow column, null for a null list."""
     offsets = column.offsets.to_numpy()
-    values = longs(column.values)
+    values = longs(column.values.slice(offsets[0], offsets[-1] - offsets[0]))
+    offsets = offsets - offsets[0]
     valid = column.is_valid().to_pylist()
     for index, there in enumerate(valid):
         yield values[offsets[index] : offsets[index + 1]] if there else None

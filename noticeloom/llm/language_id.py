@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from noticeloom.llm.common import small
+
 #: Labelled documents the model is fitted on, at most about so many, chosen by a hash of the id.
 SAMPLE_ROWS = 10_000
 #: The most frequent words and n-grams the model keeps: the bound of what is sent to all tasks.
@@ -20,7 +22,7 @@ LONGEST_GRAM = 5
 #: A word or n-gram must be seen so often.
 MIN_COUNT = 2
 #: Scores of unseen words kept in a Python worker.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,7 +93,7 @@ class _Scorer(dict):
 def _predict(model: Model, keep_text: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
-        for batch in batches:
+        for batch in small(batches):
             languages, scores = [], []
             for text in batch.column(1).to_pylist():
                 counts = Counter(_words(text))
@@ -117,7 +119,7 @@ def _predict(model: Model, keep_text: bool):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 2_000):
         counts: Counter = Counter()
         for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, count in Counter(_words(text)).items():

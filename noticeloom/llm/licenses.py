@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from noticeloom.llm.common import bytes_of
+from noticeloom.llm.common import bytes_of, small
 
 #: Phrases whose places are counted, with the label each one gives.
 BASE = {
@@ -105,7 +105,7 @@ def _scan(base: Mapping[str, str], notices: Mapping[str, str], letters_per_edit:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = [(phrase.encode(), label) for phrase, label in base.items()]
         kinds = [_Notice(phrase, label, letters_per_edit) for phrase, label in notices.items()]
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(7)]
             out_spans: list[list[dict]] = []
             for text in bytes_of(batch.column(1)):

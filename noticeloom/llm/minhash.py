@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from noticeloom.llm.common import Keyed, bytes_of, keyed, longs, record_batch, signed
+from noticeloom.llm.common import Keyed, bytes_of, keyed, longs, record_batch, signed, small
 from noticeloom.llm.components import components
 from noticeloom.llm.rolling import mix, word_chunks
 from noticeloom.session import staged
@@ -19,9 +19,9 @@ PERCENT = 80
 #: Two sets of similarity 0.8 share none of 32 bands of 4 coordinates once in twenty million pairs.
 BANDS, ROWS = 32, 4
 
-#: Shingles of one side of a block, and columns of its matrices at a time.
-BLOCK_SHINGLES = 200_000
-_COLUMNS = 2048
+#: Shingles of one side of a block; columns of its matrices, and rows compared, at a time.
+BLOCK_SHINGLES = 100_000
+_COLUMNS, _ROWS = 1024, 512
 
 _FILLED = np.uint64(2**64 - 1)
 
@@ -85,7 +85,7 @@ def _sketches(width: int, bands: int, rows: int):
             columns = [pa.array(keys, pa.int64()), pa.array(sizes), *(pa.array(signed(mark)) for mark in marks), lists]
             return pa.RecordBatch.from_arrays(columns, names=["_key", "n", "mark", "mark2", "buckets"])
 
-        for batch in batches:
+        for batch in small(batches):
             ids = longs(batch.column(0))
             keys: list[int] = []
             sets: list[np.ndarray] = []
@@ -107,7 +107,7 @@ def _confirm(width: int, percent: int):
     """Pairs whose full shingle sets are similar enough."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             left, right = longs(batch.column(0)), longs(batch.column(1))
             sets: list[list[np.ndarray]] = []
             for column in (2, 3):
@@ -151,18 +151,22 @@ def _block(width: int, percent: int):
         owner, codes = owner[some], several[codes[some]]
         order = np.argsort(codes, kind="stable")
         owner, codes = owner[order], codes[order]
-        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
-        shared = np.zeros((len(left), len(right)), np.float32)
         cuts = np.searchsorted(codes, np.arange(0, (codes[-1] if len(codes) else 0) + _COLUMNS + 1, _COLUMNS))
-        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            matrix = np.zeros((len(sets), _COLUMNS), np.float32)
-            matrix[owner[a:b], codes[a:b] - part * _COLUMNS] = 1
-            shared += matrix[left] @ matrix[right].T
-        whole = sizes[left][:, None] + sizes[right][None, :] - shared
-        linked = (100 * shared >= percent * whole) & (roots[left][:, None] != roots[right][None, :]) & (shared > 0)
-        one, other = np.nonzero(linked)
-        ends = np.stack([roots[left[one]], roots[right[other]]])
-        pairs = np.unique(np.sort(ends, axis=0), axis=1)
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        ends = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(left), _ROWS):
+            some = left[at : at + _ROWS]
+            shared = np.zeros((len(some), len(right)), np.float32)
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                matrix = np.zeros((len(sets), _COLUMNS), np.float32)
+                matrix[owner[a:b], codes[a:b] - part * _COLUMNS] = 1
+                shared += matrix[some] @ matrix[right].T
+            whole = sizes[some][:, None] + sizes[right][None, :] - shared.astype(np.int64)
+            linked = (100 * shared.astype(np.int64) >= percent * whole) & (shared > 0)
+            one, other = np.nonzero(linked & (roots[some][:, None] != roots[right][None, :]))
+            pairs = np.sort(np.stack([roots[some[one]], roots[right[other]]]), axis=0)
+            ends.append(np.unique(pairs, axis=1))
+        pairs = np.unique(np.concatenate(ends, axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return emit

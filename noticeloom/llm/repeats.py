@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticeloom.llm.common import Keyed, bytes_of, list_slices, longs, record_batch, signed
+from noticeloom.llm.common import Keyed, bytes_of, list_slices, longs, record_batch, signed, small
 from noticeloom.llm.rolling import BYTE_CODES, Runs, anchored_runs, byte_chunks, word_chunks
 from noticeloom.session import staged
 
@@ -64,7 +64,7 @@ class Candidates:
 
 def _anchors(windows: Windows):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys = longs(batch.column(0))
             for document, shift, runs in windows.runs(bytes_of(batch.column(1))):
                 columns = keys[document], signed(runs.anchor), runs.first + shift
@@ -76,7 +76,7 @@ def _anchors(windows: Windows):
 def _contents(windows: Windows):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_key", "anchor", "content", "first", "last", "again"]
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = longs(batch.column(0)), bytes_of(batch.column(1))
             wanted = [np.zeros(0, np.int64) if part is None else part for part in list_slices(batch.column(2))]
             tags = np.concatenate([(number << 40) + part for number, part in enumerate(wanted)])

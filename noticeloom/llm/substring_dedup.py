@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed
+from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed, small
 from noticeloom.llm.repeats import Candidates, Windows, candidates, undecided
 from noticeloom.llm.rolling import gram_hashes, prefix_sums, word_chunks
 from noticeloom.session import staged
@@ -24,7 +24,7 @@ def _window_hashes(length: int):
     """Hashes of the windows that start in the given runs of a document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = longs(batch.column(0)), bytes_of(batch.column(1))
             firsts, lasts = list(list_slices(batch.column(2))), list(list_slices(batch.column(3)))
             for words in word_chunks(texts):
@@ -65,7 +65,7 @@ def _cut(spell: bool):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             starts, ends = list_slices(batch.column(2)), list_slices(batch.column(3))
             counts, removals, hashes, spans, texts = [], [], [], [], []
             for text, start, end in zip(bytes_of(batch.column(1)), starts, ends, strict=True):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noticeloom.llm.bwt import repeats
-from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed
+from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed, small
 from noticeloom.llm.repeats import Candidates, Windows, candidates, undecided
 from noticeloom.llm.rolling import BYTE_CODES, gram_hashes, prefix_sums
 from noticeloom.session import staged
@@ -32,7 +32,7 @@ def _contexts(least: int):
     """Bytes of the given runs: all that their windows cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = longs(batch.column(0)), bytes_of(batch.column(1))
             lists = [list(list_slices(batch.column(i))) for i in (2, 3, 4)]
             owner, anchors, starts, parts = [], [], [], []
@@ -69,7 +69,7 @@ def _expand(least: int):
         firsts: list[int] = []
         texts: list[bytes] = []
         size, current = 0, None
-        for batch in batches:
+        for batch in small(batches):
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             for anchor, key, first, text in rows:
                 if anchor != current and size >= BLOCK_BYTES:
@@ -90,7 +90,7 @@ def _window_hashes(least: int):
     """Every window of a context of a crowded anchor, by hash."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, firsts = longs(batch.column(0)), longs(batch.column(1))
             for key, first, text in zip(keys, firsts, bytes_of(batch.column(2)), strict=True):
                 codes = BYTE_CODES[np.frombuffer(text, np.uint8)]
@@ -138,7 +138,7 @@ def _cut(spell: bool):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             starts, ends = list_slices(batch.column(2)), list_slices(batch.column(3))
             sizes, removals, hashes, spans, lefts = [], [], [], [], []
             for text, start, end in zip(bytes_of(batch.column(1)), starts, ends, strict=True):
