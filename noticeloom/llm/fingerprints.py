@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.llm.common import keyed
-from noticeloom.llm.winnow import gram_codes, likeness, placed_grams, spelled, winnowed, words_of
+from noticeloom.llm.winnow import ascii_lower, gram_codes, likeness, placed_grams, spelled, winnowed, words_of
 from noticeloom.operators.ordering import with_global_position
 from noticeloom.session import staged
 
@@ -19,10 +19,10 @@ def with_fingerprint(
 ) -> DataFrame:
     """Add ``name``: the chosen grams of a text, one long each, in order of their places.
 
-    A null text is empty; a text without words has no grams, one of fewer words than a gram is one
-    gram. Equal texts have equal fingerprints. ``winnow.spelled`` writes them as text.
+    Words have A-Z lowered. A null text is empty; a text without words has no grams, one of fewer
+    words than a gram is one gram. Equal texts have equal fingerprints. ``winnow.spelled`` writes them as text.
     """
-    cut = rows.withColumn(name, words_of(text))
+    cut = rows.withColumn(name, words_of(ascii_lower(text)))
     cut = cut.withColumn(name, placed_grams(F.col(name), length))
     return cut.withColumn(name, winnowed(F.col(name), window))
 

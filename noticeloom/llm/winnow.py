@@ -17,7 +17,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words in order; none for a null or wordless text."""
+    """Words in order; none for a null or wordless text. A-Z separate words, so lower them first."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")
 
 
