@@ -11,7 +11,7 @@ from noticeloom.session import staged
 
 #: Words of a gram and grams of a window: texts that share GRAM + WINDOW - 1 words in a row share a
 #: fingerprint.
-GRAM, WINDOW = 5, 16
+GRAM, WINDOW = 5, 4
 
 
 def with_fingerprint(
@@ -54,23 +54,21 @@ def compare_edited(
     source = keyed(docs, id_col, text_col, carry)
     empty = F.coalesce("_text", F.lit(""))
     texts = source.texts().select("_key", empty.alias("_text"))
-    own = with_fingerprint(texts, F.col("_text"), "chosen", length, window)
-    prints = staged(own.select("_key", F.char_length("_text").alias("n"), "chosen"), "fingerprints")
-    order = staged(next_in_order(prints), "order")
+    lengths = staged(texts.select("_key", F.char_length("_text").alias("n")), "lengths")
+    order = staged(next_in_order(lengths), "order")
     needed = order.select(
         F.col("next").alias("_key"), F.col("_key").alias("user"), "n", F.floor(F.col("n") / 3).cast("int").alias("need")
     )
-    # The same columns of the texts and of the fingerprints meet both joins by key, so each is
-    # shuffled once. Of the next document only its first third and its distinct hashes travel on.
-    own = texts.join(prints.select("_key", "chosen"), "_key")
-    given = own.join(needed, "_key").select(
+    # The same columns of the texts meet both joins by key, so they are shuffled once; fingerprints are
+    # worked out behind it. Of the next document only its first third and its distinct hashes travel on.
+    given = with_fingerprint(texts.join(needed, "_key"), F.col("_text"), "next_chosen", length, window).select(
         F.col("user").alias("_key"),
         "n",
         "need",
         F.substr("_text", F.lit(1), F.col("need")).alias("tail"),
-        gram_codes(F.col("chosen")).alias("next_codes"),
+        gram_codes(F.col("next_chosen")).alias("next_codes"),
     )
-    both = own.join(given, "_key")
+    both = with_fingerprint(texts.join(given, "_key"), F.col("_text"), "chosen", length, window)
     kept = F.substr("_text", F.lit(1), F.col("n") - F.col("need"))
     edited = both.select("_key", "n", "chosen", "next_codes", F.concat(kept, "tail").alias("edited"))
     marked = with_fingerprint(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import brute
 from conftest import prose
 
-from noticeloom.llm.fingerprints import GRAM, WINDOW
+from noticeloom.llm.fingerprints import GRAM, WINDOW, compare_edited
 from noticeloom.llm.queries import QUERIES
 
 _MASK = 0xFFFFFFFF
@@ -75,3 +75,10 @@ def test_query_equals_plain_winnowing(spark, tmp_path):
         assert (row["fingerprint"], row["edited_fingerprint"]) == (_spelled(own), _spelled(changed))
         assert row["near_edited"] == _alike(own, changed) and row["near_next"] == _alike(own, _winnowed(after))
         assert bool(row["fingerprint"]) == any(map(str.isalnum, text))
+
+
+def test_short_texts_keep_a_shared_run(spark):
+    """Fourteen words, the first nine of them kept by the edit: enough for a shared fingerprint."""
+    docs = [(at, " ".join(f"{at:02}{word:02}" for word in range(14))) for at in range(30)]
+    found = compare_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(found) == 30 and all(row["near_edited"] > 0 for row in found)
