@@ -562,6 +562,30 @@ def export_files(spark, folder):
     )
 
 
+@query(
+    "export_sheets",
+    f"""WITH {_SQL_RESULTS}
+    SELECT sheet_name, replace(links, '、', chr(10)) AS links, score, reason,
+           'https://a.example/x.pdf' AS attachments, '' AS level
+    FROM results""",
+)
+def export_sheets(spark, folder):
+    """Write the export once and read every row of both sheets back."""
+    from noticeloom.sources.readers import read_export
+
+    result = staged(rows.result_rows(_analyzed(spark, folder), date(2024, 7, 1)), "rows")
+    path = writers.write_export(result, scratch(spark, "export"), date(2024, 7, 1))
+    both = read_export(spark, path).unionByName(read_export(spark, path, rules.OBSERVATION_SHEET))
+    return both.select(
+        "sheet_name",
+        F.col("政策原文链接").alias("links"),
+        long("商机评分").alias("score"),
+        F.col("复核原因").alias("reason"),
+        F.col("附件链接").alias("attachments"),
+        F.col("政策层级").alias("level"),
+    )
+
+
 @query(
     "failure_summary",
     f"""WITH {SQL_DOCS}

@@ -26,3 +26,14 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_lost_from_the_priority_sheet_are_seen(spark, con, monkeypatch):
+    from noticeloom import rules
+    from noticeloom.sources import writers
+
+    whole = writers.write_export
+    lossy = lambda rows, *rest: whole(rows.filter(rows["sheet_name"] != rules.PRIORITY_SHEET), *rest)
+    monkeypatch.setattr(writers, "write_export", lossy)
+    problems = [compare(spark, con, FOLDER, QUERIES[name], ORACLES[name]) for name in sorted(QUERIES) if name.startswith("export_")]
+    assert any(problems)
