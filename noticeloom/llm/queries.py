@@ -11,8 +11,12 @@ from noticeloom.llm.decontaminate import decontaminate
 from noticeloom.llm.fingerprints import compare_edited
 from noticeloom.llm.language_id import held_out, identify, train
 from noticeloom.llm.licenses import scan_licenses
+from noticeloom.llm.merkle import lowered_leaf, manifest
 from noticeloom.llm.minhash import minhash_dedup
+from noticeloom.llm.mixing import mix_sources, taken_words
+from noticeloom.llm.oracles import merkle, repair
 from noticeloom.llm.pieces import encode_texts
+from noticeloom.llm.repair import audits, damaged, repair_conversations
 from noticeloom.llm.sharding import shard_documents
 from noticeloom.llm.substring_dedup import substring_dedup
 from noticeloom.llm.suffix_dedup import suffix_dedup
@@ -178,3 +182,35 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = train(docs.filter(~held_out()))
     found = identify(docs, model, carry=["doc_id"])
     return found.select("_row.doc_id", held_out("_row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_conversation_repair", repair())
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair_conversations(damaged(turns))
+    found = fixed.conversations.join(audits(fixed), "start").withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query("op12_source_mixing")
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mix_sources(table(spark, folder, "documents"), carry=["doc_id"], keep_text=False)
+    names = ["size", "source_size", "target", "taken", "n_draws", "first_shard", "last_shard"]
+    return taken_words(mix).select("_row.doc_id", *names)
+
+
+@query("op13_merkle_manifest", merkle())
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = lowered_leaf(columns, "text", "doc_id")
+    found = manifest(docs, columns, carry=["doc_id"], tampered=tampered, keep_path=False)
+    return found.select("_row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
