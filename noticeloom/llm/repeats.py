@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.llm.common import Keyed, bytes_of, list_slices, longs, record_batch, signed, small
-from noticeloom.llm.rolling import BYTE_CODES, Runs, anchored_runs, byte_chunks, word_chunks
+from noticeloom.llm.rolling import BYTE_CODES, Runs, anchored_runs, byte_chunks, digest64, word_chunks
 from noticeloom.session import staged
 
 
@@ -45,7 +45,7 @@ class Windows:
                 yield runs.segment, -heads, runs
         else:
             for buffer, segments, owners, offsets in byte_chunks(texts, self.length - 1):
-                runs = anchored_runs(BYTE_CODES[buffer], segments, self.length, self.gram)
+                runs = anchored_runs(BYTE_CODES[buffer], segments, self.length, self.gram)._replace(units=buffer)
                 heads = np.searchsorted(segments, runs.segment)
                 yield owners[runs.segment], offsets[runs.segment] - heads, runs
 
@@ -83,9 +83,12 @@ def _contents(windows: Windows):
             found = []
             for document, shift, runs in windows.runs(texts):
                 first = runs.first + shift
-                some = np.isin((document << 40) + first, tags)
-                columns = document, signed(runs.anchor), signed(runs.content), first, runs.last + shift
-                found.append([column[some] for column in columns])
+                some = np.flatnonzero(np.isin((document << 40) + first, tags))
+                spans = zip(runs.first[some].tolist(), (runs.last[some] + windows.length).tolist(), strict=True)
+                content = np.array([digest64(runs.units[a:b]) for a, b in spans], np.uint64)
+                columns = document, signed(runs.anchor), first, runs.last + shift
+                document, anchor, first, last = (column[some] for column in columns)
+                found.append([document, anchor, signed(content), first, last])
             if not found:
                 continue
             document, anchor, content, first, last = map(np.concatenate, zip(*found, strict=True))

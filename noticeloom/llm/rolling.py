@@ -1,12 +1,15 @@
 """Rolling hashes over Arrow batches of text, in numpy, with memory bounded by the chunk size.
 
-The prefix sums of ``value * BASE**position`` (mod 2**64) give the hash of every span by one
-subtraction and one multiplication. ``anchored_runs`` names each fixed-length window by the
-smallest gram hash inside it, so equal windows always carry the same name, wherever they stand.
+``anchored_runs`` names each fixed-length window by the smallest gram hash inside it, so equal windows
+always carry the same name, wherever they stand. Anchors only bring together what is then compared; their
+hashes are prefix sums of ``value * BASE**position`` modulo 2**64, which differ too little for texts over
+two letters. What decides is named otherwise: words by a chain of mixed 8-byte lanes (``word_codes``),
+windows by sums modulo the prime 2**61 - 1 (``window_hashes``), whole runs by a digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -33,6 +36,8 @@ def mix(values: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 BYTE_CODES = mix(np.arange(256, dtype=np.uint64), 1)
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
 _powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
 
 
@@ -53,12 +58,6 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Hash of the codes in [start, end); spans of different length are kept apart."""
-    spans = (sums[end] - sums[start]) * powers(len(sums), False)[start]
-    return mix(spans ^ ((end - start).astype(np.uint64) << np.uint64(1)), salt)
-
-
 def gram_hashes(sums: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """Hash of the ``length`` codes that start at every position."""
     count = len(sums) - length
@@ -67,6 +66,77 @@ def gram_hashes(sums: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     return mix((sums[length:] - sums[:count]) * powers(count, False), salt)
 
 
+PRIME = (1 << 61) - 1
+_PRIME, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_prime_powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
+
+
+def _reduced(values: np.ndarray) -> np.ndarray:
+    out = (values >> np.uint64(61)) + (values & _PRIME)
+    return np.where(out >= _PRIME, out - _PRIME, out)
+
+
+def prime_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it, in halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a0 * b1 + a1 * b0
+    high = a1 * b1 * np.uint64(2) + (middle >> np.uint64(30))
+    return _reduced(high + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+def prime_powers(count: int, forward: bool = True) -> np.ndarray:
+    """Powers of a fixed base, or of its inverse, modulo the prime; grown by doubling."""
+    have = _prime_powers[forward]
+    base = pow(BASE % PRIME, 1 if forward else -1, PRIME)
+    while len(have) < count:
+        have = np.concatenate([have, prime_product(have, np.uint64(pow(base, len(have), PRIME)))])
+    _prime_powers[forward] = have
+    return have[:count]
+
+
+def window_hashes(codes: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """Rabin-Karp hash modulo the prime of the ``length`` codes that start at every position."""
+    count = len(codes) - length + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    terms = prime_product(_reduced(codes), prime_powers(len(codes)))
+    low, high = np.cumsum(terms & _LOW30, dtype=np.uint64), np.cumsum(terms >> np.uint64(30), dtype=np.uint64)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    sums[1:] = _reduced(prime_product(_reduced(high), np.uint64(1 << 30)) + _reduced(low))
+    spans = _reduced(sums[length:] + (_PRIME - sums[:count]))
+    return mix(prime_product(spans, prime_powers(count, False)), salt)
+
+
+#: Longer words are hashed one by one.
+LONG_WORD = 512
+
+
+def word_codes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every word: its 8-byte lanes go through a chain that is not linear."""
+    padded = np.zeros(len(buffer) + 8, np.uint8)
+    padded[: len(buffer)] = buffer
+    lanes = np.ndarray((len(buffer) + 1,), np.uint64, padded, 0, (1,))
+    left = end - start
+    out = mix(left.astype(np.uint64), 4)
+    part, at = np.flatnonzero(left <= LONG_WORD), start.copy()
+    while len(part):
+        lane, have = lanes[at[part]], left[part]
+        used = np.uint64(8) * np.minimum(have, 7).astype(np.uint64)
+        lane = np.where(have < 8, lane & ((np.uint64(1) << used) - np.uint64(1)), lane)
+        out[part] = mix(out[part] ^ lane, 5)
+        part = part[have > 8]
+        at[part] += 8
+        left[part] -= 8
+    for long in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[long] = digest64(buffer[start[long] : end[long]])
+    return out
+
+
+def digest64(values: np.ndarray) -> int:
+    """A digest of an array's bytes."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little")
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, by doubling."""
     out, have = values, 1
@@ -78,13 +148,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs(NamedTuple):
-    """Maximal rows of windows with one anchor: first and last window start, both included."""
+    """Maximal rows of windows with one anchor: first and last window start, both included.
+
+    ``units`` are the words or bytes that starts count; a run covers ``length - 1`` beyond its last start.
+    """
 
     segment: np.ndarray
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
+    units: np.ndarray
 
 
 def anchored_runs(codes: np.ndarray, segments: np.ndarray, length: int, gram: int) -> Runs:
@@ -92,14 +165,13 @@ def anchored_runs(codes: np.ndarray, segments: np.ndarray, length: int, gram: in
 
     ``segments`` gives the segment of every code. The anchor of a window is its smallest gram,
     the rightmost one of equals. A run ends when the anchor's place changes, so no two windows of
-    a run are equal. ``content`` hashes all codes that the run's windows cover.
+    a run are equal.
     """
     count = len(codes) - length + 1
     if count <= 0:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    sums = prefix_sums(codes)
-    grams = gram_hashes(sums, gram, 2)
+        return Runs(none, none, none, none.astype(np.uint64), codes)
+    grams = gram_hashes(prefix_sums(codes), gram, 2)
     width = length - gram + 1
     least = sliding_min(grams, width)
     valid = segments[:count] == segments[length - 1 :]
@@ -110,7 +182,7 @@ def anchored_runs(codes: np.ndarray, segments: np.ndarray, length: int, gram: in
     ends[:-1] = valid[:-1] & (begins[1:] | ~valid[1:] | (segments[1:count] != segments[: count - 1]))
     ends[-1] = valid[-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    return Runs(segments[first], first, last, least[first], span_hashes(sums, first, last + length, 3))
+    return Runs(segments[first], first, last, least[first], codes)
 
 
 class Words(NamedTuple):
@@ -137,11 +209,7 @@ def _words(buffer: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarr
     inside[1:-1] = table[buffer]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    codes = BYTE_CODES
-    if lower:
-        codes = codes.copy()
-        codes[0x41:0x5B] = codes[0x61:0x7B]
-    return span_hashes(prefix_sums(codes[buffer]), start, end, 4), start, end
+    return word_codes(_LOWERED[buffer] if lower else buffer, start, end), start, end
 
 
 def word_chunks(

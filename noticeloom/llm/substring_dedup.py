@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed, small
 from noticeloom.llm.repeats import Candidates, Windows, candidates, undecided
-from noticeloom.llm.rolling import gram_hashes, prefix_sums, word_chunks
+from noticeloom.llm.rolling import window_hashes, word_chunks
 from noticeloom.session import staged
 
 WINDOW = 50
@@ -28,7 +28,7 @@ def _window_hashes(length: int):
             keys, texts = longs(batch.column(0)), bytes_of(batch.column(1))
             firsts, lasts = list(list_slices(batch.column(2))), list(list_slices(batch.column(3)))
             for words in word_chunks(texts):
-                hashes = gram_hashes(prefix_sums(words.code), length, 5)
+                hashes = window_hashes(words.code, length, 5)
                 numbers, heads = np.unique(words.document, return_index=True)
                 for number, head in zip(numbers.tolist(), heads.tolist(), strict=True):
                     starts = np.concatenate(

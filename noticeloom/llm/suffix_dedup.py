@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from noticeloom.llm.bwt import repeats
 from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed, small
 from noticeloom.llm.repeats import Candidates, Windows, candidates, undecided
-from noticeloom.llm.rolling import BYTE_CODES, gram_hashes, prefix_sums
+from noticeloom.llm.rolling import BYTE_CODES, window_hashes
 from noticeloom.session import staged
 
 LEAST = 100
@@ -94,7 +94,7 @@ def _window_hashes(least: int):
             keys, firsts = longs(batch.column(0)), longs(batch.column(1))
             for key, first, text in zip(keys, firsts, bytes_of(batch.column(2)), strict=True):
                 codes = BYTE_CODES[np.frombuffer(text, np.uint8)]
-                hashes = gram_hashes(prefix_sums(codes), least, 6)
+                hashes = window_hashes(codes, least, 6)
                 starts = first + np.arange(len(hashes))
                 columns = np.full(len(hashes), key), signed(hashes), starts
                 yield record_batch(["_key", "window", "start"], columns)
