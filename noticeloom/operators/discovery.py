@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from noticeloom import rules
 from noticeloom.functions.text import col, contains_any
 from noticeloom.functions.urls import is_gov_domain
+from noticeloom.operators.keywords import keyword_links
 from noticeloom.operators.listing import top_per_group
+from noticeloom.session import staged
 
 SAMPLES_PER_PORTAL = 5
 
@@ -21,14 +23,18 @@ def selected(column: Column | str, chosen: Sequence[str] | None) -> Column:
     return col(column).isin(list(chosen)) if chosen else F.lit(True)
 
 
+def chosen_keywords(keywords: DataFrame, tags: Sequence[str] | None = None) -> DataFrame:
+    """Distinct texts of the selected keywords, a table of any length."""
+    return keywords.filter(selected("tag", tags)).select("text").filter("text IS NOT NULL").distinct()
+
+
 def keyword_pack(keywords: DataFrame, tags: Sequence[str] | None = None) -> list[str]:
-    """Texts of the selected keywords, sorted; a pack is a parameter of a run, of any length."""
-    rows = keywords.filter(selected("tag", tags)).select("text").filter("text IS NOT NULL")
-    return sorted(row["text"] for row in rows.distinct().collect())
+    """The chosen keywords as a sorted list, for packs short enough to be named by hand."""
+    return sorted(row["text"] for row in chosen_keywords(keywords, tags).toLocalIterator())
 
 
 def keyword_hits(text: Column | str, keywords: Sequence[str]) -> Column:
-    """Keywords found in the text, sorted; one pass over the text whatever the pack's length."""
+    """Keywords of a short list found in the text, sorted; ``keyword_links`` takes a table of them."""
     words = sorted(set(keywords))
     if not words:
         return F.array().cast("array<string>")
@@ -53,7 +59,7 @@ def keyword_hits(text: Column | str, keywords: Sequence[str]) -> Column:
 
 def match_keywords(
     pages: DataFrame,
-    keywords: Sequence[str],
+    keywords: Sequence[str] | DataFrame,
     portal: str = "portal_id",
     items: str = "policy_items",
     text: str = "text_content",
@@ -62,9 +68,13 @@ def match_keywords(
 ) -> DataFrame:
     """Matching items, at most ``limit`` per portal in document order.
 
-    A keyword anywhere in the page text marks every item of the page. The page text is scanned
-    once and dropped before the items are exploded. No keywords lets every item through.
+    A keyword anywhere in the page text marks every item of the page. No keywords lets every item
+    through. Keywords are a short list, or a table with a column ``text`` that is joined with the texts.
     """
+    if isinstance(keywords, DataFrame):
+        if not keywords.isEmpty():
+            return _matched_by_table(pages, keywords, portal, items, text, order, limit)
+        keywords = ()
     scanned = pages.withColumn("_page_hits", keyword_hits(text, keywords)).select(
         portal, *order, "_page_hits", F.posexplode(items).alias("item_place", "item")
     )
@@ -84,6 +94,28 @@ def match_keywords(
     return top_per_group(matched, [portal], [*order, "item_place"], limit)
 
 
+def _matched_by_table(
+    pages: DataFrame, keywords: DataFrame, portal: str, items: str, text: str, order: Sequence[str], limit: int
+) -> DataFrame:
+    """As ``match_keywords``: page texts and item titles are searched in one join with the keywords."""
+    numbered = pages.select(
+        portal, *order, F.col(text).alias("_body"), F.col(items).alias("_items"), F.monotonically_increasing_id().alias("_page")
+    )
+    pinned = staged(numbered, "pages")
+    listed = pinned.select(portal, *order, "_page", F.posexplode("_items").alias("item_place", "item"))
+    bodies = pinned.select("_page", F.lit(-1).alias("item_place"), F.col("_body").alias("text"))
+    titles = listed.select("_page", "item_place", F.col("item.title").alias("text"))
+    found = staged(keyword_links(bodies.unionByName(titles), keywords, ["_page", "item_place"]), "hits")
+    of_page = found.filter("item_place = -1").select("_page", F.col("hits").alias("_page_hits"))
+    of_item = found.filter("item_place >= 0").withColumnRenamed("hits", "_item_hits")
+    none = F.array().cast("array<string>")
+    hits = F.array_sort(F.array_union(F.coalesce("_page_hits", none), F.coalesce("_item_hits", none)))
+    matched = listed.join(of_page, "_page", "left").join(of_item, ["_page", "item_place"], "left").select(
+        portal, *order, "item_place", F.col("item.title").alias("title"), F.col("item.url").alias("url"), hits.alias("matched_keywords")
+    )
+    return top_per_group(matched.filter(F.size("matched_keywords") > 0), [portal], [*order, "item_place"], limit)
+
+
 def distinct_keywords(
     matches: DataFrame, portal: str = "portal_id", words: str = "matched_keywords"
 ) -> DataFrame:

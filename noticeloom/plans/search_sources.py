@@ -44,7 +44,7 @@ def search_sources(
 ) -> dict[str, DataFrame]:
     """Candidates, the extended registry, per-portal status and report totals."""
     chosen = portals.filter(discovery.selected("portal_id", portal_ids))
-    pack = discovery.keyword_pack(keywords, tags)
+    pack = staged(discovery.chosen_keywords(keywords, tags), "keyword-pack")
     # Four outputs read the pages: parse them once.
     pages = staged(scanned_pages(chosen, fetches).drop("html"), "portal-pages")
     usable = pages.filter(F.col("error").isNull() & ~F.col("restricted"))
@@ -66,5 +66,11 @@ def search_sources(
         "registry": append_candidates(registry, candidates),
         "status": status,
         "errors": reports.discovery_errors(status),
-        "report": reports.discovery_report(status).withColumn("keywords_used", F.lit(pack)),
+        "report": _with_keywords(reports.discovery_report(status), pack),
     }
+
+
+def _with_keywords(report: DataFrame, pack: DataFrame) -> DataFrame:
+    """The one-row report with the sorted keywords of the run, put together by Spark."""
+    words = pack.agg(F.array_sort(F.collect_list("text")).alias("keywords_used"))
+    return report.withColumn("_one", F.lit(1)).join(words.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from noticeloom.operators import discovery, extract, listing, reports
+from noticeloom.operators.keywords import keyword_links
 from noticeloom.plans.search_sources import search_sources
 from noticeloom.workload.base import (
     SQL_DOCS,
@@ -91,6 +92,54 @@ def keyword_match_all(spark, folder):
     return _matches(spark, folder, ()).select("host", "page_id", "title")
 
 
+_FIRST_WORD = r"[^\x20\x09-\x0D]+"
+_SQL_PACK = f"""pack AS (
+  SELECT DISTINCT lang, unnest([word, left(word, 2), left(word, 1)]) AS kw
+  FROM (SELECT lang, regexp_extract(text, '{_FIRST_WORD}') AS word FROM documents))"""
+
+
+def _pack(spark, folder):
+    """Every document's first word, its first two letters and its first one, tagged by language."""
+    docs = table(spark, folder, "documents")
+    word = F.regexp_extract("text", f"({_FIRST_WORD})", 1)
+    words = docs.select(F.col("lang").alias("tag"), word.alias("word")).filter("word <> ''")
+    parts = F.array("word", F.left("word", F.lit(2)), F.left("word", F.lit(1)))
+    return words.select("tag", F.explode(parts).alias("text"))
+
+
+@query(
+    "keyword_table",
+    f"""WITH {_SQL_PACK}, k AS (SELECT DISTINCT kw FROM pack WHERE kw <> '')
+    SELECT doc_id, count(*) AS n_hits, sha256(string_agg(kw, ',' ORDER BY kw)) AS hits_sha256
+    FROM documents JOIN k ON contains(text, kw) GROUP BY doc_id""",
+)
+def keyword_table(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = keyword_links(docs, _pack(spark, folder), ["doc_id"])
+    return found.select(
+        "doc_id", F.size("hits").cast("long").alias("n_hits"), F.sha2(F.array_join("hits", ","), 256).alias("hits_sha256")
+    )
+
+
+@query(
+    "keyword_table_match",
+    f"""WITH {_SQL_ANCHORS}, {_SQL_PACK}, k AS (SELECT DISTINCT kw FROM pack WHERE kw <> '' AND lang = 'fr'),
+    texts AS (SELECT page_id, {_SQL_TEXT} AS body FROM pages),
+    m AS (SELECT l.host, l.page_id, l.place, l.label, l.link, array_agg(DISTINCT kw ORDER BY kw) AS hits
+          FROM links l JOIN texts USING (page_id) JOIN k ON contains(body, kw) OR contains(label, kw)
+          WHERE {_SQL_MARKED} GROUP BY ALL)
+    SELECT host, page_id, label AS title, link AS url, sha256(array_to_string(hits, ',')) AS hits_sha256,
+           row_number() OVER (PARTITION BY host ORDER BY page_id, place) AS place
+    FROM m QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id, place) <= 5""",
+)
+def keyword_table_match(spark, folder):
+    pages = extract.parse_portal_pages(hosted_pages(spark, folder), _MARKERS, "url")
+    pack = discovery.chosen_keywords(_pack(spark, folder), ["fr"])
+    found = discovery.match_keywords(pages, pack, "host", "policy_items", "text_content", ("page_id",))
+    joined = F.sha2(F.array_join("matched_keywords", ","), 256).alias("hits_sha256")
+    return found.select("host", "page_id", "title", "url", joined, long("place").alias("place"))
+
+
 @query(
     "distinct_keywords",
     f"""WITH {_SQL_MATCHES}, w AS (SELECT DISTINCT host, unnest(hits) AS word FROM top)
