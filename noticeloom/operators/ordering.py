@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from noticeloom.functions.text import col
 from noticeloom.session import ensure_checkpoint_dir
@@ -23,9 +23,9 @@ def export_order(
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of an ordered table; the number is clamped to the pages there are.
+    """One page of a table ordered for it alone; the number is clamped to the pages there are.
 
-    The page is cut out of numbered rows, so rows before it are never gathered in one task.
+    For page after page of the same rows, ``write_ordered`` once and ``read_page``. The page is cut out of numbered rows, so rows before it are never gathered in one task.
     """
     numbered = with_global_position(rows, order)
     total = numbered.agg(F.max("position").alias("n")).first()["n"] or 0
@@ -35,6 +35,51 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return numbered.filter(inside).orderBy("position").drop("position")
 
 
+def write_ordered(rows: DataFrame, order: list[Column], path: str, rows_per_range: int = 100_000) -> None:
+    """Store rows in order, once, for any number of pages to be read from.
+
+    One sort deals them into ranges of about ``rows_per_range`` rows, a folder each; a row carries its
+    place in the range. Beside them lies an index of one row per range: its rows and the rows before it.
+    """
+    spark = rows.sparkSession
+    count = rows.count()
+    ranged = rows.repartitionByRange(max(1, -(-count // rows_per_range)), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ranged.select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
+    writer = placed.write.mode("errorifexists")
+    (writer.partitionBy("_range") if count else writer).parquet(f"{path}/rows")
+    sizes = spark.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes.select("_range", "rows", before.alias("before")).write.mode("errorifexists").parquet(f"{path}/index")
+
+
+def page_count(spark: SparkSession, path: str, size: int) -> int:
+    """Pages of a stored order, at least one; reads the index only."""
+    total = spark.read.parquet(f"{path}/index").agg(F.sum("rows").alias("n")).first()["n"] or 0
+    return max(1, -(-total // size))
+
+
+def read_page(spark: SparkSession, path: str, number: int, size: int, position: str | None = None) -> DataFrame:
+    """One page of a stored order, from the one or few ranges that hold it; the number is clamped.
+
+    The index names the ranges, so all other folders are pruned and nothing is sorted but the page.
+    ``position`` adds the row's place in the whole order, from 1.
+    """
+    first = (min(max(number, 1), page_count(spark, path, size)) - 1) * size
+    index = spark.read.parquet(f"{path}/index")
+    # No more ranges than the page has rows, and one.
+    hit = index.filter((F.col("before") < first + size) & (F.col("before") + F.col("rows") > first)).collect()
+    inside, offset = F.lit(False), F.lit(0)
+    for row in hit:
+        here = F.col("_range") == row["_range"]
+        low = first - row["before"]
+        inside = inside | (here & F.col("_place").between(low, low + size - 1))
+        offset = F.when(here, row["before"]).otherwise(offset)
+    rows = spark.read.parquet(f"{path}/rows").filter(inside).orderBy("_range", "_place")
+    added = rows if position is None else rows.withColumn(position, (offset + F.col("_place") + 1).cast("long"))
+    return added.drop("_range", "_place")
+
+
 def with_global_position(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Number all rows in order, starting at 1, without a window over the whole table.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from noticeloom import rules, schemas
 from noticeloom.sources.readers import checked_batches
@@ -31,14 +32,37 @@ def stream_batches(
 
 
 def stream_written(
-    spark: SparkSession, folder: str, schema: T.StructType = schemas.DOCUMENT, max_files_per_trigger: int = 100
-) -> DataFrame:
-    """Documents of each new batch folder the engine has written, with their batch_id."""
-    versioned = T.StructType([*schema.fields, T.StructField("schema_version", T.LongType())])
-    files = (
-        spark.readStream.schema(versioned)
+    spark: SparkSession,
+    folder: str,
+    output_path: str,
+    checkpoint: str,
+    schema: T.StructType = schemas.DOCUMENT,
+    max_files_per_trigger: int = 100,
+) -> DataStreamWriter:
+    """Write the documents of each new complete batch folder, with their batch_id, exactly once.
+
+    The stream is the batches' headers, which are written last, so a batch that a run left without one is
+    never read; when the run is redone, its batch has a folder and a header of its own. A micro-batch reads
+    the documents of its headers, at most ``max_files_per_trigger`` folders, and writes under its number.
+    """
+    headers = (
+        spark.readStream.schema(T.StructType([T.StructField("schema_version", T.LongType())]))
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(f"{folder.rstrip('/')}/{rules.BATCH_FOLDER_GLOB}/documents")
+        .json(f"{folder.rstrip('/')}/{rules.BATCH_FOLDER_GLOB}/header")
+    )
+    places = of_known_version(headers).select(
+        F.regexp_replace(F.col("_metadata.file_path"), "/header/[^/]*$", "").alias("place")
     )
-    batch = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/documents/[^/]*$", 1)
-    return of_known_version(files.select("*", batch.alias("batch_id"))).drop("schema_version")
+    versioned = T.StructType([*schema.fields, T.StructField("schema_version", T.LongType())])
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        whole = [f"{row['place']}/documents" for row in batch.distinct().collect()]
+        if not whole:
+            return
+        read = session.read.schema(versioned).parquet(*whole)
+        name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/documents/[^/]*$", 1)
+        docs = of_known_version(read.select("*", name.alias("batch_id"))).drop("schema_version")
+        docs.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch={number}")
+
+    return places.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

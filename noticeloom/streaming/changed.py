@@ -20,10 +20,10 @@ def stream_changed(
     """Write the changed documents of each micro-batch and record them, exactly once.
 
     A micro-batch sees the versions before its own number. Output and state are written under
-    that number, so a repeat after a lost executor replaces its own files and nothing else.
-    ``docs`` carries dedupe_key and a unique ``row_id``. A micro-batch folds only state that its
-    own ids and keys can match; every ``fold_every`` of them the log is folded in place, so its
-    length does not grow with the stream's age. The state is the stream's own.
+    that number, and of a repeat after a lost executor the last state counts. ``docs`` carries
+    dedupe_key and a unique ``row_id``. A micro-batch opens only the buckets of the state that its own
+    ids and keys fall into; every ``fold_every`` of them the log is folded, so what is read does not grow
+    with the stream's age. Others may add to the state meanwhile.
     """
 
     def step(batch: DataFrame, number: int) -> None:

@@ -225,6 +225,27 @@ def state_log(spark, folder):
     return state_table.read_state(spark, path).select("policy_id", "content_hash")
 
 
+@query(
+    "state_folded_between_runs",
+    f"""WITH {_SQL_STATE}
+    SELECT coalesce(n.policy_id, s.policy_id) AS policy_id,
+           coalesce(n.content_hash, s.content_hash) AS content_hash
+    FROM state s FULL JOIN done n USING (policy_id)""",
+)
+def state_folded_between_runs(spark, folder):
+    """A run is recorded while a fold is under way, and half of the state is read by bucket afterwards."""
+    docs = _narrow(spark, folder)
+    path = scratch(spark, "state")
+    state_table.append_state(_state(docs), path, 0)
+    fold = state_table.plan_fold(spark, path, 1)
+    done = docs.join(table(spark, folder, "labels"), "doc_id", "left_semi")
+    state_table.append_state(done, path, 1)
+    state_table.finish_fold(spark, path, fold)
+    state_table.fold_state(spark, path, 1)
+    wanted = docs.select("policy_id", F.lit("").alias("dedupe_key"))
+    return state_table.read_state(spark, path, wanted=wanted).select("policy_id", "content_hash")
+
+
 @query(
     "state_of_two_runs",
     f"""WITH {_SQL_STATE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -154,7 +155,28 @@ def export_order(spark, folder):
 )
 def export_page(spark, folder):
     keys = ordering.export_keys("score", "published", "seq")
-    return ordering.page(_priced(spark, folder), keys, 3, 50).select("seq")
+    path = scratch(spark, "ordered")
+    ordering.write_ordered(_priced(spark, folder), keys, path)
+    return ordering.read_page(spark, path, 3, 50).select("seq")
+
+
+@query(
+    "stored_pages",
+    f"""WITH {_SQL_PRICED}, c AS (SELECT count(*) AS n FROM placed),
+    paged AS (SELECT *, (position - 1) // 40 + 1 AS page, (n - 1) // 40 + 1 AS pages FROM placed, c)
+    SELECT seq, position, page FROM paged WHERE page IN (1, 2, pages // 2, pages)""",
+)
+def stored_pages(spark, folder):
+    """The first pages, one from the middle and the last of an order stored in many small ranges."""
+    path = scratch(spark, "ordered")
+    keys = ordering.export_keys("score", "published", "seq")
+    ordering.write_ordered(_priced(spark, folder), keys, path, rows_per_range=500)
+    pages = ordering.page_count(spark, path, 40)
+    parts = [
+        ordering.read_page(spark, path, number, 40, position="position").select("seq", "position", F.lit(number).cast("long").alias("page"))
+        for number in sorted({1, min(2, pages), max(1, pages // 2), pages})
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(
@@ -296,11 +318,31 @@ def stream_written(spark, folder):
     root = scratch(spark, "written")
     docs = notices(spark, folder).select("policy_id", "content_hash")
     writers.write_batch(docs, {"n": F.lit(1)}, f"{root}/in", date(2024, 7, 1))
-    stream = batch_stream.stream_written(spark, f"{root}/in", docs.schema).drop("batch_id")
-    _finish(
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/mark").option("path", f"{root}/out")
-    )
-    return spark.read.schema(docs.schema).parquet(f"{root}/out")
+    _finish(batch_stream.stream_written(spark, f"{root}/in", f"{root}/out", f"{root}/mark", docs.schema))
+    return spark.read.schema(docs.schema).parquet(f"{root}/out").select("policy_id", "content_hash")
+
+
+@query(
+    "stream_incomplete",
+    f"""WITH {SQL_DOCS} SELECT policy_id, content_hash,
+      CASE WHEN doc_id % 2 = 0 THEN 'policy-batch-2024-07-01-1' ELSE 'policy-batch-2024-07-02' END AS batch_id
+    FROM notices""",
+)
+def stream_incomplete(spark, folder):
+    """A batch left without header, its rerun beside it, and a later one: every document comes once."""
+    root = scratch(spark, "incomplete")
+    docs = notices(spark, folder).select("policy_id", "content_hash", "doc_id")
+    even, odd = (docs.filter(F.col("doc_id") % 2 == part).drop("doc_id") for part in (0, 1))
+    writers.write_documents(even, writers.batch_path(spark, f"{root}/in", date(2024, 7, 1)))
+
+    def go():
+        _finish(batch_stream.stream_written(spark, f"{root}/in", f"{root}/out", f"{root}/mark", even.schema))
+
+    for part, day in ((even, date(2024, 7, 1)), (odd, date(2024, 7, 2))):
+        writers.write_batch(part, {"n": F.lit(1)}, f"{root}/in", day)
+        go()
+    found = spark.read.schema("policy_id string, content_hash string, batch_id string").parquet(f"{root}/out")
+    return found.drop("batch")
 
 
 @query(

@@ -379,3 +379,28 @@ def test_many_small_batches_equal_one_by_one_runs(spark, tmp_path, fold_every):
     assert [tuple(row)[:4] for row in got.select("policy_id", "dedupe_key", "content_hash", "seq").collect()] == expected
     final = lambda path: sorted(map(tuple, state_table.read_state(spark, path).collect()))
     assert final(state) == final(plain)
+
+
+def test_stream_of_written_batches_waits_for_the_header(spark, tmp_path):
+    """Documents of a batch without header are never emitted; its rerun's come once, late headers too."""
+    from noticeloom.streaming.batches import stream_written
+
+    folder, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    docs = [spark.createDataFrame([(key, "h")], "policy_id string, content_hash string") for key in "abc"]
+
+    def go():
+        stream_written(spark, folder, out, mark, docs[0].schema).trigger(availableNow=True).start().awaitTermination(120)
+        read = spark.read.schema("policy_id string, batch_id string").parquet(out)
+        return sorted((row["policy_id"], row["batch_id"]) for row in read.collect())
+
+    late = writers.batch_path(spark, folder, END)
+    writers.write_documents(docs[0], late)
+    first = writers.write_batch(docs[0], {"n": F.lit(1)}, folder, END)
+    assert first == f"{late}-1"
+    name = first.rsplit("/", 1)[1]
+    assert go() == [("a", name)] == go()
+    second = writers.batch_path(spark, folder, START)
+    writers.write_documents(docs[1], second)
+    assert go() == [("a", name)]
+    writers.write_header(spark, second, START, {"n": F.lit(1)})
+    assert go() == go() == [("a", name), ("b", second.rsplit("/", 1)[1])]
