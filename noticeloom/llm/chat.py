@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,7 +28,8 @@ class Template:
 
     A turn is ``begin``, role, ``middle``, text, ``end``. ``follows`` gives for every state the
     roles that may come next; the state is the last role, at first ``""``. A conversation is valid
-    when every step is allowed and the last role is in ``final``.
+    when every step is allowed and the last role is in ``final``. ``begin`` and ``controls`` are
+    escaped in texts, and ``middle`` in roles as well; marks that cannot be read back are refused.
     """
 
     begin: str = "<|im_start|>"
@@ -45,33 +47,58 @@ class Template:
     final: tuple[str, ...] = ("assistant",)
     controls: tuple[str, ...] = CONTROLS
 
-
-#: Escapes: the first character of a control string, and the escape character itself.
-_MARK = {"\\": "\\e", "<": "\\l", "[": "\\s"}
-
-
-def escape(text: Column, template: Template) -> Column:
-    """Take the first character out of every control string; reversible by ``unescape``."""
-    out = F.replace(text, F.lit("\\"), F.lit(_MARK["\\"]))
-    for control in template.controls:
-        out = F.replace(out, F.lit(control), F.lit(_MARK[control[0]] + control[1:]))
+    def __post_init__(self) -> None:
+        _checked(self)
+
+
+def _codes(template: Template) -> dict[str, str]:
+    """The sign that stands, after a backslash, for a first character of a protected string."""
+    marks = _protected(template, True)
+    free = [sign for sign in string.digits + string.ascii_letters if not any(sign in mark for mark in [*marks, template.end])]
+    return dict(zip(["\\", *sorted({mark[0] for mark in marks})], free, strict=False))
+
+
+def _protected(template: Template, role: bool) -> list[str]:
+    """Strings that may not stand in a text, or a role, longest first; a role ends at the middle mark."""
+    marks = {template.begin, *template.controls, *([template.middle] if role else [])}
+    return sorted(marks, key=lambda mark: (-len(mark), mark))
+
+
+def _checked(template: Template) -> None:
+    """Refuse what cannot be read back: a mark that could also arise across the seam of two parts."""
+    begin, middle, end = template.begin, template.middle, template.end
+    marks = _protected(template, True)
+    if not all(marks) or any("\\" in mark for mark in [*marks, end]):
+        raise ValueError("marks and control strings are not empty and hold no backslash")
+    if len(_codes(template)) <= len({mark[0] for mark in marks}):
+        raise ValueError("too many different first characters of marks and control strings")
+    for mark, after in ((begin, middle), (begin, end + begin), (middle, middle)):
+        for cut in range(1, len(mark)):
+            if after.startswith(mark[cut:]) or mark[cut:].startswith(after):
+                raise ValueError(f"{mark!r} could arise where a text meets {after!r}")
+    if begin in middle or begin in end:
+        raise ValueError(f"{begin!r} is part of another mark")
+    for before in (begin, middle, end):
+        if any(before.endswith(begin[:cut]) for cut in range(1, len(begin))) or begin in before[1:] + begin[:-1]:
+            raise ValueError(f"{begin!r} could arise where {before!r} meets a text")
+
+
+def escape(text: Column, template: Template, role: bool = False) -> Column:
+    """Take the first character out of every protected string; reversible by ``unescape``."""
+    codes = _codes(template)
+    out = F.replace(text, F.lit("\\"), F.lit("\\" + codes["\\"]))
+    for mark in _protected(template, role):
+        out = F.replace(out, F.lit(mark), F.lit("\\" + codes[mark[0]] + mark[1:]))
     return out
 
 
-def unescape(text: Column) -> Column:
-    for plain in ("<", "[", "\\"):
-        text = F.replace(text, F.lit(_MARK[plain]), F.lit(plain))
+def unescape(text: Column, template: Template | None = None) -> Column:
+    codes = _codes(template or Template())
+    for plain, code in reversed(codes.items()):
+        text = F.replace(text, F.lit("\\" + code), F.lit(plain))
     return text
 
 
-def _escape_role(role: Column, template: Template) -> Column:
-    return F.replace(escape(role, template), F.lit("\n"), F.lit("\\n"))
-
-
-def _unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
-
-
 def check_order(roles: Column, template: Template) -> Column:
     """Struct (valid, state, step): the machine's verdict, its last state, the first bad step or null."""
 
@@ -96,7 +123,7 @@ def check_order(roles: Column, template: Template) -> Column:
 
 def _turn_segments(turn: Column, template: Template) -> Column:
     """The turn as text segments with a loss flag each."""
-    head = F.concat(F.lit(template.begin), _escape_role(turn["role"], template), F.lit(template.middle))
+    head = F.concat(F.lit(template.begin), escape(turn["role"], template, role=True), F.lit(template.middle))
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     return F.array(
         part(head, F.lit(False)),
@@ -155,16 +182,16 @@ def read_turns(formatted: Column, template: Template) -> Column:
         rest = F.substr(piece, cut + 1 + len(template.middle))
         text = F.left(rest, F.length(rest) - len(template.end))
         return F.struct(
-            _unescape_role(F.left(piece, cut)).alias("role"), unescape(text).alias("text")
+            unescape(F.left(piece, cut), template).alias("role"), unescape(text, template).alias("text")
         )
 
     return F.transform(pieces, turn)
 
 
-def read_loss(segments: Column) -> Column:
+def read_loss(segments: Column, template: Template | None = None) -> Column:
     """All text under the loss mask, unescaped, in order."""
     parts = F.filter(segments, lambda part: part["loss"])
-    return F.array_join(F.transform(parts, lambda part: unescape(part["text"])), "")
+    return F.array_join(F.transform(parts, lambda part: unescape(part["text"], template)), "")
 
 
 def _quoted(text: str) -> str:

@@ -14,7 +14,7 @@ from noticeloom.llm.rolling import mix, word_chunks
 from noticeloom.session import staged
 
 #: Words of a shingle, and the similarity from which documents are linked, in percent.
-SHINGLE = 2
+SHINGLE = 5
 PERCENT = 80
 #: Two sets of similarity 0.8 share none of 32 bands of 4 coordinates once in twenty million pairs.
 BANDS, ROWS = 32, 4

@@ -62,13 +62,21 @@ escaped AS (
       '\\', '\\e'), '<|im_start|>', '\\l|im_start|>'), '<|im_end|>', '\\l|im_end|>'),
       '<|endoftext|>', '\\l|endoftext|>'), '<s>', '\\ls>'), '</s>', '\\l/s>'), '[INST]', '\\sINST]'),
       '[/INST]', '\\s/INST]'), '<<SYS>>', '\\l<SYS>>'), '<</SYS>>', '\\l</SYS>>') AS safe
-  FROM rows)
+  FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place,
+         coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS before FROM escaped),
+stepped AS (
+  SELECT *, (before, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'),
+                               ('assistant', 'user')) AS allowed FROM placed)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length(safe) + length(role) + 24) AS BIGINT) AS formatted_chars
-FROM escaped GROUP BY conv_id
+       CAST(sum(length(safe) + length(role) + 24) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (NOT allowed) = 0 AND max_by(role, place) = 'assistant' AS valid,
+       CAST(min(place) FILTER (NOT allowed) AS BIGINT) AS bad_step
+FROM stepped GROUP BY conv_id
 """
 
 
@@ -87,6 +95,8 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     found = format_chats(turns, template)
     read = found.select(
         "conv_id",
+        "valid",
+        "bad_step",
         read_turns(F.col("formatted"), template).alias("turns"),
         read_loss(F.col("segments")).alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
@@ -99,6 +109,8 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        F.col("bad_step").cast("long").alias("bad_step"),
     )
 
 
@@ -166,7 +178,7 @@ def op7_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_minhash_near_dedup")
 def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = minhash_dedup(table(spark, folder, "documents"), carry=["doc_id"])
+    found = minhash_dedup(table(spark, folder, "documents"), carry=["doc_id"], width=2)
     return found.select("_row.doc_id", "n_shingles", "component_id", "kept")
 
 

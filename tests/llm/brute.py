@@ -60,11 +60,12 @@ def suffix_dedup(docs: dict, least: int = 100) -> dict:
     return out
 
 
-def near_groups(docs: dict, percent: int = 80) -> dict:
+def near_groups(docs: dict, percent: int = 80, width: int = 2) -> dict:
     sets = {}
     for key, text in docs.items():
         words = white_words(lower(text))
-        sets[key] = set(zip(words, words[1:], strict=False)) if len(words) > 1 else {tuple(words)} if words else set()
+        grams = zip(*(words[at:] for at in range(width)), strict=False)
+        sets[key] = set(grams) if len(words) >= width else {tuple(words)} if words else set()
     root = {key: key for key in docs}
 
     def find(key):

@@ -87,7 +87,7 @@ def test_pipeline_stage_by_stage(spark, tables, tmp_path):
         if name == "language_id":
             assert rows.keys() == {key for key, text in before.items() if any(map(str.isalpha, text or ""))}
         elif name == "near_dedup":
-            assert rows.keys() == {key for key, row in brute.near_groups(before).items() if row[2]}
+            assert rows.keys() == {key for key, row in brute.near_groups(before, width=5).items() if row[2]}
         elif name == "substring_dedup":
             cut = brute.substring_dedup(before)
             for key, row in rows.items():

@@ -48,8 +48,9 @@ def test_suffix_dedup_crowded_anchors_give_the_same(awkward, texts, monkeypatch)
 
 
 def test_near_groups(awkward, texts):
-    found = minhash_dedup(awkward)
+    found = minhash_dedup(awkward, width=2)
     assert _by_id(found, "n_shingles", "component_id", "kept") == brute.near_groups(texts)
+    assert _by_id(minhash_dedup(awkward), "n_shingles", "component_id", "kept") == brute.near_groups(texts, width=5)
 
 
 def test_near_groups_keep_every_link(spark):
@@ -63,7 +64,7 @@ def test_near_groups_keep_every_link(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     expected = brute.near_groups(texts)
     for options in ({}, {"bands": 64, "rows": 1}):
-        found = minhash_dedup(docs, **options)
+        found = minhash_dedup(docs, width=2, **options)
         assert _by_id(found, "n_shingles", "component_id", "kept") == expected
 
 

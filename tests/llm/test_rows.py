@@ -153,6 +153,30 @@ def test_escape_is_reversible(spark, parts):
     assert row["back"] == text and not any(control in row["safe"] for control in template.controls)
 
 
+def test_any_template_is_read_back_or_refused(spark):
+    """Random marks and texts made of their parts: refused, or every turn comes back."""
+    source = random.Random(11)
+    marks = ["<turn>", "</turn>\n", "### ", "\n", ": ", "<<", "<", "a", "aba", "|im|", "::", "x>", "\n<", "", "\\b", "0", "END"]
+    templates = [{"begin": "<turn>", "end": "</turn>\n"}, {"controls": ("### ",)}, {"middle": ": "}]
+    pick = lambda: source.choice(marks)
+    for _ in range(60):
+        templates.append({"begin": pick(), "middle": pick(), "end": pick(), "controls": tuple(pick() for _ in range(2))})
+    good = 0
+    for names in templates:
+        try:
+            template = Template(**names)
+        except ValueError:
+            continue
+        good += 1
+        parts = [*{template.begin, template.middle, template.end, *template.controls}, "\\", "0", "1", "a", "<", ":", "é\n"]
+        turns = [["".join(source.choice(parts) for _ in range(source.randrange(5))) for _ in range(2)] for _ in range(6)]
+        rows = [(1, at, role, text) for at, (role, text) in enumerate(turns)]
+        read = read_turns(F.col("formatted"), template)
+        found = format_chats(_chats(spark, rows), template).select(read.alias("turns")).first()["turns"]
+        assert [list(turn) for turn in found] == turns, names
+    assert good > 12 and all(Template(**names) for names in templates[:3])
+
+
 # ---- pieces ----
 
 

@@ -36,7 +36,7 @@ def _docs(spark, cases):
 
 
 def test_near_groups(spark, cases):
-    found = minhash_dedup(_docs(spark, cases)).select("_row.doc_id", "n_shingles", "component_id", "kept").collect()
+    found = minhash_dedup(_docs(spark, cases), width=2).select("_row.doc_id", "n_shingles", "component_id", "kept").collect()
     assert {row[0]: tuple(row)[1:] for row in found} == brute.near_groups(cases)
 
 
