@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import heapq
 import itertools
+import math
 import re
 import string
 import zlib
@@ -212,3 +214,42 @@ def manifest(rows: list[tuple], fanout: int = 8) -> list[tuple]:
                 folded = sha("".join([*run[:place], folded, *run[place + 1 :]]))
             out.append((key, own, trees[name][0], root, sha(others), folded, folded == root))
     return out
+
+
+def languages(texts: dict, labels: dict) -> dict:
+    """doc: (language, posterior): known words by log frequency, others by their longest known n-grams."""
+    pattern = re.compile(r"[^\W\d_]+")
+    split = {key: pattern.findall((text or "").lower()) for key, text in texts.items()}
+    names = sorted({label for label in labels.values() if label is not None})
+    words = {name: collections.Counter(w for key, label in labels.items() if label == name for w in split[key]) for name in names}
+
+    def cut(word, size):
+        marked = f" {word} "
+        return [marked[at : at + size] for at in range(max(1, len(marked) - size + 1))]
+
+    grams = {n: collections.Counter(g for w in words[n] for size in range(1, 6) for g in set(cut(w, size))) for n in names}
+
+    def scores(tables):
+        entries = set().union(*tables.values()) if tables else set()
+        sizes = {name: math.log(sum(tables[name].values()) + 0.5 * (len(entries) + 1)) for name in names}
+        return {e: [math.log(tables[name][e] + 0.5) - sizes[name] for name in names] for e in entries}
+
+    known, parts = scores(words), scores(grams)
+
+    def score(word):
+        if word in known:
+            return known[word]
+        for size in range(5, 0, -1):
+            if found := [parts[gram] for gram in cut(word, size) if gram in parts]:
+                return [sum(column) / len(found) for column in zip(*found, strict=True)]
+        return [0.0] * len(names)
+
+    out = {}
+    for key, own in split.items():
+        if not any(map(str.isalpha, "".join(own))) or not names:
+            out[key] = "und", 0.0
+            continue
+        totals = [sum(column) for column in zip(*map(score, own), strict=True)]
+        best = max(totals)
+        out[key] = names[totals.index(best)], 1 / sum(math.exp(total - best) for total in totals)
+    return out

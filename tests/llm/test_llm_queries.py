@@ -68,10 +68,24 @@ def test_language_query(spark, tables):
     rows = _rows(spark, "op10_language_id")
     held = {key: zlib.crc32(str(key).encode()) % 5 == 0 for key in tables[0]}
     assert {key: row[0] for key, row in rows.items()} == held
+    texts = {key: row["text"] for key, row in tables[0].items()}
+    plain = brute.languages(texts, {key: row["lang"] for key, row in tables[0].items() if not held[key] and row["text"] is not None})
+    assert {key: row[1] for key, row in rows.items()} == {key: one[0] for key, one in plain.items()}
+    assert all(abs(row[2] - plain[key][1]) < 1e-6 for key, row in rows.items())
     right = [row[1] == tables[0][key]["lang"] for key, row in rows.items() if row[0]]
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_noise_is_unlike_any_language(spark, tables):
+    """The posterior of noise may be high; its letters are still unlike what the model has seen."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    noise = ["qzxv kjwq wvxz qqjx zzkw", "日本語のテキストです", "xkcd plmq wrtz bnvc", "ЖЩЪ ыэюя", "ﬀﬁ ზღ"]
+    strange = spark.createDataFrame([(10**6 + at, text) for at, text in enumerate(noise)], "doc_id long, text string")
+    mixed = docs.unionByName(strange, allowMissingColumns=True)
+    kept = {row["doc_id"] for row in corpus_pipeline.language_id(spark, mixed, FOLDER).collect()}
+    assert kept == {key for key, row in tables[0].items() if any(map(str.isalpha, row["text"] or ""))}
+
+
 def _collected(frame):
     return {row["doc_id"]: row for row in frame.collect()}
 
