@@ -17,6 +17,11 @@ from noticeloom.session import scratch
 
 #: A document goes when no language has at least this posterior, or it has no letter at all.
 LEAST_SCORE = 0.5
+#: It goes as well when its words are this much unlike those of all languages together, as noise, random
+#: letters and unseen scripts are; prose of a learned language has over 0.99.
+LEAST_FAMILIAR = 0.5
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def _as_documents(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -25,17 +30,18 @@ def _as_documents(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a clear language."""
+    """Drop documents without a letter, without a clear language or unlike any language learned."""
     model = train(docs.filter(~held_out()))
     found = identify(docs, model, keep_text=True)
     # With nothing to learn from there is no ground to reject a text that has letters.
-    kept = (F.col("score") >= LEAST_SCORE) if model.languages else F.col("_text").rlike(r"\p{L}")
+    clear = (F.col("score") >= LEAST_SCORE) & (F.col("familiar") >= LEAST_FAMILIAR)
+    kept = clear if model.languages else F.col("_text").rlike(r"\p{L}")
     return _as_documents(found.filter(kept), "_text", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every near-duplicate group, repeated rows once."""
-    found = minhash_dedup(docs)
+    """Keep the first document of every near-duplicate group on five-word shingles, repeated rows once."""
+    found = minhash_dedup(docs, width=SHINGLE)
     kept = found.filter("kept").select(*[F.col(f"_row.`{name}`") for name in docs.columns])
     return kept.dropDuplicates(["doc_id", "text"]) if _repeated(docs) else kept
 
