@@ -115,29 +115,46 @@ def content_hash(text: Column | str) -> Column:
     return F.sha2(normalize_text(text), 256)
 
 
+#: Lower-case letters in wide use whose case folding is another text.
+_FOLDED_LOWER = {"ß": "ss", "ς": "σ", "µ": "μ", "ſ": "s"}
+#: Blocks whose case pairs every engine knows: Latin to Armenian, Latin additional, full-width forms.
+_COMMON_BLOCKS = ((0x00, 0x588), (0x1E00, 0x1EFF), (0xFF00, 0xFF5F))
+
+
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Letters whose case folding is not their lower case: one to one, and one to several."""
-    changed = {}
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    """Letters that folding changes, one to one and one to several, and a class of the rare ones.
+
+    A letter is rare unless it is of a common block and lower case, then ``_FOLDED_LOWER``, folds it.
+    """
+    changed, rare = {}, []
     for code in range(sys.maxunicode + 1):
         letter = chr(code)
         folded = letter.casefold()
-        if folded != letter and not 0xD800 <= code <= 0xDFFF:
-            changed[letter] = folded
+        if folded == letter or 0xD800 <= code <= 0xDFFF:
+            continue
+        changed[letter] = folded
+        lowered = "".join(_FOLDED_LOWER.get(one, one) for one in letter.lower())
+        if len(letter.lower()) > 1 or lowered != folded or not any(low <= code <= high for low, high in _COMMON_BLOCKS):
+            rare.append(code)
     single = {letter: folded for letter, folded in changed.items() if len(folded) == 1}
     several = {letter: folded for letter, folded in changed.items() if len(folded) > 1}
-    return "".join(single), "".join(single.values()), several
+    heads = [code for code in rare if code - 1 not in set(rare)]
+    tails = [code for code in rare if code + 1 not in set(rare)]
+    ranges = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in zip(heads, tails, strict=True))
+    return "".join(single), "".join(single.values()), several, f"[{ranges}]"
 
 
 def case_folded(text: Column | str) -> Column:
-    """Full Unicode case folding, letter by letter."""
-    before, after, several = _folds()
-    out = F.translate(col(text), before, after)
-    any_of = "[" + "".join(several) + "]"
-    spelled = out
+    """Full Unicode case folding: lower case, and letter by letter only where a text has a rare letter."""
+    before, after, several, rare = _folds()
+    plain = F.lower(col(text))
+    for letter, folded in _FOLDED_LOWER.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(folded))
+    spelled = F.translate(col(text), before, after)
     for letter, folded in several.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(folded))
-    return F.when(out.rlike(any_of), spelled).otherwise(out)
+    return F.when(col(text).rlike(rare), spelled).otherwise(plain)
 
 
 def search(
