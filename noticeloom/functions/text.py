@@ -117,32 +117,39 @@ def content_hash(text: Column | str) -> Column:
 
 #: Lower-case letters in wide use whose case folding is another text.
 _FOLDED_LOWER = {"ß": "ss", "ς": "σ", "µ": "μ", "ſ": "s"}
-#: Blocks whose case pairs every engine knows: Latin to Armenian, Latin additional, full-width forms.
-_COMMON_BLOCKS = ((0x00, 0x588), (0x1E00, 0x1EFF), (0xFF00, 0xFF5F))
+#: Blocks where lower case folds all but a few letters: Latin to Armenian, Latin additional, punctuation,
+#: signs, Chinese and other scripts without case, full-width forms, pictures.
+_COMMON_BLOCKS = (
+    (0x00, 0x588), (0x1E00, 0x1EFF), (0x2000, 0x20FF), (0x2200, 0x24B5), (0x2500, 0x2BFF), (0x3000, 0xA63F),
+    (0xAC00, 0xD7FF), (0xE000, 0xFAFF), (0xFE00, 0xFFFF), (0x1F000, 0x3FFFF),
+)
 
 
 @lru_cache(maxsize=1)
 def _folds() -> tuple[str, str, dict[str, str], str]:
-    """Letters that folding changes, one to one and one to several, and a class of the rare ones.
+    """Letters that folding changes, one to one and one to several, and a pattern of the rare ones.
 
-    A letter is rare unless it is of a common block and lower case, then ``_FOLDED_LOWER``, folds it.
+    Rare is what lies outside the common blocks, and in them what lower case, then ``_FOLDED_LOWER``, does
+    not fold.
     """
-    changed, rare = {}, []
+    changed, safe = {}, []
     for code in range(sys.maxunicode + 1):
         letter = chr(code)
         folded = letter.casefold()
-        if folded == letter or 0xD800 <= code <= 0xDFFF:
-            continue
-        changed[letter] = folded
-        lowered = "".join(_FOLDED_LOWER.get(one, one) for one in letter.lower())
-        if len(letter.lower()) > 1 or lowered != folded or not any(low <= code <= high for low, high in _COMMON_BLOCKS):
-            rare.append(code)
+        if folded != letter and not 0xD800 <= code <= 0xDFFF:
+            changed[letter] = folded
+    for low, high in _COMMON_BLOCKS:
+        rare = [
+            code
+            for code in range(low, high + 1)
+            if (folded := changed.get(chr(code)))
+            and (len(chr(code).lower()) > 1 or _FOLDED_LOWER.get(chr(code).lower(), chr(code).lower()) != folded)
+        ]
+        safe += zip([low, *(code + 1 for code in rare)], [*(code - 1 for code in rare), high], strict=True)
+    ranges = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in safe if low <= high)
     single = {letter: folded for letter, folded in changed.items() if len(folded) == 1}
     several = {letter: folded for letter, folded in changed.items() if len(folded) > 1}
-    heads = [code for code in rare if code - 1 not in set(rare)]
-    tails = [code for code in rare if code + 1 not in set(rare)]
-    ranges = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in zip(heads, tails, strict=True))
-    return "".join(single), "".join(single.values()), several, f"[{ranges}]"
+    return "".join(single), "".join(single.values()), several, f"[^{ranges}]"
 
 
 def case_folded(text: Column | str) -> Column:
