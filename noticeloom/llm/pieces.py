@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Words of one generation, and pairs, whose results a Python worker keeps.
-KEPT_WORDS = 100_000
+#: Bytes of one generation of words with their results, and pairs, that a Python worker keeps.
+KEPT_BYTES = 32 << 20
 KEPT_PAIRS = 300_000
+#: Longer words hardly come again; they are worked out each time.
+KEPT_LETTERS = 64
 #: Bytes of text whose words make one trie.
 TRIE_BYTES = 3 << 20
 
@@ -56,7 +60,10 @@ class Vocabulary:
             if plain:
                 self.ids[piece] = number
         self.longest = max(map(len, self.ids), default=1)
-        self.letters = {piece for piece in self.ids if len(piece) == 1}
+        # Every ending of a piece: its number if it is a piece itself, else -1. A look back from a
+        # letter stops at the first run of letters that no piece ends with.
+        self.endings = {piece[at:]: -1 for piece in self.ids for at in range(len(piece))}
+        self.endings |= self.ids
         self.pieces = {number: piece for piece, number in self.ids.items()}
         # Merges are tried by score, best first; the model kind shows in the library's own answer.
         self.merges = _is_merge_model(model, self)
@@ -152,9 +159,11 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        # Words of late batches, and of those before: what comes up again and again stays.
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # Words of late batches, and of those before: what comes up again and again stays. Piece
+        # numbers of a word are packed, four bytes each.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
         self.verdicts: dict[int, bool] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -162,24 +171,36 @@ class Encoder:
         split = [None if text is None else _WORD.findall(_marked(text)) for text in texts]
         wanted = set(chain.from_iterable(words for words in split if words))
         table = {word: self.young[word] for word in wanted if word in self.young}
-        table |= {word: self.old[word] for word in wanted if word not in table and word in self.old}
-        table.update(self.walk(sorted(wanted.difference(table))))
-        if len(self.young) > KEPT_WORDS:
-            self.young, self.old = {}, self.young
-        self.young |= table
+        fresh = {word: self.old[word] for word in wanted if word not in table and word in self.old}
+        unseen = sorted(word for word in wanted if word not in table and word not in fresh)
+        fresh.update((word, numbers.tobytes()) for word, numbers in self.walk(unseen))
+        self._keep(fresh)
+        table |= fresh
         out = []
         for words in split:
             if words is None:
                 out.append(None)
             else:
-                out.append(np.fromiter(chain.from_iterable(map(table.__getitem__, words)), np.int32))
+                out.append(np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32))
         return out
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """Depth-first over the trie of sorted words: states of a shared prefix are kept."""
-        last: list[int] = [-1]
-        start: list[int] = [0]
-        score: list[float] = [0.0]
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        for word, numbers in fresh.items():
+            if len(word) > KEPT_LETTERS:
+                continue
+            # Word, numbers and their place in the table.
+            size = sys.getsizeof(word) + sys.getsizeof(numbers) + 100
+            if self.young_bytes + size > KEPT_BYTES:
+                self.young, self.old, self.young_bytes = {}, self.young, 0
+            self.young[word] = numbers
+            self.young_bytes += size
+
+    def walk(self, words: list[str]) -> Iterator[tuple[str, array]]:
+        """Depth-first over the trie of sorted words: states of a shared prefix are kept.
+
+        States are arrays, sixteen bytes a letter, so that a long text without spaces fits.
+        """
+        last, start, score = array("i", [-1]), array("i", [0]), array("d", [0.0])
         before = ""
         step = self._merge_step if self.vocabulary.merges else self._score_step
         tied = self.vocabulary.tied if self.vocabulary.merges else None
@@ -198,11 +219,11 @@ class Encoder:
             before = word
             yield word, self._path(word, last, start)
 
-    def _merged(self, word: str) -> tuple[int, ...]:
-        numbers: list[int] = []
+    def _merged(self, word: str) -> array:
+        numbers = array("i")
         for piece in self.vocabulary.merge(word):
-            numbers += self._spell(piece)
-        return tuple(numbers)
+            numbers.extend(self._spell(piece))
+        return numbers
 
     def _spell(self, piece: str) -> list[int]:
         """A piece's number; of a letter that is none, the pieces of its bytes or the unknown piece."""
@@ -212,17 +233,18 @@ class Encoder:
         pieces = self.vocabulary.bytes
         return [pieces[byte] for byte in piece.encode()] if pieces else [self.vocabulary.unknown]
 
-    def _path(self, word: str, last: list[int], start: list[int]) -> tuple[int, ...]:
-        end, numbers = len(word), []
+    def _path(self, word: str, last: array, start: array) -> array:
+        end, numbers = len(word), array("i")
         while end:
             if last[end] < 0:
-                numbers += reversed(self._spell(word[end - 1]))
+                numbers.extend(reversed(self._spell(word[end - 1])))
             else:
                 numbers.append(last[end])
             end = start[end]
-        return tuple(reversed(numbers))
+        numbers.reverse()
+        return numbers
 
-    def _score_step(self, word: str, end: int, last: list, start: list, score: list) -> None:
+    def _score_step(self, word: str, end: int, last: array, start: array, score: array) -> None:
         vocabulary = self.vocabulary
         best, piece, begin = None, -1, end - 1
         for at in range(max(0, end - vocabulary.longest), end):
@@ -237,12 +259,14 @@ class Encoder:
         start.append(begin)
         score.append(best)
 
-    def _merge_step(self, word: str, end: int, last: list, start: list, score: list) -> None:
+    def _merge_step(self, word: str, end: int, last: array, start: array, score: array) -> None:
         vocabulary = self.vocabulary
-        ids, verdicts = vocabulary.ids, self.verdicts
+        endings, verdicts = vocabulary.endings, self.verdicts
         for at in range(end - 1, max(-1, end - 1 - vocabulary.longest), -1):
-            number = ids.get(word[at:end])
+            number = endings.get(word[at:end])
             if number is None:
+                break
+            if number < 0:
                 continue
             left = last[at]
             if left < 0:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from noticeloom.llm.common import keyed
+from noticeloom.operators.ordering import with_global_position
 from noticeloom.session import staged
 
-#: Groups above 1 / (shards * SHARE) of all bytes are scheduled one by one: fewer than that many.
-#: All other groups are thrown into shards * SHARE bins by a hash and scheduled by bin.
-SHARE = 500
-#: Parts of a shard that are numbered on their own.
-SLICES = 64
+#: Rows of a shard that are numbered together, about.
+SLICE_ROWS = 200_000
 
 
 def text_size(text: Column, per_row: int = 16) -> Column:
@@ -21,36 +23,84 @@ def text_size(text: Column, per_row: int = 16) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + per_row).cast("long")
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Longest-processing-time rule for (unit, size): unit to shard; ties by unit and by shard."""
+def spread(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[list[tuple[int, int]]]:
+    """Longest-processing-time rule for (size, number of groups of that size), largest size first.
+
+    Per class, (shard, groups it gets) by shard. Groups go one by one to the least loaded shard, the
+    smallest number among equals, through a heap. What a long row of equal groups comes to is worked
+    out at once: it fills the shards up to a common level. An empty group counts as one byte.
+    """
     heap = [(0, shard) for shard in range(shards)]
+    for size, count in classes:
+        step = max(size, 1)
+        if count > 8 * shards:
+            loads = np.zeros(shards, np.int64)
+            for load, shard in heap:
+                loads[shard] = load
+            given = _filled(loads, step, count)
+            heap = list(zip((loads + given * step).tolist(), range(shards), strict=True))
+            heapq.heapify(heap)
+            yield [(shard, number) for shard, number in enumerate(given.tolist()) if number]
+            continue
+        taken: Counter[int] = Counter()
+        for _ in range(count):
+            load, shard = heap[0]
+            heapq.heapreplace(heap, (load + step, shard))
+            taken[shard] += 1
+        yield sorted(taken.items())
+
+
+def _filled(loads: np.ndarray, step: int, count: int) -> np.ndarray:
+    """Groups of ``step`` bytes that each shard gets when ``count`` go to the least loaded in turn."""
+
+    def begun(level: int) -> np.ndarray:
+        return np.maximum(0, (level - loads) // step + 1)
+
+    # The highest load at which no more than all groups have been begun.
+    low, high = int(loads.min()) - 1, int(loads.min()) + step * count
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if int(begun(middle).sum()) <= count else (low, middle - 1)
+    given = begun(low)
+    last = np.flatnonzero(loads + given * step == low + 1)[: count - int(given.sum())]
+    given[last] += 1
+    return given
+
+
+def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
+    """The rule for single units (unit, size): unit to shard, units of equal size in their order."""
+    units: dict[int, list[int]] = {}
+    for unit, size in sorted(sizes):
+        units.setdefault(size, []).append(unit)
+    order = sorted(units, reverse=True)
     placed = {}
-    for size, unit in sorted(((-size, unit) for unit, size in sizes)):
-        load, shard = heapq.heappop(heap)
-        placed[unit] = shard
-        heapq.heappush(heap, (load - size, shard))
+    for size, taken in zip(order, spread([(size, len(units[size])) for size in order], shards), strict=True):
+        places = chain.from_iterable([shard] * number for shard, number in taken)
+        placed.update(zip(units[size], places, strict=True))
     return placed
 
 
 def assign_shards(groups: DataFrame, shards: int) -> DataFrame:
-    """(group, shard) for (group, bytes), a group being a long.
+    """(group, shard) for (group, bytes), a group being a long that stands once.
 
-    A table of all groups never reaches the driver. Groups larger than a share of all bytes are
-    fewer than shards * SHARE, whatever the data; the small ones are first thrown into as many
-    bins. Large groups and bins are the units that the heap places.
+    The driver sees sizes with their number of groups, never groups: distinct sizes add up to no
+    more than all bytes, so there are at most the square root of twice the bytes. Groups are
+    numbered in the order of their size and take the shards of their class by rank.
     """
-    units = shards * SHARE
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * units > total
-    unit = F.when(large, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(units)))
-    marked = groups.select("group", "bytes", large.alias("large"), unit.alias("unit"))
-    loads = marked.groupBy("large", "unit").agg(F.sum("bytes").alias("bytes")).collect()
-    names = sorted((row["large"], row["unit"], row["bytes"]) for row in loads)
-    placed = schedule([(number, row[2]) for number, row in enumerate(names)], shards)
     spark: SparkSession = groups.sparkSession
-    table = [(bool(one[0]), int(one[1]), placed[number]) for number, one in enumerate(names)]
-    plan = spark.createDataFrame(table, "large boolean, unit long, shard int")
-    return marked.join(F.broadcast(plan), ["large", "unit"]).select("group", "shard")
+    counted = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("bytes").desc()).toArrow()
+    classes = list(zip(counted["bytes"].to_pylist(), counted["n"].to_pylist(), strict=True))
+    first, plan = 1, []
+    for (size, count), taken in zip(classes, spread(classes, shards), strict=True):
+        upto = list(accumulate(number for _, number in taken))
+        plan.append((size, first, upto, [shard for shard, _ in taken]))
+        first += count
+    kind = "bytes long, first long, upto array<long>, shards array<int>"
+    table = spark.createDataFrame(plan, kind)
+    numbered = with_global_position(groups.select("group", "bytes"), [F.col("bytes").desc(), F.col("group").asc()])
+    rank = F.col("position") - F.col("first")
+    before = F.size(F.filter("upto", lambda end: end <= rank))
+    return numbered.join(table, "bytes").select("group", F.get("shards", before).alias("shard"))
 
 
 def shard_documents(
@@ -67,34 +117,38 @@ def shard_documents(
     Rows of equal text stay together (null and empty texts are two groups). Law ``bytes``: sizes of
     shards are near equal, as far as the largest group allows; so ``grown_shard`` is null. ``slot``
     numbers the rows of a shard from 0, without gaps, by slice of the shard and then by key; rows
-    that nothing tells apart are numbered in any order. Without ``keep_text``, ``_text`` is left out.
+    that nothing tells apart are numbered in any order. No rows give no rows. Without ``keep_text``,
+    ``_text`` is left out.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     rows = keyed(docs, id_col, text_col, carry).rows
     text = F.col("_text")
     group = F.xxhash64(F.sha2(text, 256), F.octet_length(text))
-    sized = rows.select(
-        "_key",
-        "_row",
-        *(["_text"] if keep_text else []),
-        text_size(text, per_row).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        group.alias("group"),
-    )
-    narrow = staged(sized.select("_key", "size", "group"), "sizes") if keep_text else None
-    sized = sized if keep_text else staged(sized, "sizes")
-    groups = (sized if narrow is None else narrow).groupBy("group").agg(F.sum("size").alias("bytes"))
-    placed = staged(assign_shards(staged(groups, "groups"), shards), "placed")
-    sliced = sized.join(placed, "group").withColumn(
-        "slice", F.pmod(F.xxhash64("_key"), F.lit(SLICES)).cast("int")
+    # Written once: the tie between rows that nothing tells apart must not change between two readers.
+    sized = staged(
+        rows.select(
+            "_key",
+            "_row",
+            *(["_text"] if keep_text else []),
+            text_size(text, per_row).alias("size"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+            group.alias("group"),
+            F.monotonically_increasing_id().alias("tie"),
+        ),
+        "sizes",
     )
+    groups = staged(sized.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
+    placed = staged(assign_shards(groups, shards), "placed")
+    slices = -(-sized.count() // (shards * SLICE_ROWS)) or 1
+    part = F.pmod(F.xxhash64("_key", "tie"), F.lit(slices)).cast("int")
+    sliced = sized.join(placed, "group").withColumn("slice", part)
     counted = sliced.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards * SLICES rows.
+    # One row for about SLICE_ROWS rows.
     offsets = counted.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("_key"))
-    numbered = sliced.withColumn("place", place).join(F.broadcast(offsets), ["shard", "slice"])
+    place = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("_key", "tie"))
+    numbered = sliced.withColumn("place", place).join(offsets, ["shard", "slice"])
     return numbered.select(
         "_row",
         *(["_text"] if keep_text else []),
@@ -108,6 +162,6 @@ def shard_documents(
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard; large shards become several files, each in slot order."""
-    spread = sharded.repartition("shard", F.pmod(F.col("slot"), F.lit(SLICES)))
-    spread.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; large shards become several files, each of slots that follow another."""
+    spread_out = sharded.repartition("shard", F.floor(F.col("slot") / SLICE_ROWS))
+    spread_out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

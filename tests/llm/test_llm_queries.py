@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import brute
 import pytest
@@ -62,6 +63,18 @@ def test_sharding_query(spark, tables):
     for row in rows:
         places.setdefault(texts[row["doc_id"]], set()).add(row["shard"])
     assert all(len(shards) == 1 for shards in places.values())
+    groups, loads = Counter(), Counter()
+    for text in (row["text"] for row in tables[0].values()):
+        groups[text] += len((text or "").encode()) + 16
+    for row in rows:
+        loads[row["shard"]] += row["size"]
+    plain = [0] * 40
+    for size in sorted(groups.values(), reverse=True):
+        plain[plain.index(min(plain))] += size
+    assert [loads[shard] for shard in range(40)] == plain
+    for shard in range(40):
+        slots = sorted(row["slot"] for row in rows if row["shard"] == shard)
+        assert slots == list(range(len(slots)))
 
 
 def test_language_query(spark, tables):

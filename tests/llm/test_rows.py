@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import pytest
@@ -208,7 +209,8 @@ def test_words_go_through_the_trie(monkeypatch):
 
 
 def test_pieces_do_not_depend_on_what_is_kept(monkeypatch, texts):
-    monkeypatch.setattr(pieces, "KEPT_WORDS", 5)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 2000)
+    monkeypatch.setattr(pieces, "KEPT_LETTERS", 6)
     monkeypatch.setattr(pieces, "KEPT_PAIRS", 3)
     encoder, fresh = Encoder(Vocabulary(MODEL)), Encoder(Vocabulary(MODEL))
     some = [text for text in texts.values() if text and len(text) < 3000]
@@ -216,6 +218,18 @@ def test_pieces_do_not_depend_on_what_is_kept(monkeypatch, texts):
     assert one_by_one == [ids.tolist() for ids in fresh.encode(some)]
 
 
+def test_long_words_are_not_kept(monkeypatch, library):
+    """Texts without spaces are one word a line; what a worker keeps stays within its bytes."""
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 20_000)
+    source, encoder = random.Random(5), Encoder(Vocabulary(MODEL))
+    for _ in range(20):
+        lines = ["".join(chr(source.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(10)]
+        lines += ["".join(source.choice("abcdefgh") for _ in range(30)) for _ in range(50)]
+        assert [ids.tolist() for ids in encoder.encode(lines)] == library.encode(lines)
+        assert encoder.young_bytes <= 20_000
+        assert all(len(word) <= pieces.KEPT_LETTERS for table in (encoder.young, encoder.old) for word in table)
+
+
 def test_score_models_take_the_best_path():
     class Toy:
         merges, tied, longest = False, None, 3
@@ -255,6 +269,47 @@ def test_schedule_is_longest_first():
     assert sorted(loads) == [9, 9, 11]
 
 
+def _plain_loads(sizes, shards):
+    """The rule as it reads: largest first, to the least loaded shard."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += max(size, 1)
+    return loads
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_schedule_equals_the_plain_rule(seed):
+    """A few sizes for many groups, one huge group, empty groups: loads as of one group at a time."""
+    dice = random.Random(seed)
+    shards = dice.choice([1, 2, 5, 7])
+    sizes = [dice.choice([0, 1, 3, 16, 17, 40, 999]) for _ in range(dice.choice([0, 3, 30, 900]))]
+    sizes += [50_000] * dice.choice([0, 1]) + [2] * dice.choice([0, 5000])
+    placed = schedule(list(enumerate(sizes)), shards)
+    assert placed.keys() == set(range(len(sizes)))
+    loads = [sum(max(size, 1) for unit, size in enumerate(sizes) if placed[unit] == shard) for shard in range(shards)]
+    assert loads == _plain_loads(sizes, shards)
+
+
+def test_shard_loads_equal_the_plain_rule(spark, monkeypatch):
+    """Whole tables: copies of one text in a third of the rows, many texts of one size, long texts."""
+    monkeypatch.setattr("noticeloom.llm.sharding.SLICE_ROWS", 100)
+    texts = ["copied " * 5] * 1000 + [f"{n:06d}" for n in range(1000)] + ["y" * (n * n) for n in range(90)] + [None, "", ""]
+    docs = spark.createDataFrame([(n if n % 4 else 4, text) for n, text in enumerate(texts)], "doc_id long, text string")
+    rows = shard_documents(docs, 6).collect()
+    groups = Counter()
+    for text in texts:
+        groups[text] += len((text or "").encode()) + 16
+    loads = Counter({shard: 0 for shard in range(6)})
+    slots, places = {}, {}
+    for row in rows:
+        loads[row["shard"]] += row["size"]
+        slots.setdefault(row["shard"], []).append(row["slot"])
+        places.setdefault(row["_text"], set()).add(row["shard"])
+    assert [loads[shard] for shard in range(6)] == _plain_loads(groups.values(), 6)
+    assert all(sorted(one) == list(range(len(one))) for one in slots.values())
+    assert len(rows) == len(texts) and all(len(one) == 1 for one in places.values())
+
+
 def test_shards(awkward, texts, doubtful, nothing, tmp_path):
     rows = shard_documents(awkward, 3).collect()
     sizes = {key: len((text or "").encode()) + 16 for key, text in texts.items()}
