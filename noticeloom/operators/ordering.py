@@ -105,9 +105,14 @@ def with_global_position(rows: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def newest_first(files: DataFrame, modified: str = "modified_at", name: str = "name") -> DataFrame:
-    """Files by modification time, newest first."""
-    return files.orderBy(F.col(modified).desc(), F.col(name).desc())
+def newest_first(
+    files: DataFrame, modified: str = "modified_at", name: str = "name", position: str | None = None
+) -> DataFrame:
+    """Files by modification time, newest first; ``position`` adds the place in that order, from 1."""
+    order = [F.col(modified).desc(), F.col(name).desc()]
+    if position is None:
+        return files.orderBy(*order)
+    return with_global_position(files, order).withColumnRenamed("position", position).orderBy(position)
 
 
 def last_n_runs(runs: DataFrame, started: str = "started_at", n: int = 12) -> DataFrame:

@@ -299,7 +299,7 @@ def read_snapshots(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     """Stored raw pages with the parts of their path: ``content`` as bytes, ``body`` of pages as text.
 
     ``body`` is decoded by the declared charset, UTF-8 without one, and characters that do not fit
-    are replaced; files of other kinds have no body.
+    are replaced; files of other kinds have no body. Files without a byte give no row.
     """
     files = (
         spark.read.format("binaryFile")

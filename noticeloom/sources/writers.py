@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -37,6 +41,44 @@ def available_path(spark: SparkSession, base: str) -> str:
     return path
 
 
+def write_snapshots(pages: DataFrame, root: str) -> int:
+    """Store raw pages as files ``<root>/<YYYYMMDD>/<id>[-n].<ext>``; the number of files written.
+
+    ``pages``: collected_on (date), snapshot_id, copy (0: no number), extension, content (bytes; null: an
+    empty file). Tasks write their own rows through the file system that ``root`` names, under names that
+    come from the row, so a repeated task writes the same file again; a partition is never gathered.
+    """
+    parts = pages.select(
+        F.concat_ws(
+            "/",
+            F.date_format("collected_on", "yyyyMMdd"),
+            F.concat(
+                F.col("snapshot_id").cast("string"),
+                F.when(F.col("copy") > 0, F.concat(F.lit("-"), F.col("copy").cast("string"))).otherwise(""),
+                F.lit("."),
+                "extension",
+            ),
+        ).alias("name"),
+        F.coalesce("content", F.lit("").cast("binary")).alias("content"),
+    )
+    local = root.startswith(("/", "file:"))
+    uri = "file://" + re.sub("^file:/+", "/", root) if local else root
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = FileSystem.from_uri(uri)
+        count = 0
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                path = f"{top}/{name.as_py()}"
+                files.create_dir(path.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(path) as out:
+                    out.write(content.as_py())
+                count += 1
+        yield pa.RecordBatch.from_pydict({"n": [count]})
+
+    return parts.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def batch_path(spark: SparkSession, folder: str, end: date) -> str:
     return available_path(spark, f"{folder.rstrip('/')}/policy-batch-{end.isoformat()}")
 

@@ -296,17 +296,19 @@ def _searched(spark, folder):
         "host", "page_id", "url", "html",
     )
     number = F.col("page_id")
+    # Every other portal is a government's.
+    domain = F.when(number % 2 == 0, F.concat("host", F.lit(".gov.cn"))).otherwise(F.col("host"))
     # The title rule looks for the default markers: put one in front of every link text.
     fetches = first.select(
         "portal_id",
         F.when(number % 9 == 0, 503).otherwise(200).alias("status_code"),
         F.when(number % 10 == 3, F.lit("https://elsewhere.example/"))
-        .otherwise(F.col("url"))
+        .otherwise(F.replace("url", "host", domain))
         .alias("final_url"),
         F.regexp_replace("html", r'(<a href="[^"]*">)', "$1通知").alias("html"),
         F.when(number % 13 == 5, "timed out").alias("error"),
         F.lit("User-agent: *\nDisallow: /fr").alias("robots_txt"),
-        F.lit(None).cast("string").alias("retry_after"),
+        F.when(number % 4 == 2, "30").alias("retry_after"),
         F.lit("").alias("snapshot_path"),
         number.alias("page_seq"),
     )
@@ -314,9 +316,9 @@ def _searched(spark, folder):
         "portal_id",
         F.col("host").alias("display_name"),
         F.lit("r").alias("region"),
-        F.concat(F.lit("https://"), "host", F.lit("/")).alias("entry_url"),
+        F.concat(F.lit("https://"), domain, F.lit("/")).alias("entry_url"),
         F.lit("省").alias("admin_level"),
-        F.col("host").alias("gov_domain"),
+        domain.alias("gov_domain"),
     )
     # Keyword pack: the two-letter openings of the reference passages, bounded by the alphabet.
     keywords = table(spark, folder, "benchmark").select(
@@ -353,8 +355,11 @@ per AS (SELECT host, count(*) AS n FROM five GROUP BY host)"""
     f"""WITH {_SQL_SEARCH},
     kw AS (SELECT host, string_agg(word, ',' ORDER BY word) AS keywords FROM
            (SELECT DISTINCT host, unnest(found) AS word FROM five) GROUP BY host)
-    SELECT host AS source_id, n AS samples, keywords, 'not_recommended' AS check_result,
-           '候选' AS marker FROM per JOIN kw USING (host)""",
+    SELECT host AS source_id, n AS samples, keywords,
+           CASE WHEN page_id % 2 = 1 OR starts_with(path, '/fr') THEN 'not_recommended' WHEN n < 3 OR page_id % 4 = 2 THEN 'needs_attention'
+                ELSE 'pass' END AS check_result,
+           '候选' AS marker FROM per JOIN kw USING (host) JOIN firsts USING (host)
+           JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) USING (page_id)""",
 )
 def portal_candidates(spark, folder):
     found = _searched(spark, folder)["candidates"]

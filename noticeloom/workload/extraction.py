@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from noticeloom import rules
 from noticeloom.operators import extract, fill, listing
-from noticeloom.sources import api, html, readers
+from noticeloom.session import scratch
+from noticeloom.sources import api, html, readers, writers
 from noticeloom.functions.urls import host
 from noticeloom.workload.base import (
     SQL_DOCS,
@@ -655,32 +657,40 @@ def classification_pairs(spark, folder):
 
 @query(
     "page_snapshots",
-    f"""SELECT page_id AS snapshot_id, page_id % 3 AS copy, 'html' AS extension,
-           strftime(DATE '2024-05-01' + CAST(page_id % 4 AS INTEGER), '%Y-%m-%d') AS collected_on,
-           sha256({SQL_HOST} || ' ' || strlen(html)) AS body_hash FROM pages""",
+    """SELECT page_id AS snapshot_id, page_id % 3 AS copy, CASE WHEN page_id % 7 = 6 THEN 'bin' ELSE 'html' END AS extension,
+      strftime(DATE '2024-05-01' + CAST(page_id % 4 AS INTEGER), '%Y-%m-%d') AS collected_on,
+      CASE WHEN page_id % 7 <> 6 THEN sha256(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<!-- charset=gb2312 通知公告 €-->'
+          ELSE '<!-- charset=utf-8 通知公告 €-->' END || html) END AS body_hash,
+      CASE WHEN page_id % 3 <> 1 THEN strlen(html) + CASE page_id % 3 WHEN 0 THEN 0 ELSE strlen('<!-- charset=utf-8 通知公告 €-->') END
+        END AS size
+    FROM pages""",
 )
 def page_snapshots(spark, folder):
-    """Snapshot paths and bodies parsed back to their parts."""
-    pages = hosted_pages(spark, folder)
-    copy = F.col("page_id") % 3
-    name = F.concat(
-        F.lit("/raw/"),
-        F.date_format(
-            F.date_add(F.lit("2024-05-01").cast("date"), (F.col("page_id") % 4).cast("int")),
-            "yyyyMMdd",
-        ),
-        F.lit("/"),
-        F.col("page_id").cast("string"),
-        F.when(copy > 0, F.concat(F.lit("-"), copy.cast("string"))).otherwise(""),
-        F.lit(".html"),
-    )
-    parts = readers.snapshot_parts(name)
-    return pages.select(
-        parts["snapshot_id"].cast("long").alias("snapshot_id"),
-        parts["copy"].cast("long").alias("copy"),
-        parts["extension"].alias("extension"),
-        iso(parts["collected_on"]).alias("collected_on"),
-        F.sha2(
-            F.concat(host("url"), F.lit(" "), F.octet_length("html").cast("string")), 256
-        ).alias("body_hash"),
+    """Pages as files of two kinds and two charsets, read back and decoded by the charset they declare."""
+    number = F.col("page_id")
+    opening = F.when(number % 3 == 0, "").when(number % 3 == 1, "<!-- charset=gb2312 通知公告 €-->")
+    whole = F.concat(opening.otherwise("<!-- charset=utf-8 通知公告 €-->"), "html")
+    pages = table(spark, folder, "pages").select(
+        F.date_add(F.lit("2024-05-01").cast("date"), (number % 4).cast("int")).alias("collected_on"),
+        number.alias("snapshot_id"),
+        (number % 3).alias("copy"),
+        F.when(number % 7 == 6, "bin").otherwise("html").alias("extension"),
+        F.when(number % 3 == 1, _as_gb18030(whole)).otherwise(whole.cast("binary")).alias("content"),
+    )
+    root = scratch(spark, "snapshots")
+    writers.write_snapshots(pages, root)
+    found = readers.read_snapshots(spark, root)
+    return found.select(
+        F.col("snapshot_id").cast("long").alias("snapshot_id"),
+        long("copy").alias("copy"),
+        "extension",
+        iso("collected_on").alias("collected_on"),
+        F.sha2("body", 256).alias("body_hash"),
+        # The size in the other charset has no SQL.
+        F.when(F.col("copy") != 1, long("size")).alias("size"),
     )
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_gb18030(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else text.encode("gb18030"))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from noticeloom.operators import registry
+from noticeloom.operators.latest import first_per_key
 from noticeloom.sources import readers
 from noticeloom.workload.base import iso, query, table
 
@@ -411,6 +412,44 @@ def review(spark, folder):
     return changed.select("seq", "phase", F.col("verification_notes").alias("notes"), "reviewer")
 
 
+@query(
+    "review_actions",
+    """WITH firsts AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+    wanted AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS turn FROM firsts
+               WHERE n = 1 AND c_custkey % 2 = 0 AND c_custkey % 3 <> 2),
+    told AS (SELECT c_custkey, (ARRAY['confirm', 'reject', 'watch'])[turn] AS told FROM wanted WHERE turn <= 3)
+    SELECT c.c_custkey AS seq,
+      CASE WHEN told = 'confirm' THEN 'verified' WHEN told = 'reject' THEN 'retired'
+           WHEN c.c_custkey % 4 = 3 THEN 'retired' ELSE 'candidate' END AS phase,
+      coalesce(told = 'confirm', false) AS enabled,
+      CASE WHEN told = 'confirm' THEN '2024-07-01' END AS verified,
+      CASE WHEN told = 'confirm' THEN 'me' ELSE 'unassigned' END AS owner,
+      CASE WHEN told IN ('reject', 'watch') THEN 'me' END AS reviewer,
+      coalesce(told IN ('reject', 'watch'), false) AS reviewed,
+      CASE told WHEN 'reject' THEN '驳回:dup; twice' WHEN 'watch' THEN '关注:later;' END AS notes
+    FROM customer c LEFT JOIN told USING (c_custkey)""",
+)
+def review_actions(spark, folder):
+    """The first three ids whose first record may be promoted: one confirmed, one rejected, one watched."""
+    records = _records(spark, folder)
+    firsts = first_per_key(records, ["source_id"], "seq")
+    open_ones = firsts.filter("origin = 'discovery' AND phase = 'candidate' AND discovery.check_result = 'pass'")
+    wanted = open_ones.orderBy("seq").limit(3).collect()
+    told = [("confirm", {}), ("reject", {"reason": "dup", "comment": "twice"}), ("watch", {"comment": "later"})]
+    for record, (action, words) in zip(wanted, told, strict=False):
+        records = registry.review(records, record["source_id"], action, "me", _TODAY, **words)
+    return records.select(
+        "seq",
+        "phase",
+        "enabled",
+        iso("verified_at").alias("verified"),
+        "owner",
+        "reviewer",
+        F.col("reviewed_at").isNotNull().alias("reviewed"),
+        F.col("verification_notes").alias("notes"),
+    )
+
+
 @query(
     "sync_sources",
     """WITH p AS (SELECT 's' || c_nationkey AS id, min(c_custkey) AS seq, c_nationkey AS n
@@ -420,8 +459,6 @@ def review(spark, folder):
     UNION ALL SELECT id, 'generic', 'www.n' || n || '.example' FROM p""",
 )
 def sync_sources(spark, folder):
-    from noticeloom.operators.latest import first_per_key
-
     sources = table(spark, folder, "supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"),
         F.lit("v1").alias("adapter_version"),

@@ -203,7 +203,8 @@ def last_runs(spark, folder):
 
 @query(
     "newest_first",
-    """SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS modified, count(*) AS n
+    """SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS modified, count(*) AS n,
+      row_number() OVER (ORDER BY max(o_orderdate) DESC, o_custkey DESC) AS place
     FROM orders GROUP BY o_custkey""",
 )
 def newest_first(spark, folder):
@@ -212,8 +213,8 @@ def newest_first(spark, folder):
         .groupBy(F.col("o_custkey").alias("name"))
         .agg(F.max("o_orderdate").alias("modified_at"), F.count(F.lit(1)).alias("n"))
     )
-    return ordering.newest_first(files).select(
-        F.col("name").alias("o_custkey"), iso("modified_at").alias("modified"), "n"
+    return ordering.newest_first(files, position="place").select(
+        F.col("name").alias("o_custkey"), iso("modified_at").alias("modified"), "n", long("place").alias("place")
     )
 
 
