@@ -185,7 +185,8 @@ def train(
     ).filter("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     chosen = F.pmod(F.xxhash64("id", "text"), F.col("rows")) < sample_rows
-    labelled = labelled.join(counts, "lang").filter(chosen)
+    # One row per language, as the model has one column per language; texts of a language stay where they are.
+    labelled = labelled.join(F.broadcast(counts), "lang").filter(chosen)
     schema = "lang string, entry string, n long"
     counted = labelled.select("lang", "text").mapInArrow(_count_words, schema)
     words = counted.groupBy("lang", "entry").agg(F.sum("n").alias("n")).persist()
