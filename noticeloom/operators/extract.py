@@ -76,7 +76,8 @@ def extract_candidates(
 
     ``pages``: source id, url, html, seq and allowed domains per listing page.
     """
-    facts = pages.withColumn("facts", listing_facts("html", "url", selectors))
+    wanted = [f"anchors.{name}" for name in ("title", "label", "href", "url", "dates")]
+    facts = pages.withColumn("facts", listing_facts("html", "url", selectors, wanted))
     anchors = facts.select(
         source, seq, domains, F.posexplode("facts.anchors").alias("place", "anchor")
     )
@@ -122,7 +123,8 @@ def parse_pages(pages: DataFrame, selectors: str | None = None) -> DataFrame:
     be read has ``parse_error`` set and no text.
     """
     chosen = F.array(F.lit("article"), F.lit("main")) if selectors is None else F.col(selectors)
-    facts = pages.withColumn("facts", detail_facts("html", "detail_url", chosen)).drop("html")
+    wanted = ["heading", "metadata_text", "content_text", "anchors.url"]
+    facts = pages.withColumn("facts", detail_facts("html", "detail_url", chosen, wanted)).drop("html")
     meta = F.col("facts.metadata_text")
     read = (
         facts.withColumn("document_number", dates.document_number(meta))
@@ -188,7 +190,8 @@ def parse_portal_pages(
     pages: DataFrame, markers: Sequence[str] = rules.TITLE_MARKERS, url: str = "final_url"
 ) -> DataFrame:
     """Page title, visible text and links whose text holds a marker; duplicates kept."""
-    facts = pages.withColumn("facts", portal_facts("html", url))
+    parts = ["page_title", "page_text", "anchors.packed", "anchors.url"]
+    facts = pages.withColumn("facts", portal_facts("html", url, parts))
     wanted = F.filter(
         "facts.anchors",
         lambda anchor: (anchor["packed"] != "") & contains_any(anchor["packed"], markers),

@@ -7,7 +7,8 @@ of them - filters, dates, ids, hashes - is a Column expression, so Catalyst sees
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -143,9 +144,15 @@ def _matches(element: _Element, step) -> bool:
     )
 
 
+@lru_cache(maxsize=4096)
+def _steps(selector: str) -> tuple:
+    """The steps of a selector, read once per worker and not once per page."""
+    return tuple(_compound(part) for part in selector.split())
+
+
 def _select(root: _Element, selector: str) -> Iterator[_Element]:
     """Descendants that match a descendant-combinator selector, in document order."""
-    *outer, last = [_compound(part) for part in selector.split()]
+    *outer, last = _steps(selector)
     for element in root.walk():
         if not _matches(element, last):
             continue
@@ -203,78 +210,133 @@ def _join(base: str, href: str) -> str | None:
         return None
 
 
-def _anchor_row(anchor: _Element, base: str, with_dates: bool) -> dict[str, object]:
-    href = anchor.attrs.get("href", "")
-    return {
-        "title": anchor.attrs.get("title", "").strip() or None,
-        "label": anchor.text(" "),
-        "packed": anchor.text(""),
-        "href": href,
-        "url": _join(base, href),
-        "dates": _date_snippets(anchor) if with_dates else [],
-    }
+def _anchor_title(anchor: _Element, _base: str) -> str | None:
+    return anchor.attrs.get("title", "").strip() or None
+
+
+def _anchor_label(anchor: _Element, _base: str) -> str:
+    return anchor.text(" ")
+
+
+def _anchor_packed(anchor: _Element, _base: str) -> str:
+    return anchor.text("")
+
+
+def _anchor_href(anchor: _Element, _base: str) -> str:
+    return anchor.attrs.get("href", "")
+
 
+def _anchor_url(anchor: _Element, base: str) -> str | None:
+    return _join(base, anchor.attrs.get("href", ""))
 
-def _struct(*texts: str, dates: bool = False, anchors: bool = False) -> T.StructType:
-    fields = [T.StructField(name, T.StringType()) for name in texts]
-    if dates:
-        fields.append(T.StructField("dates", T.ArrayType(T.StringType())))
-    if anchors:
-        anchor = _struct("title", "label", "packed", "href", "url", dates=True)
-        fields.append(T.StructField("anchors", T.ArrayType(anchor)))
-    return T.StructType(fields)
 
+def _anchor_dates(anchor: _Element, _base: str) -> list[str]:
+    return _date_snippets(anchor)
 
-LISTING_FACTS = _struct("problem", anchors=True)
-DETAIL_FACTS = _struct("problem", "heading", "metadata_text", "content_text", anchors=True)
-PORTAL_FACTS = _struct("problem", "page_title", "page_text", anchors=True)
 
+def _links(root: _Element, _selectors) -> Iterator[_Element]:
+    return _select(root, "a[href]")
 
-def _listing(markup: str, base: str, selectors) -> dict[str, object]:
-    root = _tree(markup)
-    found = _listing_anchors(root, [] if selectors is None else list(selectors))
-    return {"anchors": [_anchor_row(anchor, base, True) for anchor in found]}
 
+def _listed(root: _Element, selectors) -> Iterator[_Element]:
+    return _listing_anchors(root, [] if selectors is None else list(selectors))
 
-def _detail(markup: str, base: str, selectors) -> dict[str, object]:
-    root = _tree(markup)
-    body = _first(root, ("body",)) or root
+
+def _body(root: _Element) -> _Element:
+    return _first(root, ("body",)) or root
+
+
+def _heading(root: _Element, _selectors) -> str | None:
     heading = _first(root, ("h1", ".page-title"))
-    content = _first(root, [] if selectors is None else selectors) or body
-    return {
-        "heading": None if heading is None else heading.text(" "),
-        "metadata_text": body.text("\n"),
-        "content_text": content.text(" "),
-        "anchors": [_anchor_row(anchor, base, False) for anchor in _select(root, "a[href]")],
-    }
+    return None if heading is None else heading.text(" ")
+
+
+def _metadata_text(root: _Element, _selectors) -> str:
+    return _body(root).text("\n")
 
 
-def _portal(markup: str, base: str, _selectors) -> dict[str, object]:
-    root = _tree(markup)
+def _content_text(root: _Element, selectors) -> str:
+    return (_first(root, [] if selectors is None else selectors) or _body(root)).text(" ")
+
+
+def _page_title(root: _Element, _selectors) -> str:
     title = _first(root, ("title",))
     pieces = [] if title is None else title.children
-    single = pieces[0] if len(pieces) == 1 and isinstance(pieces[0], _Text) else ""
-    return {
-        "page_title": single.strip(),
-        "page_text": root.text("\n"),
-        "anchors": [_anchor_row(anchor, base, False) for anchor in _select(root, "a[href]")],
-    }
-
-
-def _page_function(reader, schema: T.StructType):
-    def read(page: str | None, url: str | None, wanted) -> dict[str, object]:
-        row: dict[str, object] = dict.fromkeys(schema.names)
-        try:
-            row.update(reader(page or "", url or "", wanted))
-        except Exception as error:  # noqa: BLE001 - one unreadable page must not stop the job
-            row["problem"] = f"{type(error).__name__}: {error}"
-        return row
+    return pieces[0].strip() if len(pieces) == 1 and isinstance(pieces[0], _Text) else ""
+
+
+def _page_text(root: _Element, _selectors) -> str:
+    return root.text("\n")
+
+
+_ANCHOR = {
+    "title": _anchor_title,
+    "label": _anchor_label,
+    "packed": _anchor_packed,
+    "href": _anchor_href,
+    "url": _anchor_url,
+    "dates": _anchor_dates,
+}
+#: Facts by kind of page; of ``anchors`` the elements, whose own facts are those of ``_ANCHOR``.
+_KINDS: dict[str, dict[str, Callable]] = {
+    "listing": {"anchors": _listed},
+    "detail": {
+        "heading": _heading,
+        "metadata_text": _metadata_text,
+        "content_text": _content_text,
+        "anchors": _links,
+    },
+    "portal": {"page_title": _page_title, "page_text": _page_text, "anchors": _links},
+}
+
+
+def _split(kind: str, wanted: Sequence[str] | None) -> tuple[list[str], list[str]]:
+    """Page facts and anchor facts that are asked for; ``anchors.url`` is a fact of every anchor."""
+    if wanted is None:
+        dated = kind == "listing"
+        return list(_KINDS[kind]), [name for name in _ANCHOR if dated or name != "dates"]
+    outer = list(dict.fromkeys(name.split(".")[0] for name in wanted))
+    inner = list(dict.fromkeys(name.split(".")[1] for name in wanted if "." in name))
+    known = {*_KINDS[kind], *(f"anchors.{name}" for name in _ANCHOR)} - {"anchors"}
+    if unknown := sorted(set(wanted) - known):
+        raise ValueError(f"no such facts of a {kind} page: {', '.join(unknown)}")
+    return outer, inner
+
+
+def _schema(outer: list[str], inner: list[str]) -> T.StructType:
+    texts = T.ArrayType(T.StringType())
+    anchor = T.StructType([T.StructField(name, texts if name == "dates" else T.StringType()) for name in inner])
+    kinds = {"anchors": T.ArrayType(anchor)}
+    return T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in ("problem", *outer)])
+
+
+def _read(
+    kind: str, outer: list[str], inner: list[str], page: str | None, base: str | None, selectors
+) -> dict[str, object]:
+    """The facts asked for, and no others, of one page; ``problem`` says why there are none."""
+    row: dict[str, object] = dict.fromkeys(("problem", *outer))
+    try:
+        root, found = _tree(page or ""), {}
+        for name in outer:
+            value = _KINDS[kind][name](root, selectors)
+            if name == "anchors":
+                value = [{part: _ANCHOR[part](anchor, base or "") for part in inner} for anchor in value]
+            found[name] = value
+        row.update(found)
+    except Exception as error:  # noqa: BLE001 - one unreadable page must not stop the job
+        row["problem"] = f"{type(error).__name__}: {error}"
+    return row
+
+
+def _page_function(kind: str, wanted: Sequence[str] | None):
+    outer, inner = _split(kind, wanted)
+    schema = _schema(outer, inner)
 
     @F.pandas_udf(schema)
     def facts(markup: pd.Series, base: pd.Series, selectors: pd.Series) -> pd.DataFrame:
         rows = [
-            read(page, url, wanted)
-            for page, url, wanted in zip(markup, base, selectors, strict=True)
+            _read(kind, outer, inner, page, url, chosen)
+            for page, url, chosen in zip(markup, base, selectors, strict=True)
         ]
         return pd.DataFrame(rows, columns=schema.names, dtype=object)
 
@@ -286,16 +348,21 @@ def _selectors(value: Column | str | None) -> Column:
     return F.lit(None).cast("array<string>") if value is None else col(value)
 
 
-def listing_facts(html, url, selectors=None) -> Column:
-    """Anchors of a listing page under the selectors, or all links."""
-    return _page_function(_listing, LISTING_FACTS)(col(html), col(url), _selectors(selectors))
+def listing_facts(html, url, selectors=None, wanted: Sequence[str] | None = None) -> Column:
+    """Anchors of a listing page under the selectors, or all links.
+
+    ``wanted`` names the facts to work out, here and in the other two functions: fields of the page, and
+    fields of its anchors as ``anchors.url``. Nothing else is read from the page, so nothing else can fail;
+    ``problem`` is always there. Without it all facts come, ``anchors.dates`` on listing pages only.
+    """
+    return _page_function("listing", wanted)(col(html), col(url), _selectors(selectors))
 
 
-def detail_facts(html, url, selectors=None) -> Column:
-    """Heading, whole-body text, content text and links of a detail page."""
-    return _page_function(_detail, DETAIL_FACTS)(col(html), col(url), _selectors(selectors))
+def detail_facts(html, url, selectors=None, wanted: Sequence[str] | None = None) -> Column:
+    """Heading, whole-body text, content text and links of a detail page, or what is wanted of them."""
+    return _page_function("detail", wanted)(col(html), col(url), _selectors(selectors))
 
 
-def portal_facts(html, url) -> Column:
-    """Title, visible text and links of a portal page."""
-    return _page_function(_portal, PORTAL_FACTS)(col(html), col(url), _selectors(None))
+def portal_facts(html, url, wanted: Sequence[str] | None = None) -> Column:
+    """Title, visible text and links of a portal page, or what is wanted of them."""
+    return _page_function("portal", wanted)(col(html), col(url), _selectors(None))

@@ -31,7 +31,7 @@ _SQL_H1 = sql_norm(_SQL_DECODED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>
 
 @query("page_titles", f"SELECT page_id, {_SQL_H1} AS title FROM pages")
 def page_titles(spark, folder):
-    facts = html.detail_facts("html", "url")
+    facts = html.detail_facts("html", "url", wanted=["heading"])
     return (
         table(spark, folder, "pages")
         .withColumn("facts", facts)
@@ -89,7 +89,8 @@ def page_links(spark, folder):
 )
 def listing_dates(spark, folder):
     pages = table(spark, folder, "pages")
-    found = pages.withColumn("facts", html.portal_facts("html", "url")).select(
+    wanted = ["anchors.href", "anchors.label"]
+    found = pages.withColumn("facts", html.portal_facts("html", "url", wanted)).select(
         "page_id", "url", F.posexplode("facts.anchors").alias("place", "a")
     )
     day = F.date_add(
@@ -119,7 +120,7 @@ def listing_dates(spark, folder):
         F.lit("</ul></div>"),
     )
     listed = found.withColumn(
-        "facts", html.listing_facts(markup, "url", F.array(F.lit(".x ul.list li a")))
+        "facts", html.listing_facts(markup, "url", F.array(F.lit(".x ul.list li a")), ["anchors.dates"])
     )
     return listed.select(
         "page_id",
@@ -359,7 +360,8 @@ def merge_attachments(spark, folder):
     SELECT page_id, place + 1 AS number, href AS name FROM links""",
 )
 def attachment_number(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("facts", html.portal_facts("html", "url"))
+    facts = html.portal_facts("html", "url", ["anchors.url"])
+    pages = table(spark, folder, "pages").withColumn("facts", facts)
     listed = pages.select("page_id", F.col("facts.anchors.url").alias("attachment_urls"))
     numbered = extract.attachment_number(listed, "page_id")
     return numbered.select(

@@ -256,3 +256,45 @@ def test_api_detail(spark):
 def test_other_selectors_are_refused(selector):
     with pytest.raises(ValueError):
         list(html._select(html._tree("<a></a>"), selector))
+
+
+def test_only_wanted_facts_are_read(monkeypatch):
+    """A heading costs one text; the page text and the anchors are neither read nor built."""
+    calls = []
+    plain, near = html._Element.text, html._date_snippets
+    monkeypatch.setattr(html._Element, "text", lambda self, *rest: calls.append(self.tag) or plain(self, *rest))
+    monkeypatch.setattr(html, "_date_snippets", lambda anchor: calls.append("dates") or near(anchor))
+    page = "<body><h1>H</h1>" + '<p><a href="/x">x</a> 2026-07-11</p>' * 50
+    read = html._read("detail", *html._split("detail", ["heading"]), page, "https://a.example/", None)
+    assert read == {"problem": None, "heading": "H"} and calls == ["h1"]
+    calls.clear()
+    read = html._read("detail", *html._split("detail", ["anchors.url"]), page, "https://a.example/", None)
+    assert read["anchors"] == [{"url": "https://a.example/x"}] * 50 and not calls
+    html._read("listing", *html._split("listing", None), page, "https://a.example/", None)
+    assert calls.count("dates") == 50
+
+
+def test_wanted_facts_equal_all_facts(spark):
+    rows = [(1, "<title>T</title><h1>H</h1><a href='/x' title=' t '>l <b>m</b></a>"), (2, None), (3, "")]
+    pages = spark.createDataFrame(rows, "id int, html string")
+    names = ["page_title", "page_text", "anchors.packed"]
+    whole = pages.select("id", html.portal_facts("html", F.lit("u")).alias("f"))
+    part = pages.select("id", html.portal_facts("html", F.lit("u"), names).alias("f"))
+    assert part.select("f.*").columns == ["problem", "page_title", "page_text", "anchors"]
+    chosen = [f"f.{name}" for name in names]
+    assert part.select("id", *chosen).orderBy("id").collect() == whole.select("id", *chosen).orderBy("id").collect()
+
+
+def test_unknown_facts_are_refused():
+    for kind, name in (("portal", "heading"), ("detail", "anchors.size"), ("listing", "anchors")):
+        with pytest.raises(ValueError, match=name):
+            html._split(kind, [name])
+
+
+def test_selectors_are_read_once(monkeypatch):
+    html._steps.cache_clear()
+    seen, compound = [], html._compound
+    monkeypatch.setattr(html, "_compound", lambda part: seen.append(part) or compound(part))
+    for _ in range(20):
+        list(html._select(html._tree("<div class='k'><i></i></div>"), "div.k i"))
+    assert seen == ["div.k", "i"]
