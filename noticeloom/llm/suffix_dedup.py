@@ -6,6 +6,7 @@ Blocks of contexts that may share a window (same anchor, see ``repeats``) are or
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noticeloom.llm.bwt import repeats
-from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, signed, small
+from noticeloom.llm.common import bytes_of, keyed, list_slices, longs, merged, record_batch, sha256, small
 from noticeloom.llm.repeats import Candidates, Windows, candidates, undecided
-from noticeloom.llm.rolling import BYTE_CODES, window_hashes
+from noticeloom.llm.rolling import BYTE_CODES, gram_hashes, prefix_sums
 from noticeloom.session import staged
 
 LEAST = 100
 GRAM = 32
-#: Contexts of one anchor that a block may hold. The windows of an anchor with more contexts are
-#: counted one by one in Spark instead, so that its rows spread over all tasks.
+#: Contexts of one anchor that a block may hold. Contexts of an anchor with more are cut and named by
+#: more of their bytes, over and over, until every name has few enough; see ``_refined``.
 BLOCK_CONTEXTS = 5_000
 BLOCK_BYTES = 1 << 19
 
@@ -86,23 +87,86 @@ def _expand(least: int):
     return emit
 
 
-def _window_hashes(least: int):
-    """Every window of a context of a crowded anchor, by hash."""
+def _anchor_place(context: bytes, gram: int) -> int:
+    """Where the anchor of a context stands in it: its least gram, the rightmost of equals."""
+    hashes = gram_hashes(prefix_sums(BYTE_CODES[np.frombuffer(context, np.uint8)]), gram, 2)
+    return len(hashes) - 1 - int(hashes[::-1].argmin())
+
+
+def _digest(data: bytes, salt: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+HALVES = "_key long, anchor long, content long, first long, end long, place long, low long, high long, context binary"
+
+
+def _halves(least: int, gram: int):
+    """Contexts cut in two by how far the anchor stands behind a window's start, from ``low`` to ``high``.
+
+    The windows of a half share all bytes from its last window's start to its first window's end, as far
+    as ``low`` and ``high`` allow; these name it. Equal windows hold the anchor at the same place, so they
+    lie in halves of the same name.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in HALVES.split(", ")]
         for batch in small(batches):
-            keys, firsts = longs(batch.column(0)), longs(batch.column(1))
-            for key, first, text in zip(keys, firsts, bytes_of(batch.column(2)), strict=True):
-                codes = BYTE_CODES[np.frombuffer(text, np.uint8)]
-                hashes = window_hashes(codes, least, 6)
-                starts = first + np.arange(len(hashes))
-                columns = np.full(len(hashes), key), signed(hashes), starts
-                yield record_batch(["_key", "window", "start"], columns)
+            found = []
+            for key, first, place, low, high, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                place = first + _anchor_place(text, gram) if place is None else place
+                last, middle = first + len(text) - least, (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    start, stop = max(first, place - b), min(last, place - a)
+                    if a > b or start > stop:
+                        continue
+                    part = text[start - first : stop - first + least]
+                    shared = text[place - a - first : place - b + least - first]
+                    found.append((key, _digest(shared, b), _digest(part), start, stop + least, place, a, b, part))
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            types = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+            arrays = [pa.array(column, kind) for column, kind in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return emit
 
 
-def _spans(found: Candidates, least: int) -> DataFrame:
+def _refined(contexts: DataFrame, least: int, gram: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of crowded anchors under names that blocks can hold, and spans of whole repeats.
+
+    A level halves the range of places the anchor may have in a window, so the bytes that name a half
+    grow from ``gram`` to ``least`` in as many levels as that range has bits. Of halves with equal bytes
+    the first goes on and the others are repeats; at the last level a half is one window and its name all
+    of it, so one is left of every name. No name is gathered in a task before it is small enough.
+    """
+    names = ["_key", "first", "place", "low", "high", "context"]
+    ready, spans = [], []
+    wide = contexts.select(
+        "_key", "anchor", "first", F.lit(None).cast("long").alias("place"), F.lit(0).cast("long").alias("low"),
+        F.lit(least - gram).cast("long").alias("high"), "context",
+    )
+    for _ in range((least - gram).bit_length()):
+        halves = staged(wide.select(*names).mapInArrow(_halves(least, gram), HALVES), "halves")
+        lowest = halves.groupBy("anchor", "content").agg(
+            F.min(F.struct("_key", "first")).alias("lowest"), F.count(F.lit(1)).alias("n")
+        )
+        lowest = staged(lowest.filter("n > 1").select("anchor", "content", "lowest"), "lowest")
+        repeat = F.coalesce(F.struct("_key", "first") > F.col("lowest"), F.lit(False))
+        judged = staged(
+            halves.join(lowest, ["anchor", "content"], "left").withColumn("repeat", repeat).drop("content", "lowest"),
+            "judged",
+        )
+        spans.append(judged.filter("repeat").select("_key", F.col("first").alias("start"), "end"))
+        firsts = judged.filter("not repeat").drop("repeat", "end")
+        sizes = staged(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        crowded = sizes.filter(F.col("n") > BLOCK_CONTEXTS)
+        ready.append(firsts.join(sizes.filter(F.col("n") <= BLOCK_CONTEXTS), "anchor"))
+        wide = firsts.join(crowded, "anchor")
+        if crowded.isEmpty():
+            return ready, spans
+    return [*ready, wide], spans
+
+
+def _spans(found: Candidates, least: int, gram: int) -> DataFrame:
     """(_key, start, end): bytes covered by windows that start earlier; not yet merged."""
     end = (F.col("last") + least).alias("end")
     whole = found.runs.filter("repeat").select("_key", F.col("first").alias("start"), end)
@@ -115,22 +179,17 @@ def _spans(found: Candidates, least: int) -> DataFrame:
     crowded = staged(
         cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_CONTEXTS), "crowded"
     )
-    blocks = cut.join(crowded, "anchor", "left_anti").repartition("anchor")
-    ordered = blocks.sortWithinPartitions("anchor", "_key", "first").select("anchor", "_key", "first", "context")
-    near = ordered.mapInArrow(_expand(least), "_key long, start long, end long")
-    loose = cut.join(crowded, "anchor", "left_semi").select("_key", "first", "context")
-    windows = loose.mapInArrow(_window_hashes(least), "_key long, window long, start long")
-    windows = staged(windows, "windows")
-    # The earliest place of a window, by (document, start), in two steps of plain longs.
-    low = windows.groupBy("window").agg(F.min("_key").alias("low"))
-    low = staged(low, "low")
-    mine = windows.join(low, "window")
-    lowest = staged(
-        mine.filter(F.col("_key") == F.col("low")).groupBy("window").agg(F.min("start").alias("place")), "place"
-    )
-    later = mine.join(lowest, "window").filter((F.col("_key") > F.col("low")) | (F.col("start") > F.col("place")))
-    single = later.select("_key", "start", (F.col("start") + least).alias("end"))
-    return whole.unionByName(near).unionByName(single)
+    names = ["_key", "anchor", "first", "context"]
+    blocks, spans = cut.join(crowded, "anchor", "left_anti").select(*names), whole
+    if not crowded.isEmpty():
+        ready, repeated = _refined(cut.join(crowded, "anchor", "left_semi"), least, gram)
+        for part in ready:
+            blocks = blocks.unionByName(part.select(*names))
+        for part in repeated:
+            spans = spans.unionByName(part)
+    ordered = blocks.repartition("anchor").sortWithinPartitions("anchor", "_key", "first")
+    near = ordered.select("anchor", "_key", "first", "context").mapInArrow(_expand(least), "_key long, start long, end long")
+    return spans.unionByName(near)
 
 
 def _cut(spell: bool):
@@ -193,7 +252,7 @@ def suffix_dedup(
     text = F.coalesce("_text", F.lit(""))
     whole = {"n_bytes": F.octet_length(text).cast("long"), "kept_sha256": F.sha2(text, 256)}
     found = candidates(rows, Windows(least, gram, words=False), False, whole, spell)
-    grouped = _spans(found, least).groupBy("_key").agg(
+    grouped = _spans(found, least, gram).groupBy("_key").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
     )
     names = ["_row", "n_bytes", "n_removed", "kept_sha256", "spans", "kept"]

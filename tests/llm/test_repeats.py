@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -47,6 +48,52 @@ def test_suffix_dedup_crowded_anchors_give_the_same(awkward, texts, monkeypatch)
     assert _by_id(found, "n_bytes", "n_removed", "count", "kept_sha256") == brute.suffix_dedup(texts)
 
 
+@pytest.mark.parametrize("limit", [2, 20])
+def test_suffix_dedup_one_passage_in_many_surroundings(spark, monkeypatch, limit):
+    """A passage shorter than a window, with few and many different bytes at either side, is refined level by level."""
+    source, texts = random.Random(7), {}
+    passage = "".join(source.choices("abcdefgh ", k=72))
+    sides = ["".join(source.choices("xyz", k=60)) for _ in range(6)]
+    for key in range(160):
+        before, after = source.choice(sides)[source.randrange(40) :], source.choice(sides)[: source.randrange(60)]
+        texts[key] = before + passage + after if key % 3 else before + passage + after + str(key) + before + passage + after
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    levels, halves = [], suffix._halves
+    monkeypatch.setattr(suffix, "_halves", lambda *rest: levels.append(rest) or halves(*rest))
+    monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", limit)
+    found = suffix_dedup(docs, spell=False).selectExpr("*", "cast(size(spans) as long) as count")
+    assert _by_id(found, "n_bytes", "n_removed", "count", "kept_sha256") == brute.suffix_dedup(texts)
+    assert 1 <= len(levels) <= 7
+
+
+def test_halves_of_equal_windows_share_their_name():
+    """Every window of a context lies in one half; equal windows of different contexts in halves of one name."""
+    source = random.Random(3)
+    middle = "".join(source.choices("abcd", k=110)).encode()
+    contexts = [bytes(source.choices(b"xyz", k=9)) + middle + bytes(source.choices(b"xyz", k=5)) for _ in range(8)]
+    least, gram = 100, 32
+    place = [suffix._anchor_place(text, gram) for text in contexts]
+    rows, names = [], ["_key", "first", "place", "low", "high", "context"]
+    for key, text in enumerate(contexts):
+        first, last = max(0, place[key] - (least - gram)), min(len(text) - least, place[key])
+        rows.append((key, first, None, 0, least - gram, text[first : last + least]))
+    for level in range(7):
+        types = [pa.int64()] * 5 + [pa.binary()]
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), types, strict=True)]
+        found = list(suffix._halves(least, gram)([pa.RecordBatch.from_arrays(columns, names=names)]))
+        table = [row for batch in found for row in batch.to_pylist()]
+        under: dict[bytes, set[int]] = {}
+        starts = set()
+        for row in table:
+            for at in range(row["end"] - least - row["first"] + 1):
+                starts.add((row["_key"], row["first"] + at))
+                under.setdefault(row["context"][at : at + least], set()).add(row["anchor"])
+        assert starts == {(row[0], row[1] + at) for row in rows for at in range(len(row[5]) - least + 1)}
+        assert all(len(anchors) == 1 for anchors in under.values())
+        rows = [tuple(row[name] for name in names) for row in table]
+    assert all(len(row[5]) == least for row in rows)
+
+
 def test_near_groups(awkward, texts):
     found = minhash_dedup(awkward, width=2)
     assert _by_id(found, "n_shingles", "component_id", "kept") == brute.near_groups(texts)
