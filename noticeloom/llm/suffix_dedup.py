@@ -252,8 +252,12 @@ def suffix_dedup(
     text = F.coalesce("_text", F.lit(""))
     whole = {"n_bytes": F.octet_length(text).cast("long"), "kept_sha256": F.sha2(text, 256)}
     found = candidates(rows, Windows(least, gram, words=False), False, whole, spell)
-    grouped = _spans(found, least, gram).groupBy("_key").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
+    # Cut and untouched documents both read the spans: without a table the blocks would be walked for each.
+    grouped = staged(
+        _spans(found, least, gram).groupBy("_key").agg(
+            F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
+        ),
+        "spans",
     )
     names = ["_row", "n_bytes", "n_removed", "kept_sha256", "spans", "kept"]
     untouched = [
