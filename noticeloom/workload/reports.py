@@ -370,10 +370,10 @@ def _finish(writer):
 
 
 def _stream(spark, folder, name):
+    """A table as a stream, be it one file or a folder of files."""
     schema = table(spark, folder, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    )
+    # A pattern of one name: of a plain path the file stream takes folders only.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 @query(
