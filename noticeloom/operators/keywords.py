@@ -1,52 +1,68 @@
 """Which keywords of a table stand in which texts: a join of many patterns with many texts.
 
-Every keyword is looked up by one short gram of it. Grams of the texts are counted first (combined before
-the shuffle), and a keyword goes by its rarest one, so few texts are looked at in vain; a keyword with a
-gram that no text has is found nowhere. Texts and keywords meet in an equi-join on the gram, whose hot
-grams adaptive execution splits; what meets is confirmed on the text. Neither side passes the driver.
+Texts are dealt by their ids into chunks of a bounded size, keywords by hash into blocks of a bounded size,
+and every chunk meets every block in one task. The task builds an automaton of its block and reads each text
+of its chunk once, so what is written is the texts once a block, the keywords once a chunk and the hits once;
+no letters or grams of a text become rows. Neither side passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import ahocorasick
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.session import staged
 
-#: Letters of a gram; a shorter keyword is looked up by all its letters.
-GRAM = 3
+#: Keywords and letters of a block; an automaton of that many takes up to 150 MB.
+BLOCK_WORDS, BLOCK_LETTERS = 1 << 18, 1 << 21
+#: Most bytes of the texts of a chunk. Few texts are dealt finer, down to the least, so that all cores have some.
+CHUNK_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 
 
-def _letters(text: Column) -> Column:
-    """Code points of a text, one string each."""
-    return F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for number, word in enumerate(words):
+        if word:
+            automaton.add_word(word, number)
+    automaton.make_automaton()
+    return automaton
 
 
-def _grams(letters: str, length: int) -> Column:
-    """Distinct grams out of an array of letters."""
-    count = F.size(letters) - length + 1
-    at = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1))
-    gram = F.transform(at, lambda start: F.concat(*[F.get(F.col(letters), start + k) for k in range(length)]))
-    return F.array_distinct(F.coalesce(gram, F.array().cast("array<string>")))
+def _places(texts: pa.ChunkedArray, words: list[str]) -> Iterator[list[int]]:
+    """Ascending numbers of the words that stand in each text."""
+    automaton = _automaton(words)
+    always = {0} if words[0] == "" else set()
+    for text in texts:
+        found = {number for _, number in automaton.iter(text.as_py())} if len(automaton) else set()
+        yield sorted(found | always)
 
 
-def _exploded(rows: DataFrame, names: Sequence[str], text: str, length: int) -> DataFrame:
-    lettered = rows.select(*names, _letters(F.col(text)).alias("_letters"))
-    return lettered.select(*names, F.explode(_grams("_letters", length)).alias("_gram"))
+def _searched(ids: Sequence[str]):
+    """Texts of a chunk with the words of a block that they hold, sorted."""
 
+    def search(texts: pa.Table, keywords: pa.Table) -> pa.Table:
+        schema = pa.schema([*(texts.schema.field(name) for name in ids), ("hits", pa.list_(pa.string()))])
+        if not texts.num_rows or not keywords.num_rows:
+            return schema.empty_table()
+        words = sorted(keywords["_word"].to_pylist())
+        offsets, numbers = [0], []
+        for found in _places(texts["_text"], words):
+            numbers.append(pa.array(found, pa.int32()))
+            offsets.append(offsets[-1] + len(found))
+        hits = pa.array(words, pa.string()).take(pa.concat_arrays(numbers))
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hits)
+        whole = pa.Table.from_arrays([*(texts[name] for name in ids), listed], schema=schema)
+        return whole.filter(pc.greater(pc.list_value_length(listed), 0))
 
-def _candidates(texts: DataFrame, words: DataFrame, ids: Sequence[str], length: int) -> DataFrame:
-    """(ids, _word): texts that hold the gram a keyword is looked up by."""
-    found = _exploded(texts, ids, "_text", length)
-    if length < GRAM:
-        return found.join(words.withColumnRenamed("_word", "_gram"), "_gram").withColumnRenamed("_gram", "_word")
-    cut = staged(_exploded(words, ["_word"], "_word", length), "keyword-grams")
-    counts = found.join(cut.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    weighed = cut.join(staged(counts, "gram-counts"), "_gram", "left")
-    rarest = weighed.groupBy("_word").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_least"))
-    anchors = staged(rarest.filter("_least.n > 0").select("_word", F.col("_least._gram").alias("_gram")), "anchors")
-    return found.join(anchors, "_gram").select(*ids, "_word")
+    return search
+
+
+def _pieces(total: int, most: int) -> int:
+    return max(1, -(-total // most))
 
 
 def keyword_links(
@@ -55,17 +71,28 @@ def keyword_links(
     """(ids, hits): the sorted distinct keywords that stand in a text, for texts that have any.
 
     ``ids`` identify a text and are not null. Case counts. A null text or keyword matches nothing, an
-    empty keyword stands in every text. Both tables may be of any size; ``texts`` is read several times.
+    empty keyword stands in every text. Both tables may be of any size; ``texts`` is read twice.
     """
+    spark = texts.sparkSession
     rows = texts.select(*ids, F.col(text).alias("_text")).filter("_text is not null")
     words = staged(keywords.select(F.col(word).alias("_word")).filter("_word is not null").distinct(), "keywords")
-    length = F.least(F.char_length("_word"), F.lit(GRAM))
-    # At most GRAM + 1 lengths.
-    lengths = sorted(row["n"] for row in words.select(length.alias("n")).distinct().collect())
-    found = rows.select(*ids, F.lit("").alias("_word")).filter(F.lit(0 in lengths))
-    for one in filter(None, lengths):
-        found = found.unionByName(_candidates(rows, words.filter(length == one), ids, one))
-    grouped = found.groupBy(*ids).agg(F.collect_set("_word").alias("_words"))
-    held = F.filter("_words", lambda one: F.contains(F.col("_text"), one))
-    confirmed = rows.join(grouped, list(ids)).select(*ids, F.array_sort(held).alias("hits"))
-    return confirmed.filter(F.size("hits") > 0)
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("_word")), F.lit(0)).alias("letters")).first()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(_pieces(size["n"], BLOCK_WORDS), _pieces(size["letters"], BLOCK_LETTERS))
+    least = min(_pieces(total, LEAST_BYTES), 3 * spark.sparkContext.defaultParallelism)
+    chunks = max(_pieces(total, CHUNK_BYTES), least)
+
+    def dealt(columns: Sequence[str], pieces: int) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(pieces)).cast("int")
+
+    def every(pieces: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+
+    left = rows.select("*", dealt(ids, chunks).alias("_chunk"), every(blocks).alias("_block"))
+    right = words.select("_word", dealt(["_word"], blocks).alias("_block"), every(chunks).alias("_chunk"))
+    kept = T.StructType([*(rows.schema[name] for name in ids), T.StructField("hits", T.ArrayType(T.StringType()))])
+    cells = [side.groupBy("_chunk", "_block") for side in (left, right)]
+    found = cells[0].cogroup(cells[1]).applyInArrow(_searched(list(ids)), kept)
+    if blocks == 1:
+        return found
+    return found.groupBy(*ids).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))

@@ -53,3 +53,30 @@ def test_a_table_matches_like_a_list(spark):
         other = discovery.match_keywords(pages, table, limit=limit)
         assert sorted(map(repr, other.select(one.columns).collect())) == sorted(map(repr, one.collect()))
     assert discovery.match_keywords(pages, table.limit(0)).count() == discovery.match_keywords(pages, []).count()
+
+
+@pytest.mark.parametrize("block, chunk", [(7, 100), (10**6, 100), (7, 10**8)])
+def test_blocks_and_chunks_lose_nothing(spark, monkeypatch, block, chunk):
+    from noticeloom.operators import keywords
+
+    monkeypatch.setattr(keywords, "BLOCK_WORDS", block)
+    monkeypatch.setattr(keywords, "CHUNK_BYTES", chunk)
+    source = random.Random(3)
+    letters = "ab🙂租"
+    texts = ["".join(source.choice(letters) for _ in range(source.randrange(40))) for _ in range(120)] + [None]
+    words = ["".join(source.choice(letters) for _ in range(source.randrange(6))) for _ in range(60)] + [None]
+    assert _found(spark, texts, words) == _expected(texts, words)
+
+
+def test_no_grams_of_texts_are_shuffled(spark):
+    """Texts are written once and keywords once a chunk: long texts of different letters cost no more rows."""
+    from noticeloom.operators import keywords
+
+    source = random.Random(4)
+    texts = [(at, "".join(chr(source.randrange(0x4E00, 0x9000)) for _ in range(5000))) for at in range(20)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    words = spark.createDataFrame([(text[100:104],) for _, text in texts], "text string")
+    plan = keywords.keyword_links(rows, words, ["id"])
+    assert plan.count() == 20
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert "explode(_gram" not in tree and "_gram" not in tree
