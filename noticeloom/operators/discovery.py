@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom import rules
@@ -39,8 +39,8 @@ def keyword_hits(text: Column | str, keywords: Sequence[str]) -> Column:
     if not words:
         return F.array().cast("array<string>")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def hits(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def hits(texts: pa.Array) -> pa.Array:
         automaton = ahocorasick.Automaton()
         for word in filter(None, words):
             automaton.add_word(word, word)
@@ -50,9 +50,10 @@ def keyword_hits(text: Column | str, keywords: Sequence[str]) -> Column:
         def found(body: str | None) -> list[str]:
             if body is None:
                 return []
-            return sorted({word for _, word in automaton.iter(body)} | always)
+            return sorted({word for _, word in automaton.iter(body)} | always if len(automaton) else always)
 
-        return texts.map(found) if len(automaton) else texts.map(lambda body: [] if body is None else [""])
+        # One text at a time is a Python object; the batch stays Arrow data.
+        return pa.array((found(body.as_py()) for body in texts), pa.list_(pa.string()))
 
     return hits(col(text))
 
