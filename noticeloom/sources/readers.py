@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from noticeloom import rules, schemas
@@ -312,8 +312,8 @@ def read_snapshots(spark: SparkSession, root: str, pattern: str = "*") -> DataFr
     return rows.select("path", "parts.*", "size", "content", F.when(page, _decoded("content")).alias("body"))
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(contents: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _decoded(contents: pa.Array) -> pa.Array:
     def decode(content: bytes | None) -> str | None:
         if content is None:
             return None
@@ -324,7 +324,8 @@ def _decoded(contents: pd.Series) -> pd.Series:
         except LookupError:
             return content.decode("utf-8", "replace")
 
-    return contents.map(decode)
+    # One file at a time is a Python object; the batch stays Arrow data.
+    return pa.array((decode(content.as_py()) for content in contents), pa.string())
 
 
 def read_reports(spark: SparkSession, path: str, schema: T.StructType, pattern: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from noticeloom import rules
@@ -693,6 +693,6 @@ def page_snapshots(spark, folder):
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def _as_gb18030(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: None if text is None else text.encode("gb18030"))
+@F.arrow_udf(T.BinaryType())
+def _as_gb18030(texts: pa.Array) -> pa.Array:
+    return pa.array((text.as_py().encode("gb18030") if text.is_valid else None for text in texts), pa.binary())
