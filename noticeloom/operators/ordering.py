@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from noticeloom.functions.text import col
 from noticeloom.session import ensure_checkpoint_dir
 
-
+#: Ranges of a stored order may be wider than asked for where there would be more than so many, up to so many rows.
+MANY_RANGES, WIDE_RANGE = 500, 100_000
 
 def export_keys(score: Column | str, published: Column | str, seq: Column | str) -> list[Column]:
     """Score descending, date descending with unknown last, then input order."""
@@ -40,10 +41,13 @@ def write_ordered(rows: DataFrame, order: list[Column], path: str, rows_per_rang
 
     One sort deals them into ranges of about ``rows_per_range`` rows, a folder each; a row carries its
     place in the range. Beside them lies an index of one row per range: its rows and the rows before it.
+    A range costs a task and a folder, so a table that would fall into very many small ones gets wider ones:
+    a page opens as few of them, and within them only the blocks of its places.
     """
     spark = rows.sparkSession
     count = rows.count()
-    ranged = rows.repartitionByRange(max(1, -(-count // rows_per_range)), *order).sortWithinPartitions(*order)
+    width = max(rows_per_range, min(WIDE_RANGE, -(-count // MANY_RANGES)))
+    ranged = rows.repartitionByRange(max(1, -(-count // width)), *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = ranged.select("*", F.spark_partition_id().alias("_range"), place.alias("_place"))
     writer = placed.write.mode("errorifexists")
@@ -62,7 +66,7 @@ def page_count(spark: SparkSession, path: str, size: int) -> int:
 def read_page(spark: SparkSession, path: str, number: int, size: int, position: str | None = None) -> DataFrame:
     """One page of a stored order, from the one or few ranges that hold it; the number is clamped.
 
-    The index names the ranges, so all other folders are pruned and nothing is sorted but the page.
+    The index names the ranges, so no other folder is listed or opened and nothing is sorted but the page.
     ``position`` adds the row's place in the whole order, from 1.
     """
     first = (min(max(number, 1), page_count(spark, path, size)) - 1) * size
@@ -75,7 +79,8 @@ def read_page(spark: SparkSession, path: str, number: int, size: int, position:
         low = first - row["before"]
         inside = inside | (here & F.col("_place").between(low, low + size - 1))
         offset = F.when(here, row["before"]).otherwise(offset)
-    rows = spark.read.parquet(f"{path}/rows").filter(inside).orderBy("_range", "_place")
+    folders = [f"{path}/rows/_range={row['_range']}" for row in hit] or [f"{path}/rows"]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders).filter(inside).orderBy("_range", "_place")
     added = rows if position is None else rows.withColumn(position, (offset + F.col("_place") + 1).cast("long"))
     return added.drop("_range", "_place")
 

@@ -47,3 +47,13 @@ def test_no_rows(spark, tmp_path):
     ordering.write_ordered(empty, [F.col("seq").asc()], str(tmp_path / "none"))
     assert ordering.page_count(spark, str(tmp_path / "none"), 10) == 1
     assert ordering.read_page(spark, str(tmp_path / "none"), 5, 10).count() == 0
+
+
+def test_small_ranges_stay_few_and_pages_whole(spark, tmp_path, monkeypatch):
+    """Ranges of five rows asked for: folders do not grow with the table, pages are the same."""
+    monkeypatch.setattr(ordering, "MANY_RANGES", 20, raising=False)
+    path = str(tmp_path / "small")
+    ordering.write_ordered(spark.range(3000).selectExpr("id AS seq"), [F.col("seq").desc()], path, rows_per_range=5)
+    assert len(list(Path(path, "rows").glob("_range=*"))) <= 20
+    found = ordering.read_page(spark, path, 30, 40, position="position").collect()
+    assert [(row["seq"], row["position"]) for row in found] == [(2999 - at, at + 1) for at in range(1160, 1200)]
