@@ -8,9 +8,11 @@ no letters or grams of a text become rows. Neither side passes the driver.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -49,12 +51,13 @@ def _searched(ids: Sequence[str]):
         if not texts.num_rows or not keywords.num_rows:
             return schema.empty_table()
         words = sorted(keywords["_word"].to_pylist())
-        offsets, numbers = [0], []
+        # Plain numbers, as a chunk of short titles has millions of texts.
+        offsets, numbers = array("i", [0]), array("i")
         for found in _places(texts["_text"], words):
-            numbers.append(pa.array(found, pa.int32()))
-            offsets.append(offsets[-1] + len(found))
-        hits = pa.array(words, pa.string()).take(pa.concat_arrays(numbers))
-        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hits)
+            numbers.extend(found)
+            offsets.append(len(numbers))
+        hits = pa.array(words, pa.string()).take(pa.array(np.asarray(numbers)))
+        listed = pa.ListArray.from_arrays(pa.array(np.asarray(offsets)), hits)
         whole = pa.Table.from_arrays([*(texts[name] for name in ids), listed], schema=schema)
         return whole.filter(pc.greater(pc.list_value_length(listed), 0))
 
