@@ -8,6 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark folds its logs of the files that a stream reads and writes every so many micro-batches (10 by itself), and
+#: each fold writes the whole log again: of an old stream that outgrows the micro-batches themselves.
+STREAM_LOGS = {
+    "spark.sql.streaming.fileSource.log.compactInterval": "1000",
+    "spark.sql.streaming.fileSink.log.compactInterval": "1000",
+}
+
 RECOMMENDED = {
     # Recording the call site of every expression makes building wide plans several times slower.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -18,6 +25,7 @@ RECOMMENDED = {
     # Raw pages are large: bound an Arrow batch by bytes as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    **STREAM_LOGS,
 }
 
 
@@ -45,6 +53,13 @@ def build_session(app: str = "noticeloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def fold_stream_logs_rarely(spark: SparkSession) -> None:
+    """Set ``STREAM_LOGS`` where the session has no setting of its own; streams started later go by them."""
+    for key, value in STREAM_LOGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
 

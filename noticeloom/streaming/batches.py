@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from noticeloom import rules, schemas
+from noticeloom.session import fold_stream_logs_rarely
 from noticeloom.sources.readers import checked_batches
 from noticeloom.sources.writers import of_known_version
 
@@ -17,6 +18,7 @@ def stream_batches(
     max_files_per_trigger: int = 100,
 ) -> DataFrame:
     """Documents of each new batch file; the checkpoint of the query remembers what was read."""
+    fold_stream_logs_rarely(spark)
     files = (
         spark.readStream.schema(schemas.BATCH)
         .option("multiLine", True)
@@ -45,6 +47,7 @@ def stream_written(
     never read; when the run is redone, its batch has a folder and a header of its own. A micro-batch reads
     the documents of its headers, at most ``max_files_per_trigger`` folders, and writes under its number.
     """
+    fold_stream_logs_rarely(spark)
     headers = (
         spark.readStream.schema(T.StructType([T.StructField("schema_version", T.LongType())]))
         .option("maxFilesPerTrigger", max_files_per_trigger)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
 
+from noticeloom.session import STREAM_LOGS, fold_stream_logs_rarely
+from noticeloom.streaming.batches import stream_batches
 from noticeloom.workload import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,3 +29,34 @@ def foldered(spark, tmp_path):
 def test_a_table_may_be_a_folder_of_files(spark, foldered, name):
     found, expected = (sorted(map(tuple, QUERIES[name](spark, folder).collect())) for folder in (foldered, FOLDER))
     assert found == expected and found
+
+
+def test_logs_of_a_stream_name_every_file_once(spark, tmp_path):
+    """Folded every ten micro-batches they would name a file again in each fold, more often as the stream ages."""
+    inbox, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    os.mkdir(inbox)
+    files = 12
+    for number in range(files):
+        batch = {"schema_version": 1, "documents": [{"policy_id": str(number)}]}
+        with open(f"{inbox}/policy-batch-{number}.json", "w") as file:
+            json.dump(batch, file)
+    for key in STREAM_LOGS:
+        spark.conf.unset(key)
+    docs = stream_batches(spark, inbox, max_files_per_trigger=1).select("policy_id")
+    run = docs.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+    run.trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(out).distinct().count() == files
+    for log in (f"{mark}/sources/0", f"{out}/_spark_metadata"):
+        # The first line of a log file is its version.
+        named = [line for name in os.listdir(log) if name[0] != "." for line in open(f"{log}/{name}").readlines()[1:]]
+        assert len(named) == files
+
+
+def test_own_settings_of_a_session_stay(spark):
+    key = next(iter(STREAM_LOGS))
+    spark.conf.set(key, "7")
+    try:
+        fold_stream_logs_rarely(spark)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, STREAM_LOGS[key])
