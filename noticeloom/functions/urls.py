@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from noticeloom import rules
-from noticeloom.functions.text import WHITESPACE, col, contains_any, strip
+from noticeloom.functions.text import WHITESPACE, bind, col, contains_any, strip
 
 # scheme, authority, path, query - the split of the generic URI grammar.
 _SCHEME = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
@@ -137,7 +137,6 @@ def restricted_reason(
     password_word: str = rules.PASSWORD_WORD,
 ) -> Column:
     """First reason a portal page is restricted: status, domain, login wall, captcha."""
-    low = F.lower(col(html))
     code = col(status)
     reason = F.when(code >= 400, F.concat(F.lit("http_"), code.cast("string")))
     if domains is not None:
@@ -148,10 +147,14 @@ def restricted_reason(
             else F.array_contains(col(domains), name)
         )
         reason = reason.when(~F.coalesce(inside, F.lit(False)), "cross_domain")
-    wall = low.contains(password_word) & contains_any(low, [word.lower() for word in login_words])
-    return reason.when(wall, "login").when(
-        contains_any(low, [marker.lower() for marker in captcha_markers]), "captcha"
-    )
+
+    def walled(low: Column) -> Column:
+        login = low.contains(password_word) & contains_any(low, [word.lower() for word in login_words])
+        captcha = contains_any(low, [marker.lower() for marker in captcha_markers])
+        return F.when(login, "login").when(captcha, "captcha")
+
+    # A page is put into lower case once, not once a word.
+    return reason.otherwise(bind(F.lower(col(html)), walled))
 
 
 def fetch_restricted(

@@ -48,7 +48,8 @@ def search_sources(
     # Four outputs read the pages: parse them once.
     pages = staged(scanned_pages(chosen, fetches).drop("html"), "portal-pages")
     usable = pages.filter(F.col("error").isNull() & ~F.col("restricted"))
-    matches = discovery.match_keywords(usable, pack)
+    # Candidates read the matches twice, the status once more; they are a few rows a portal.
+    matches = staged(discovery.match_keywords(usable, pack), "portal-matches")
     narrow = usable.select(
         "portal_id",
         "page_title",
