@@ -33,6 +33,20 @@ def stream_batches(
     ).select("batch_id", "place", "document.*")
 
 
+def shares(pattern: str) -> list[str]:
+    """Patterns that deal the files of ``pattern`` to ten streams, which may then run side by side.
+
+    A micro-batch costs its planning, its logs and its commit however small it is, one after the other within a
+    stream. Files go by the character before what ``pattern`` has behind its ``*``, and each fits exactly one
+    share, so all streams together read every file once. The last takes what has no digit there, too: names decide
+    how even the shares are, never what is read.
+    """
+    if pattern.count("*") != 1 or set(pattern) & set("\\[]{}"):
+        raise ValueError(f"only a pattern of one * and plain characters or ? can be dealt out: {pattern}")
+    start, end = pattern.split("*")
+    return [*(f"{start}*{digit}{end}" for digit in range(9)), f"{{{start},{start}*[!0-8]}}{end}"]
+
+
 def stream_written(
     spark: SparkSession,
     folder: str,
